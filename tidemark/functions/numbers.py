@@ -16,16 +16,17 @@ def to_long(text: Column) -> Column:
     The cast alone only forgives what surrounds a number, so looking at the
     first and last character is enough, and far cheaper than a pattern.
     """
-    first, last = F.ascii(text), F.ascii(F.substring(text, -1, 1))
-    bare = first.between(ord("+"), ord("9")) & last.between(ord("0"), ord("9"))
+    starts_bare = (text >= F.lit("+")) & (text < F.lit(":"))  # "+" to "9" in ASCII
+    bare = starts_bare & F.substring(text, -1, 1).between("0", "9")
     return F.when(bare, text.try_cast("bigint"))
 
 
 def to_double(text: Column) -> Column:
     """Text as double, or null; special values only in their exact spelling."""
-    trimmed = F.trim(text)
+    number, trimmed = text.try_cast("double"), F.trim(text)
+    ordinary = F.abs(number) < F.lit(float("inf"))
     misspelt = trimmed.rlike(SPECIAL_DOUBLES_ANY_CASE) & ~trimmed.isin(SPECIAL_DOUBLES)
-    return F.when(~misspelt, text.try_cast("double"))
+    return F.when(ordinary | ~misspelt, number)
 
 
 def strict_long(text: Column) -> Column:

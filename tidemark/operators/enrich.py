@@ -51,16 +51,18 @@ def enrich(
     on: str = "ad_id",
     missing: str = "error",
     broadcast_bytes: int = BROADCAST_BYTES,
+    size: DimensionSize | None = None,
 ) -> DataFrame:
     """Add the columns of ``dim`` to each row of ``df``; works on streams too.
 
     ``dim`` must hold each key once, which is checked, as is its size: only a
     small one is broadcast. ``missing`` says what becomes of a row whose key
     ``dim`` lacks: the job fails, the row is dropped, or it is kept with nulls.
+    ``size`` is the result of an earlier check, which then is not made again.
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}, not {missing!r}")
-    size = check_dimension(dim, on)
+    size = size or check_dimension(dim, on)
     how = "inner" if missing == "drop" else "left"
     # A mark tells a missing key from a key whose columns are null.
     marked = dim.withColumn("_found", F.lit(True))

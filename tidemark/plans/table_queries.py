@@ -24,6 +24,7 @@ from tidemark.functions import (
     strict_long,
     without_cr,
 )
+from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
 from tidemark.operators.counting import assign_runs, counted_text, every_nth, running_count
 from tidemark.operators.enrich import enrich
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
@@ -89,12 +90,8 @@ def _events(spark: SparkSession, folder: str, streaming: bool = False) -> DataFr
     return event_time(table(spark, folder, "events"), "ts")
 
 
-def _views(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_type") == "view")
-
-
 def _ad_views(events: DataFrame) -> DataFrame:
-    return _views(events).select(F.col("user_id").alias("ad_id"), F.col("ts").alias("event_time"))
+    return ad_views(events.withColumnsRenamed({"user_id": "ad_id", "ts": "event_time"}))
 
 
 def _campaigns(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,8 +149,7 @@ WHERE e.event_type = 'view' GROUP BY 1, 2
 
 def _campaign_counts(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
     views = _ad_views(_events(spark, folder, streaming))
-    joined = enrich(views, _campaigns(spark, folder), "ad_id")
-    return windowed_count(joined, "campaign_id", "event_time", f"{HOUR} seconds")
+    return campaign_counts(views, _campaigns(spark, folder), f"{HOUR} seconds")
 
 
 @query(_CAMPAIGN_SQL)
@@ -161,6 +157,18 @@ def campaign_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _shown_counts(_campaign_counts(spark, folder))
 
 
+@query(_CAMPAIGN_SQL)
+def campaign_window_counts_large(spark: SparkSession, folder: str) -> DataFrame:
+    """The way taken for a campaign table that is too large to broadcast."""
+    counts = campaign_counts(
+        _ad_views(_events(spark, folder)),
+        _campaigns(spark, folder),
+        f"{HOUR} seconds",
+        broadcast_bytes=0,
+    )
+    return _shown_counts(counts)
+
+
 @query(
     f"""SELECT * FROM ({_CAMPAIGN_SQL}) WHERE window_start_us + {HOUR}000000 <=
     (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'view')"""
@@ -211,7 +219,7 @@ def campaign_enrich_large(spark: SparkSession, folder: str) -> DataFrame:
 )
 def run_grouped_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Campaigns that are runs of ten successive views of a shard."""
-    views = _numbers(_views(_events(spark, folder)))
+    views = _numbers(_events(spark, folder).where(F.col("event_type") == COUNTED_EVENT))
     runs = assign_runs(views, "shard", "value")
     counts = windowed_count(runs, "campaign_id", "event_time", f"{HOUR} seconds")
     return _shown_counts(counts)

@@ -41,15 +41,16 @@ class Field:
 
 
 def _typed(kind: str, raw: Column) -> Column:
-    if kind == "long":
+    if kind in ("long", "ms", "time"):
         return to_long(raw)
-    if kind == "double":
-        return to_double(raw)
-    if kind in ("ms", "time"):
-        ms = to_long(raw)
-        shown = from_epoch_ms(ms) if kind == "time" else ms
-        return F.when(ms.between(-MAX_EPOCH_MS, MAX_EPOCH_MS), shown)
-    return raw
+    return to_double(raw) if kind == "double" else raw
+
+
+def _in_range(field: Field) -> Column:
+    """A time field that Spark can show as a timestamp, in the form its kind asks for."""
+    ms = F.col(field.name)
+    shown = from_epoch_ms(ms) if field.kind == "time" else ms
+    return F.when(ms.between(-MAX_EPOCH_MS, MAX_EPOCH_MS), shown)
 
 
 # What a rejected field is called.
@@ -84,6 +85,8 @@ def _parse(
         F.size("_parts").alias("_size"),
         *[_typed(f.kind, F.get("_parts", F.lit(f.index))).alias(f.name) for f in fields],
     )
+    times = {f.name: _in_range(f) for f in fields if f.kind in ("ms", "time")}
+    typed = typed.withColumns(times) if times else typed
 
     needed = max(f.index for f in fields) + 1
     reasons = [F.when(line.isNull(), F.lit("no line"))]
@@ -98,7 +101,10 @@ def _parse(
         )
     for f in fields:
         reasons.append(F.when(F.col(f.name).isNull(), F.lit(f"{f.name}: {_COMPLAINTS[f.kind]}")))
-    judged = typed.withColumn("reason", F.coalesce(*reasons)).drop("_size")
+    # A verdict tied to the running task is not deterministic to the optimizer, which
+    # therefore leaves filters above it: pushed below, they would repeat all parsing.
+    here = F.spark_partition_id() >= 0
+    judged = typed.withColumn("reason", F.when(here, F.coalesce(*reasons))).drop("_size")
 
     columns = {f.name: F.col(f.name) for f in fields} | (derived or {})
     if mode == "tagged":
