@@ -58,9 +58,17 @@ def sliding_count(
 
     A batch is first counted per pane, the longest stretch that lies wholly in
     or out of every window; only the counts are then copied into the
-    ``size / slide`` windows they belong to, not the rows.
+    ``size / slide`` windows they belong to, not the rows. With a slide above
+    the size there are gaps between windows, and rows in them are not counted.
     """
     size, slide = f"{size_seconds} seconds", f"{slide_seconds} seconds"
+    if slide_seconds > size_seconds:
+        end = F.col("window.start") + F.expr(f"INTERVAL {size_seconds} SECONDS")
+        rows = df.withColumn("window", F.window(time, slide)).where(F.col(time) < end)
+        counts = rows.select("window", key).groupBy("window", key).agg(F.count("*").alias("count"))
+        return counts.select(
+            F.col("window.start").alias("window_start"), end.alias("window_end"), key, "count"
+        )
     if df.isStreaming:
         counts = df.groupBy(F.window(time, size, slide).alias("window"), F.col(key)).agg(
             F.count("*").alias("count")

@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import (
     append_text,
@@ -51,7 +52,7 @@ from tidemark.sources.parse import (
 from tidemark.sources.sequence import interval_sequence
 from tidemark.sources.tables import read_table, stream_table
 from tidemark.streaming.config import StreamConfig
-from tidemark.streaming.counting import count_stream, stateful_count
+from tidemark.streaming.counting import count_stream, read_counted, stateful_count
 from tidemark.streaming.run import run_available_now
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +317,10 @@ def _counted_sql(where: str = "true") -> str:
         FROM events WHERE {where}"""
 
 
+# What a counted number looks like when it leaves a query.
+SHOWN_COUNT = StructType.fromDDL("event_us bigint, value bigint, shard string, seq bigint")
+
+
 def _shown_count(counted: DataFrame) -> DataFrame:
     return counted.select(micros("event_time").alias("event_us"), "value", "shard", "seq")
 
@@ -364,7 +369,7 @@ def running_count_stream(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "counted")
     config = StreamConfig(scratch_path(spark, "stream"), available_now=True)
     count_stream(numbers, "shard", "value", path, config, then=_shown_count).awaitTermination()
-    return spark.read.parquet(f"{path}/rows").drop("batch_id")
+    return read_counted(spark, path, SHOWN_COUNT)
 
 
 @query(

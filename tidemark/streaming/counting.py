@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -76,6 +76,7 @@ def count_stream(
     return config.writer(df).foreachBatch(store).start()
 
 
-def read_counted(df_schema: StructType, spark, path: str) -> DataFrame:
+def read_counted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows a ``count_stream`` has stored at ``path``."""
-    return spark.read.schema(df_schema).parquet(posixpath.join(path, "rows"))
+    rows = spark.read.schema(schema).parquet(posixpath.join(path, "rows"))
+    return rows.select(*schema.names)
