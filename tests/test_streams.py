@@ -110,11 +110,10 @@ def _late(spark, tmp_path, *batches):
         spark.createDataFrame([("a", START + timedelta(seconds=s))], schema) for s in batches
     ]
     landing = Landing(spark, tmp_path / "in", frames[0].schema)
-    for frame in frames:
-        landing.add(frame)
-        counts = windowed_count(landing.stream("t"), "k", "t", "10 seconds")
-        query = upsert_latest(counts, str(tmp_path / "store"), config(tmp_path))
-        query.awaitTermination()
+    landing.add(*frames)
+    counts = windowed_count(landing.stream("t"), "k", "t", "10 seconds")
+    query = upsert_latest(counts, str(tmp_path / "store"), config(tmp_path))
+    query.awaitTermination()
     latest = read_latest(spark, str(tmp_path / "store"), ["window_start", "k"])
     starts = latest.select(F.unix_seconds("window_start") - int(START.timestamp()))
     return sorted(r[0] for r in starts.collect()), progress_report(query)

@@ -318,7 +318,13 @@ def _counted_sql(where: str = "true") -> str:
 
 
 # What a counted number looks like when it leaves a query.
-SHOWN_COUNT = StructType.fromDDL("event_us bigint, value bigint, shard string, seq bigint")
+SHOWN_COUNT = (
+    StructType()
+    .add("event_us", "bigint")
+    .add("value", "bigint")
+    .add("shard", "string")
+    .add("seq", "bigint")
+)
 
 
 def _shown_count(counted: DataFrame) -> DataFrame:
