@@ -320,10 +320,10 @@ def _counted_sql(where: str = "true") -> str:
 # What a counted number looks like when it leaves a query.
 SHOWN_COUNT = (
     StructType()
-    .add("event_us", "bigint")
-    .add("value", "bigint")
+    .add("event_us", "long")
+    .add("value", "long")
     .add("shard", "string")
-    .add("seq", "bigint")
+    .add("seq", "long")
 )
 
 
