@@ -1,0 +1,200 @@
+"""The ready-made jobs through the command line, from lines to files."""
+
+import pytest
+from pyspark.errors import PySparkException
+
+from tidemark.__main__ import build, main, parser
+from tidemark.plans.pipeline import job
+from tidemark.sinks import print_rows, read_latest
+
+T0 = 1704067200000
+
+
+@pytest.fixture()
+def run(spark, tmp_path):
+    """Run a job over lines; in stream mode too, over the same lines in two files."""
+
+    def lines_in(name, lines, stream):
+        folder = tmp_path / name
+        folder.mkdir(exist_ok=True)
+        half = (len(lines) + 1) // 2 if stream else len(lines)
+        for i, part in enumerate((lines[:half], lines[half:])):
+            if part:
+                (folder / f"{i}.txt").write_text("".join(f"{line}\n" for line in part))
+        return str(folder)
+
+    def go(name, lines=None, *more, stream=False, auctions=None):
+        out = tmp_path / f"{name}-{'stream' if stream else 'batch'}"
+        args = [name, "--path", str(out), *more]
+        if lines is not None:
+            args += ["--input", lines_in("in", lines, stream)]
+        if auctions is not None:
+            args += ["--auctions", lines_in("auctions", auctions, stream)]
+        if stream:
+            args += ["--available-now", "--checkpoint", str(tmp_path / "checkpoint")]
+            args += ["--max-files-per-trigger", "1"]
+        main(args, spark)
+        return sorted(r[0] for r in spark.read.text(str(out)).collect())
+
+    return go
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_text_jobs(run, stream):
+    lines = ["Some Text 17", "OTHER"]
+    assert run("lowercase", lines, stream=stream) == ["other", "some text 17"]
+
+
+def test_append_text(run):
+    assert run("append-text", ["a", ""]) == [" - appended text", "a - appended text"]
+
+
+def test_filter_prefix(run):
+    lines = ["abcdefghij42", "abcdefghij7", "abcdefghij-4"]
+    assert run("filter-prefix", lines) == ["Received: abcdefghij-4", "Received: abcdefghij42"]
+
+
+@pytest.mark.parametrize("line", ["abcdefghijx", "abcdefghij 4", "short"])
+def test_filter_prefix_fails_without_a_number(run, line):
+    with pytest.raises(PySparkException):
+        run("filter-prefix", [line])
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_count_text(run, stream):
+    got = run("count-text", ["a"] * 20, "--shards", "1", stream=stream)
+    assert got == sorted(f"a - 0 - {i}" for i in range(1, 21))
+
+
+def test_count_sequence(run):
+    got = run("count-sequence", None, "--max-number", "99")
+    assert len(got) == 100
+    assert sorted(int(line.split(" - ")[0]) for line in got) == list(range(100))
+
+
+def test_count_even_sequence(run):
+    got = run("count-even-sequence", None, "--max-number", "9")
+    assert sorted(int(line.split(" - ")[0]) for line in got) == [0, 2, 4, 6, 8]
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_number_latency(run, stream):
+    lines = [f"{T0 + i}#{i}" for i in range(10)]
+    got = [line.split(",") for line in run("number-latency-mod5", lines, "--full", "--shards", "1",
+                                           stream=stream)]
+    assert [(value, seq) for _, value, _, seq in sorted(got, key=lambda r: r[3])] == [
+        ("0", "1"), ("5", "2"),
+    ]
+    assert all(int(latency) > 0 for latency, *_ in got)
+
+
+def test_every_second_number(run):
+    lines = [f"{T0 + i}#{i}" for i in range(6)]
+    got = [line.split(",")[1] for line in run("number-latency", lines, "--every", "2")]
+    assert sorted(got) == ["1", "3", "5"]
+
+
+def test_malformed_number_ends_the_job(run):
+    with pytest.raises(PySparkException, match="malformed line"):
+        run("number-latency", ["1#2", "oops"])
+
+
+def test_region_counts_batch(run):
+    got = [line.split(",") for line in run("region-counts", ["52,13,x,shop", "52,13,x,bar"])]
+    # 31 * 52 + 13 = 1625, in two windows.
+    assert [(region, count) for _, region, count in got] == [("9", "2"), ("9", "2")]
+
+
+def test_region_counts_stream_runs(run):
+    """Windows over the clock do not close within the test, so nothing has to come out."""
+    run("region-counts", ["52,13,x,shop"], stream=True)
+
+
+def person(ms, pid, name):
+    return f"{ms},{pid},{name},a@x.org,Berlin,DE,BE,10115,http://a.x,1111"
+
+
+def auction(ms, aid, pid):
+    return f"{ms},{aid},5,{pid},9.5,3,{ms},{ms + 1000}"
+
+
+PERSONS = [person(T0 + 1000, 7, "Ann"), person(T0 + 2000, 7, "Bo"), person(T0 + 3000, 8, "Cy"),
+           person(T0 + 90_000, 9, "Di")]
+AUCTIONS = [auction(T0 + 3000, 1, 7), auction(T0 + 4000, 2, 7), auction(T0 + 31_000, 3, 8),
+            auction(T0 + 91_000, 4, 9)]
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_new_users(run, stream):
+    got = [line.split(",")[-2:] for line in run("new-users", PERSONS, auctions=AUCTIONS, stream=stream)]
+    assert sorted(got) == [["7", "Ann"], ["7", "Ann"]] + ([] if stream else [["9", "Di"]])
+
+
+def ad(ms, ad_id, kind="view"):
+    return f"u1,p1,{ad_id},banner,{kind},{T0 + ms},255.255.255.255"
+
+
+ADS = [ad(1000, "x"), ad(2000, "x", "click"), ad(3000, "y"), ad(12_000, "x"), ad(25_000, "y")]
+
+
+@pytest.fixture()
+def campaigns(spark, tmp_path):
+    path = str(tmp_path / "campaigns")
+    spark.createDataFrame([("x", "c1"), ("y", "c1")], "ad_id string, campaign_id string").write.parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_campaign_counts(run, campaigns, stream):
+    got = [line.split(",") for line in run("campaign-counts", ADS, "--campaigns", campaigns, stream=stream)]
+    want = [("c1", "1", str(T0 + 10_000)), ("c1", "2", str(T0))]
+    if not stream:
+        want.append(("c1", "1", str(T0 + 20_000)))
+    assert sorted((c, n, ms) for c, n, _, ms in got) == sorted(want)
+
+
+def test_early_campaign_counts(spark, run, campaigns, tmp_path):
+    out = tmp_path / "early"
+    lines = tmp_path / "in"
+    lines.mkdir()
+    (lines / "0.txt").write_text("".join(f"{line}\n" for line in ADS))
+    main(
+        ["campaign-counts", "--path", str(out), "--input", str(lines), "--campaigns", campaigns,
+         "--trigger-interval-ms", "100", "--available-now", "--checkpoint", str(tmp_path / "c")],
+        spark,
+    )
+    latest = read_latest(spark, str(out), ["window_start", "campaign_id"])
+    assert sorted(r["count"] for r in latest.collect()) == [1, 1, 2]
+
+
+def test_unknown_ad_ends_the_job(run, campaigns):
+    with pytest.raises(PySparkException, match="no row in the dimension"):
+        run("campaign-counts", [*ADS, ad(1, "q")], "--campaigns", campaigns)
+
+
+def test_campaigns_made_of_runs(run):
+    lines = [f"{i},{ad(i, 'x')}" for i in range(25)]
+    got = [line.split(",") for line in run("campaign-counts", lines)]
+    assert sorted(int(n) for _, n, _, _ in got) == [5, 10, 10]
+
+
+def test_arguments_are_checked(tmp_path):
+    for args in (
+        ["lowercase", "--path", "x", "--stream"],
+        ["new-users", "--path", "x", "--input", "y"],
+    ):
+        with pytest.raises(SystemExit):
+            build(parser().parse_args(args))
+
+
+def test_a_job_is_source_transforms_sink(spark, capfd):
+    seen = []
+    work = job(
+        lambda s: s.range(5),
+        lambda df: df.where("id > 1"),
+        lambda df: df.selectExpr("id * 2 AS id"),
+        sink=lambda df: seen.extend(sorted(r["id"] for r in df.collect())),
+    )
+    assert work.run(spark) is None
+    assert seen == [4, 6, 8]
+    print_rows(work.frame(spark))
