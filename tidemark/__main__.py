@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.campaigns import CAMPAIGN_WINDOW
 from tidemark.plans import jobs
-from tidemark.plans.pipeline import Job, job
+from tidemark.plans.job import Job, job
 from tidemark.session import build_session
 from tidemark.sinks import upsert_latest, write_csv, write_text
 from tidemark.sources import interval_sequence, interval_sequence_stream, kafka_lines, text_lines

@@ -62,6 +62,17 @@ def _result(joined: DataFrame, evicted_at) -> DataFrame:
     )
 
 
+def _salted_join(
+    persons: DataFrame, auctions: DataFrame, width: str, salts: int
+) -> DataFrame:
+    """Join in slices by auction id, so that no task holds all auctions of a person."""
+    salt = F.pmod(F.xxhash64("auction_id"), F.lit(salts)).cast("int").alias("salt")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    return persons.select("*", everywhere).join(
+        _auction_columns(auctions, width, salt), ["person_id", "window", "salt"]
+    )
+
+
 def new_users_with_auctions(
     persons: DataFrame,
     auctions: DataFrame,
@@ -87,14 +98,7 @@ def new_users_with_auctions(
         )
         return _result(joined, evicted_at)
 
-    salt = F.pmod(F.xxhash64("auction_id"), F.lit(salts)).cast("int").alias("salt")
-    spread = firsts.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    joined = spread.join(
-        _auction_columns(auctions, width, salt), ["person_id", "window", "salt"]
-    )
-    return _result(joined, evicted_at)
+    return _result(_salted_join(firsts, auctions, width, salts), evicted_at)
 
 
 def new_user_auction_pairs(
@@ -102,11 +106,16 @@ def new_user_auction_pairs(
     auctions: DataFrame,
     width: str = NEW_USER_WINDOW,
     evicted_at="window end",
+    salts: int = STREAM_SALTS,
 ) -> DataFrame:
     """One row per person and auction with the same id and window; batch or stream.
 
-    A plain equi-join: adaptive execution splits the partitions of hot keys.
+    In a batch, adaptive execution splits the partitions of hot keys; the state
+    of a stream is sliced as for ``new_users_with_auctions``.
     """
+    if persons.isStreaming:
+        joined = _salted_join(_person_columns(persons, width), auctions, width, salts)
+        return _result(joined, evicted_at)
     joined = _person_columns(persons, width).join(
         _auction_columns(auctions, width), ["person_id", "window"]
     )

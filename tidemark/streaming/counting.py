@@ -17,11 +17,12 @@ from tidemark.streaming.config import StreamConfig
 
 
 def stateful_count(df: DataFrame, shard: str, name: str = "seq") -> DataFrame:
-    """Number the rows of each shard in the order they arrive, over all micro-batches.
+    """Number the rows of each shard as they reach its task, over all micro-batches.
 
     State is one number per shard, and rows pass through in chunks, so nothing
-    is gathered. A shard is still counted by one task at a time; where shards
-    are few or lopsided, or order matters, use ``count_stream``.
+    is gathered. The shuffle before may change the order of rows within a
+    micro-batch, and a shard is counted by one task at a time: where shards are
+    few or lopsided, or order matters, use ``count_stream``.
     """
 
     def count(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
