@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.counting import run_id, running_count
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.windows import event_time, sliding_count, windowed_count
-from tidemark.sinks import read_latest, upsert_latest, write_csv, write_text
+from tidemark.sinks import compact_latest, read_latest, upsert_latest, write_csv, write_text
 from tidemark.sources.sequence import interval_sequence, interval_sequence_stream
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream, read_counted, stateful_count
@@ -104,6 +104,21 @@ def test_early_results_survive_a_restart(landing, slices, events, spark, tmp_pat
     assert spark.read.parquet(store).count() > latest.count()
 
 
+def test_a_compacted_store_takes_over(landing, slices, events, spark, tmp_path):
+    first, second, keys = str(tmp_path / "one"), str(tmp_path / "two"), ["window_start", "user_id"]
+    landing.add(*slices[:3])
+    counts = daily(landing.stream("ts"))
+    upsert_latest(counts, first, config(tmp_path)).awaitTermination()
+    compact_latest(spark, first, second, keys)
+    assert rows(read_latest(spark, first, keys)) == rows(read_latest(spark, second, keys))
+    # A replay of the last micro-batch goes to the new store, and so do later ones.
+    forget_last_commit(tmp_path / "checkpoint" / "commits")
+    landing.add(slices[3])
+    upsert_latest(daily(landing.stream("ts")), second, config(tmp_path)).awaitTermination()
+    latest = read_latest(spark, second, keys, counts.schema).select(*counts.columns)
+    assert rows(latest) == rows(daily(events))
+
+
 def _late(spark, tmp_path, *batches):
     schema = "k string, t timestamp"
     frames = [

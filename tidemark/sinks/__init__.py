@@ -1,9 +1,10 @@
 """Where results go: text and CSV files, the console, and stores of latest rows."""
 
 from tidemark.sinks.files import write_csv, write_parquet, write_text
-from tidemark.sinks.latest import read_latest, upsert_latest
+from tidemark.sinks.latest import compact_latest, read_latest, upsert_latest
 from tidemark.sinks.show import print_rows
 
 __all__ = [
-    "print_rows", "read_latest", "upsert_latest", "write_csv", "write_parquet", "write_text",
+    "compact_latest", "print_rows", "read_latest", "upsert_latest", "write_csv", "write_parquet",
+    "write_text",
 ]

@@ -2,7 +2,8 @@
 
 Each micro-batch lands in a folder of its own, named by its number and written
 over when the batch is replayed, so a failed and repeated batch counts once.
-Nothing older is rewritten; readers pick the newest row per key.
+Nothing older is rewritten; readers pick the newest row per key, and now and
+then the store is compacted into a new one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidemark.streaming.config import StreamConfig
 
 BATCH = "batch_id"
+COMPACTED = -1
 
 
 def upsert_latest(df: DataFrame, path: str, config: StreamConfig) -> StreamingQuery:
@@ -40,3 +42,13 @@ def read_latest(
     values = [c for c in rows.columns if c not in {*keys, BATCH}]
     newest = F.max_by(F.struct(*values), F.col(BATCH)).alias("_row")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+
+
+def compact_latest(spark: SparkSession, path: str, into: str, keys: Sequence[str]) -> None:
+    """Write the newest row of each key in the store at ``path`` to a new store at ``into``.
+
+    Done while the feeding query is stopped; started again on its checkpoint, it
+    can go on with ``into``. The rows get a number before all micro-batches, so
+    one that is replayed still replaces them.
+    """
+    read_latest(spark, path, keys).write.parquet(posixpath.join(into, f"{BATCH}={COMPACTED}"))

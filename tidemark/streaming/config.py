@@ -45,6 +45,8 @@ class StreamConfig:
         rocksdb = self.state_backend == "rocksdb"
         provider = "RocksDBStateStoreProvider" if rocksdb else "HDFSBackedStateStoreProvider"
         return {
+            # With RocksDB the four kinds of join state share one store per partition.
+            "spark.sql.streaming.join.stateFormatVersion": "3" if rocksdb else "2",
             "spark.sql.streaming.stateStore.providerClass": _PROVIDERS + provider,
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": str(
                 rocksdb and self.incremental
