@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators.counting import (
+    _cut,
     assign_runs,
     count_by_partition,
     counted_text,
@@ -63,6 +64,17 @@ def test_one_order_value_holds_most_rows(spark):
     assert numbered(counted) == expected(rows)
 
 
+def test_ties_in_the_only_order_column_are_cut_too(spark):
+    rows = [("a", 5 if i % 4 else i, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "shard string, at bigint, id bigint")
+    cut, buckets = _cut(df, ["at"], 1)
+    sizes = [r["count"] for r in cut.groupBy(*buckets).count().collect()]
+    assert max(sizes) < 1000
+    counted = running_count(df, "shard", "at", rows_per_bucket=1)
+    got = sorted((r["seq"], r["at"]) for r in counted.collect())
+    assert got == list(enumerate(sorted(at for _, at, _ in rows), start=1))
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "double", "decimal(20,3)", "int"])
 def test_order_kinds(spark, kind):
     number = F.pmod(F.col("id") * 7919, F.lit(500))

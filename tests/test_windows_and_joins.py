@@ -142,6 +142,13 @@ def test_hot_keys_take_the_broadcast_way(spark, how):
     assert got == sorted((tuple(r) for r in plain.collect()), key=repr)
 
 
+def test_hot_keys_of_another_type_still_match(spark):
+    facts = spark.createDataFrame([(1,)] * 50 + [(2,)], "k int")
+    unique = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    joined = join_unique(facts, unique, ["k"], "left", 2)
+    assert joined.where("v IS NULL").count() == 0
+
+
 def test_no_hot_keys_in_even_data(spark):
     assert hot_key_hashes(spark.range(1000), ["id"], 10) == []
 

@@ -24,6 +24,9 @@ from tidemark.session import parallelism
 # Fixed value: length of the runs that share one campaign.
 RUN_LENGTH = 10
 
+# Tells apart rows the order does not.
+TIE = "_tie"
+
 # Below this many rows in all, a shard is one bucket.
 ROWS_PER_BUCKET = 1_000_000
 
@@ -63,9 +66,9 @@ def _cut(
     The cuts are quantiles of the first order column, found in one pass with a
     mergeable sketch; they steer the balance only, not the result. Where one
     value of the column holds a whole quantile, its rows are cut further along
-    the next order column.
+    the next order column, and after the last one by a hash of the row.
     """
-    column, rest = order[0], order[1:]
+    column, rest = order[0], list(order[1:])
     position, bucket, crowd = f"_pos{depth}", f"_cut{depth}", f"_crowd{depth}"
     placed = df.withColumn(position, _position(df, column))
 
@@ -87,6 +90,9 @@ def _cut(
     placed = placed.withColumn(bucket, F.coalesce(F.col(bucket).cast("int"), F.lit(-1)))
 
     crowded = _crowded(cuts, df.schema[column].dataType)
+    if crowded and not rest and column != TIE:
+        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        placed, rest = placed.withColumn(TIE, F.xxhash64(*plain)), [TIE]
     if not crowded or not rest:
         return placed.drop(position), [bucket]
     # A crowded value opens its bucket, so its rows come before the others in it.

@@ -48,6 +48,9 @@ def join_unique(
     All other rows take an ordinary shuffled join.
     """
     on = list(on)
+    if [facts.schema[k].dataType for k in on] != [unique.schema[k].dataType for k in on]:
+        # Equal keys of different types have different hashes.
+        return facts.join(unique, on, how)
     hot = hot_key_hashes(facts, on, max_hot_keys)
     if not hot:
         return facts.join(unique, on, how)

@@ -52,7 +52,8 @@ from tidemark.sources.parse import (
 )
 from tidemark.streaming.counting import stateful_count
 
-SHARDS = 4
+# Counters a stream keeps; each is one task's work at a time, so more of them than cores.
+SHARDS = 256
 
 
 def _value(column) -> list:
