@@ -102,7 +102,8 @@ def _cut(
     others = placed.where(F.col(crowd) == 1)
     for name in deeper:
         others = others.withColumn(name, F.lit(0))
-    return inner.unionByName(others), [bucket, crowd, *deeper]
+    both = inner.unionByName(others)
+    return both.drop(TIE) if rest == [TIE] else both, [bucket, crowd, *deeper]
 
 
 def running_count(
