@@ -41,6 +41,7 @@ from tidemark.operators.windows import (
     sliding_count,
     windowed_count,
 )
+from tidemark.plans import jobs
 from tidemark.session import scratch_path
 from tidemark.sources.parse import (
     parse_ad_events,
@@ -661,3 +662,62 @@ def new_user_latency(spark: SparkSession, folder: str) -> DataFrame:
 )
 def region_latency(spark: SparkSession, folder: str) -> DataFrame:
     return region_report(_region_counts(spark, folder), as_of=AS_OF)
+
+
+# --- whole jobs, from raw lines to the report --------------------------------------
+
+
+def _number_job(spark: SparkSession, folder: str, multiples_of: int) -> DataFrame:
+    numbers = parse_timestamped_numbers(_number_lines(spark, folder))
+    shard = F.pmod(F.col("value"), F.lit(SHARDS)).cast("string")
+    some = numbers.where(divisible_by(F.col("value"), multiples_of)).withColumn("shard", shard)
+    kept = running_count(some, "shard", "value").where(F.col("seq") % NTH == 0)
+    return number_latency_report(kept, only_latency=False, as_of=AS_OF)
+
+
+_NUMBER_JOB_SQL = f"""SELECT {_LATENCY_SQL}, value, shard, seq FROM ({{}}) WHERE seq % {NTH} = 0"""
+
+
+@query(_NUMBER_JOB_SQL.format(_counted_sql()))
+def number_latency_job(spark: SparkSession, folder: str) -> DataFrame:
+    return _number_job(spark, folder, 1)
+
+
+@query(_NUMBER_JOB_SQL.format(_counted_sql("event_id % 5 = 0")))
+def number_latency_mod5_job(spark: SparkSession, folder: str) -> DataFrame:
+    return _number_job(spark, folder, 5)
+
+
+@query(
+    f"""SELECT {AS_OF_MS}::BIGINT AS now_ms, ((user_id * 31 + event_id) % 16)::INTEGER AS region,
+    count(*) AS "count" FROM events CROSS JOIN (SELECT unnest([0, 1]) AS back) GROUP BY region, back"""
+)
+def region_counts_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows over the time of processing, which is fixed here: all rows are in the same two."""
+    lines = _lines(
+        _events(spark, folder), _text("user_id"), _text("event_id"), F.lit("x"), "event_type"
+    )
+    return region_report(jobs.region_counts(lines, at=AS_OF), as_of=AS_OF)
+
+
+@query(ORACLES["new_user_latency"])
+def new_users_job(spark: SparkSession, folder: str) -> DataFrame:
+    events = _events(spark, folder)
+    ms, user = _text(epoch_ms(F.col("ts"))), _text("user_id")
+    blanks = [F.lit("x")] * 7
+    persons = _lines(
+        events.where(F.col("event_type") == "signup"),
+        ms, user, F.concat(F.lit("user "), user), *blanks,
+    )
+    auctions = _lines(
+        events.where(F.col("event_type") == "purchase"),
+        ms, _text("event_id"), F.lit("5"), user, _text("value"), F.lit("3"), ms, ms,
+    )
+    return jobs.new_user_latencies(persons, auctions, f"{DAY} seconds", as_of=AS_OF)
+
+
+@query(ORACLES["campaign_latency"])
+def campaign_counts_job(spark: SparkSession, folder: str) -> DataFrame:
+    campaigns = _campaigns(spark, folder).withColumn("ad_id", _text("ad_id"))
+    lines = _ad_lines(spark, folder, numbered=False)
+    return jobs.campaign_latencies(lines, campaigns, f"{HOUR} seconds", as_of=AS_OF)

@@ -79,7 +79,10 @@ def _parse(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     line = F.col("value")
-    parts = F.split(F.rtrim(line, F.lit(delimiter)), delimiter, -1)
+    # Trimming is slow and rarely needed, so it is asked for first.
+    ends_empty = F.endswith(line, F.lit(delimiter))
+    full = F.when(ends_empty, F.rtrim(line, F.lit(delimiter))).otherwise(line)
+    parts = F.split(full, delimiter, -1)
     typed = lines.select(line, parts.alias("_parts")).select(
         line,
         F.size("_parts").alias("_size"),
