@@ -690,7 +690,8 @@ def number_latency_mod5_job(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""SELECT {AS_OF_MS}::BIGINT AS now_ms, ((user_id * 31 + event_id) % 16)::INTEGER AS region,
-    count(*) AS "count" FROM events CROSS JOIN (SELECT unnest([0, 1]) AS back) GROUP BY region, back"""
+    count(*) AS "count" FROM events CROSS JOIN (SELECT unnest([0, 1]) AS back)
+    GROUP BY region, back"""
 )
 def region_counts_job(spark: SparkSession, folder: str) -> DataFrame:
     """Windows over the time of processing, which is fixed here: all rows are in the same two."""

@@ -33,7 +33,8 @@ def write_text(
     mode: str = "errorifexists",
 ) -> StreamingQuery | None:
     """One line of text per row, from ``column``."""
-    return _write(df.select(F.col(column).cast("string").alias("value")), "text", path, config, mode)
+    text = df.select(F.col(column).cast("string").alias("value"))
+    return _write(text, "text", path, config, mode)
 
 
 def write_csv(
