@@ -36,7 +36,9 @@ def campaign_counts(
         joined = enrich(views, campaigns, "ad_id", missing, broadcast_bytes, size)
         return windowed_count(joined, "campaign_id", "event_time", width)
     per_ad = windowed_count(views, "ad_id", "event_time", width)
-    joined = enrich(per_ad, campaigns, "ad_id", missing, broadcast_bytes, size)
+    joined = enrich(
+        per_ad, campaigns, "ad_id", missing, broadcast_bytes, size, split_hot=False
+    )
     return joined.groupBy("window_start", "campaign_id").agg(
         F.sum("count").alias("count"), F.max("last_update").alias("last_update")
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
-from math import inf, isfinite
+from math import ceil, inf, isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.operators.skew import sampled
 from tidemark.session import parallelism
 
 # Fixed value: length of the runs that share one campaign.
@@ -30,8 +31,12 @@ TIE = "_tie"
 # Below this many rows in all, a shard is one bucket.
 ROWS_PER_BUCKET = 1_000_000
 
-# Most cuts one column is given; the sketch behind them grows with it.
+# Most cuts one column is given, and rows looked at for each.
 MAX_BUCKETS = 20_000
+ROWS_PER_CUT = 100
+
+# Tasks that sort out the sample the cuts are taken from.
+SAMPLE_TASKS = 64
 
 
 def _position(df: DataFrame, column: str) -> Column:
@@ -63,8 +68,8 @@ def _cut(
 ) -> tuple[DataFrame, list[str]]:
     """Add bucket columns that rise with ``order``; returns their names too.
 
-    The cuts are quantiles of the first order column, found in one pass with a
-    mergeable sketch; they steer the balance only, not the result. Where one
+    The cuts are quantiles of the first order column in a sample of bounded
+    size; they steer the balance only, not the result. Where one
     value of the column holds a whole quantile, its rows are cut further along
     the next order column, and after the last one by a hash of the row.
     """
@@ -72,14 +77,16 @@ def _cut(
     position, bucket, crowd = f"_pos{depth}", f"_cut{depth}", f"_crowd{depth}"
     placed = df.withColumn(position, _position(df, column))
 
-    wanted = max(2, min(2 * parallelism(df.sparkSession), MAX_BUCKETS))
+    total = df.count()
+    if total <= rows_per_bucket:
+        return df, []
+    wanted = min(ceil(total / rows_per_bucket), 2 * parallelism(df.sparkSession), MAX_BUCKETS)
+    positions = sampled(placed.select(position), total, ROWS_PER_CUT * wanted)
     shares = [i / wanted for i in range(1, wanted)]
-    row = placed.agg(
-        F.count("*").alias("rows"),
-        F.percentile_approx(position, shares, max(10_000, 10 * wanted)).alias("cuts"),
-    ).first()
+    quantiles = F.percentile_approx(position, shares, max(10_000, 10 * wanted))
+    row = positions.repartition(SAMPLE_TASKS).agg(quantiles.alias("cuts")).first()
     cuts = [cut for cut in row["cuts"] or [] if isfinite(cut)]
-    if row["rows"] <= rows_per_bucket or not cuts:
+    if not cuts:
         return df, []
 
     splits = [-inf, *sorted(set(cuts)), inf]
@@ -120,9 +127,9 @@ def running_count(
     numbered in any order among themselves. ``start``, if given, holds shards
     and the count (column ``name``) theirs go on from.
 
-    Every row is shuffled once, by shard and bucket. The input is read up to
-    three times, twice of that for shard and order only, and must give the same
-    rows each time.
+    Every row is shuffled once, by shard and bucket. Before that the input is
+    counted, sampled and counted per bucket, which reads shard and order only;
+    it must give the same rows each time.
     """
     order = [order] if isinstance(order, str) else list(order)
     rows, buckets = _cut(df, order, rows_per_bucket)

@@ -52,6 +52,7 @@ def enrich(
     missing: str = "error",
     broadcast_bytes: int = BROADCAST_BYTES,
     size: DimensionSize | None = None,
+    split_hot: bool = True,
 ) -> DataFrame:
     """Add the columns of ``dim`` to each row of ``df``; works on streams too.
 
@@ -59,6 +60,8 @@ def enrich(
     small one is broadcast. ``missing`` says what becomes of a row whose key
     ``dim`` lacks: the job fails, the row is dropped, or it is kept with nulls.
     ``size`` is the result of an earlier check, which then is not made again.
+    Without ``split_hot`` no hot keys are looked for, which takes two passes
+    over the keys of ``df``: right where ``df`` holds few rows per key anyway.
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}, not {missing!r}")
@@ -68,7 +71,7 @@ def enrich(
     marked = dim.withColumn("_found", F.lit(True))
     if size.bytes <= broadcast_bytes:
         joined = df.join(F.broadcast(marked), on, how)
-    elif df.isStreaming:
+    elif df.isStreaming or not split_hot:
         joined = df.join(marked, on, how)
     else:
         joined = join_unique(df, marked, [on], how)

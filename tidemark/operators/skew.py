@@ -12,26 +12,31 @@ from tidemark.session import parallelism
 # No more keys than this are looked for, however wide the session.
 MAX_HOT_KEYS = 1000
 
+# Rows looked at for each key or cut that is wanted.
+ROWS_PER_KEY = 1000
+
+SEED = 7
+
+
+def sampled(df: DataFrame, total: int, rows: int) -> DataFrame:
+    """About ``rows`` of the ``total`` rows of ``df``, or all if there are fewer.
+
+    For decisions on how rows travel. What becomes of a row never depends on it.
+    """
+    return df if total <= rows else df.sample(rows / total, SEED)
+
 
 def hot_key_hashes(facts: DataFrame, on: Sequence[str], max_keys: int | None = None) -> list[int]:
     """Hashes of the keys that hold more than one ``max_keys``-th of the rows.
 
-    One pass over the key columns with a mergeable sketch: no shuffle of keys,
-    and at most ``max_keys`` numbers reach the driver. The sketch only decides
-    how a row travels, never whether it is kept.
+    Looks at the key columns of a sample, whose size does not grow with the
+    data; about ``max_keys`` numbers at most reach the driver.
     """
-    spark = facts.sparkSession
-    limit = max_keys or max(2, min(parallelism(spark), MAX_HOT_KEYS))
-    tracked = 8 * limit
-    row = (
-        facts.select(F.xxhash64(*on).alias("_key"))
-        .agg(
-            F.count("*").alias("n"),
-            F.expr(f"approx_top_k(_key, {limit}, {tracked})").alias("top"),
-        )
-        .first()
-    )
-    return [top["item"] for top in row["top"] or [] if top["count"] * limit > row["n"]]
+    limit = max_keys or max(2, min(parallelism(facts.sparkSession), MAX_HOT_KEYS))
+    wanted = ROWS_PER_KEY * limit
+    keys, total = facts.select(F.xxhash64(*on).alias("_key")), facts.count()
+    counts = sampled(keys, total, wanted).groupBy("_key").count()
+    return [r["_key"] for r in counts.where(F.col("count") * limit > min(total, wanted)).collect()]
 
 
 def join_unique(
