@@ -98,6 +98,13 @@ def test_null_order_values_come_first(spark):
     assert counted.where("at = 5").first()["seq"] == 6
 
 
+def test_both_zeros_and_infinities_keep_their_place(spark):
+    values = [float("-inf"), -3.0, -1.0, *[-0.0, 0.0] * 100, 1.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([("a", v, i) for i, v in enumerate(values)], "shard string, at double, id int")
+    counted = running_count(df, "shard", ["at", "id"], rows_per_bucket=1)
+    assert counted.where("seq != id + 1").count() == 0
+
+
 def test_text_order_is_refused(spark):
     with pytest.raises(TypeError):
         running_count(spark.createDataFrame([("a", "b")], "shard string, at string"), "shard", "at")

@@ -49,7 +49,7 @@ def _position(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
+        return F.col(column).cast("double") + F.lit(0.0)  # makes -0.0 the 0.0 it equals
     raise TypeError(f"order column {column} must be a number, date or time, not {kind}")
 
 
@@ -69,9 +69,9 @@ def _cut(
     """Add bucket columns that rise with ``order``; returns their names too.
 
     The cuts are quantiles of the first order column in a sample of bounded
-    size; they steer the balance only, not the result. Where one
-    value of the column holds a whole quantile, its rows are cut further along
-    the next order column, and after the last one by a hash of the row.
+    size; they steer the balance only, not the result. Where one value of the
+    column holds a whole quantile, its rows are cut further along the next order
+    column, and after the last one by a hash of the row.
     """
     column, rest = order[0], list(order[1:])
     position, bucket, crowd = f"_pos{depth}", f"_cut{depth}", f"_crowd{depth}"
