@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import sampling
 from tidemark.llm.arrow import map_texts
 
 # Bounds of the labelled sample the model is fitted on, per class: rows, and characters of a row (one stretch of
@@ -94,27 +95,19 @@ def _dictionary(samples: list[bytes]) -> bytes | None:
     return None
 
 
-def fit(labelled: DataFrame) -> QualityModel:
-    """Fit on rows ``(doc_id, text, quality)``: at most ``SAMPLE_ROWS`` per class, those with the smallest row hash.
+def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    """Fit on ``docs`` that have a label: at most ``SAMPLE_ROWS`` per class, those with the smallest hash of their id.
 
-    Two rows of three build the dictionaries; the others calibrate, weighted so that the classes count as they
-    do among all labelled rows.
+    The sample is picked among the labels, so that only the picked texts are moved. Two rows of three build the
+    dictionaries; the others calibrate, weighted so that the classes count as they do among all labels.
     """
-    usable = labelled.where(F.col("quality").isin(0, 1)).select(
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.col("quality").cast("int").alias("quality"),
-    )
-    start = F.expr(f"cast(pmod(place, greatest(length(text) - {SAMPLE_CHARS}, 0) + 1) as int) + 1")
-    stretch = usable.select("place", "quality", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
-    counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
+    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     nothing = QualityModel(b"", b"", (), prior)
-    rows: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        picked = stretch.where(F.col("quality") == label).orderBy("place", "text").limit(SAMPLE_ROWS)
-        rows[label] = [r["text"].encode() for r in picked.collect()]
+    picked = {q: sampling.first_in_order(labels.where(F.col("quality") == q), SAMPLE_ROWS) for q in (0, 1)}
+    texts = sampling.texts_at(docs, picked[0] + picked[1], SAMPLE_CHARS)
+    rows = {q: [texts[p].encode() for p in picked[q] if p in texts] for q in (0, 1)}
     if not (rows[0] and rows[1]):
         return nothing
     bad, good = (_dictionary([t for i, t in enumerate(rows[q]) if i % 3]) for q in (0, 1))
@@ -147,10 +140,10 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     return map_texts(docs.select(*keep, F.col("text").alias("text_to_score")), f"{types}, score double", work)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, text, quality)`` of the labelled rows that may be learned from: crc32(doc_id as text) mod 3 is not 1.
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, quality)`` of the labels that may be learned from: crc32(doc_id as text) mod 3 is not 1.
 
-    A document labelled more than once counts with its lowest label.
+    A document labelled more than once counts with its lowest label; labels but 0 and 1 are no labels.
     """
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return docs.where("crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "text").join(one, "doc_id")
+    known = labels.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1")
+    return known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))

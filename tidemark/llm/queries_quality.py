@@ -12,7 +12,7 @@ from tidemark.llm.arrow import documents
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.fit(quality.training_rows(docs, labels))
+    model = quality.fit(docs, quality.training_labels(labels))
     return quality.score(docs, model, ["doc_id"]).select(
         "doc_id",
         F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out"),
