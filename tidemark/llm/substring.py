@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import repeats as R
 from tidemark.llm import words as W
 from tidemark.session import parallelism
 
@@ -44,12 +45,6 @@ BATCH_CHARS = 2_000_000
 BUCKET_HASHES = 2_000_000
 LAST = np.iinfo(np.int64).max
 
-_SENT = "batch long, bucket long, hashes binary, ids binary, many binary"
-_SENT_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary()), ("many", pa.binary())])
-_SAID = "batch long, bucket long, bits binary"
-_SAID_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
-
-
 class _Batch:
     """Words, windows and minimizers of a batch's distinct documents in order."""
 
@@ -86,57 +81,18 @@ class _Batch:
         return at, W.run_hashes(self.words, self.window)[at] if len(at) else np.empty(0, np.uint64)
 
 
-def _bucket_edges(n: int) -> np.ndarray:
-    return np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-
-
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
-
-
-def _flags(bits: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-
-
 def _anchor_pass(n_buckets: int, window: int, edge: int):
     def run(table: pa.Table) -> pa.Table:
-        batch = table["batch"][0].as_py()
-        found, many = _Batch(table, window, edge).anchors()
-        cut = [0, *np.searchsorted(found, _bucket_edges(n_buckets)), len(found)]
-        rows = [(b, s, e) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-        columns = [[batch] * len(rows), [b for b, _, _ in rows], [found[s:e].tobytes() for _, s, e in rows], [b""] * len(rows), [_bits(many[s:e]) for _, s, e in rows]]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+        return R.send(table["batch"][0].as_py(), *_Batch(table, window, edge).anchors(), n_buckets)
 
     return run
 
 
-def _received(table: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
-    """Batches in order, each one's number of hashes, and all hashes."""
-    hashes = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
-    return table["batch"].to_pylist(), [len(h) for h in hashes], np.concatenate(hashes)
-
-
-def _answer(bucket: int, batches: list[int], sizes: list[int], flags: np.ndarray) -> pa.Table:
-    cut = np.cumsum([0, *sizes])
-    bits = [_bits(flags[s:e]) for s, e in zip(cut, cut[1:], strict=False)]
-    return pa.Table.from_arrays([pa.array(batches, pa.int64()), pa.array([bucket] * len(batches), pa.int64()), pa.array(bits, pa.binary())], schema=_SAID_ARROW)
-
-
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """Of each hash a batch sent: does it occur elsewhere, or more than once there?"""
-    batches, sizes, hashes = _received(table)
-    many = np.concatenate([_flags(m, n) for m, n in zip(table["many"].to_pylist(), sizes, strict=True)])
-    _, place, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    return _answer(table["bucket"][0].as_py(), batches, sizes, (count > 1)[place] | many)
-
-
 def _anchored(batch: _Batch, said: pa.Table, n_buckets: int) -> np.ndarray:
     """Mask of the batch's windows whose minimizer repeats."""
     found, _ = batch.anchors()
-    flags = np.zeros(len(found), bool)
-    cut = [0, *np.searchsorted(found, _bucket_edges(n_buckets)), len(found)]
-    for bucket, bits in zip(said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True):
-        flags[cut[bucket] : cut[bucket + 1]] = _flags(bits, cut[bucket + 1] - cut[bucket])
+    answers = list(zip(said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True))
+    flags = R.flags_of(found, answers, n_buckets)
     mask = np.zeros(len(batch.inside), bool)
     at = np.flatnonzero(batch.inside)
     if len(at):
@@ -148,7 +104,7 @@ def _sources(batch: _Batch, mask: np.ndarray, n_buckets: int):
     """First places of the batch's distinct masked windows, ordered by bucket and then as they come, with the cuts between buckets; all masked windows' places; and each one's distinct window."""
     at, hashes = batch.windows(mask)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    bucket = np.searchsorted(_bucket_edges(n_buckets), hashes[first], side="right")
+    bucket = np.searchsorted(R.bucket_edges(n_buckets), hashes[first], side="right")
     order = np.lexsort((first, bucket))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -158,7 +114,7 @@ def _sources(batch: _Batch, mask: np.ndarray, n_buckets: int):
 def _window_pass(n_buckets: int, window: int, edge: int):
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _SENT_ARROW.empty_table()
+            return R.SENT_ARROW.empty_table()
         number = docs["batch"][0].as_py()
         batch = _Batch(docs, window, edge)
         mask = _anchored(batch, said, n_buckets)
@@ -171,9 +127,9 @@ def _window_pass(n_buckets: int, window: int, edge: int):
             [*(b for b, _, _ in rows), -1 - number],
             [*(hashes[s:e].tobytes() for _, s, e in rows), b""],
             [*(ids[s:e].tobytes() for _, s, e in rows), b""],
-            [*([b""] * len(rows)), _bits(mask)],
+            [*([b""] * len(rows)), R.pack_bits(mask)],
         ]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, R.SENT_ARROW, strict=True)], schema=R.SENT_ARROW)
 
     return run
 
@@ -182,14 +138,14 @@ def _later_windows(table: pa.Table) -> pa.Table:
     """Of each hash a batch sent: does it start earlier in another batch?"""
     bucket = table["bucket"][0].as_py()
     if bucket < 0:
-        return table.select(["batch", "bucket", "many"]).rename_columns(["batch", "bucket", "bits"])
-    batches, sizes, hashes = _received(table)
+        return R.pass_on(table)
+    batches, sizes, hashes = R.received(table)
     ids = np.concatenate([np.frombuffer(i, np.int64) for i in table["ids"].to_pylist()])
     order = np.lexsort((np.repeat(batches, sizes), ids, hashes))
     later = np.empty(len(hashes), bool)
     later[order] = np.diff(hashes[order], prepend=hashes[order][:1]) == 0
     later[order[:1]] = False
-    return _answer(bucket, batches, sizes, later)
+    return R.answer(bucket, batches, sizes, later)
 
 
 def _cut_pass(n_buckets: int, window: int, edge: int, schema: pa.Schema, texts_wanted: bool):
@@ -199,11 +155,11 @@ def _cut_pass(n_buckets: int, window: int, edge: int, schema: pa.Schema, texts_w
         batch = _Batch(docs, window, edge)
         answers = dict(zip(said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True))
         number = docs["batch"][0].as_py()
-        mask = _flags(answers.pop(-1 - number), len(batch.inside)) if len(batch.inside) else np.empty(0, bool)
+        mask = R.unpack_bits(answers.pop(-1 - number), len(batch.inside)) if len(batch.inside) else np.empty(0, bool)
         _, first, cut, at, which = _sources(batch, mask, n_buckets)
         earlier = np.zeros(len(first), bool)
         for bucket, bits in answers.items():
-            earlier[cut[bucket] : cut[bucket + 1]] = _flags(bits, cut[bucket + 1] - cut[bucket])
+            earlier[cut[bucket] : cut[bucket + 1]] = R.unpack_bits(bits, cut[bucket + 1] - cut[bucket])
         # A window goes if it starts earlier in another batch, or is not the first of its kind in this one.
         goes = earlier[which] | (first[which] != np.arange(len(at))) if len(at) else np.empty(0, bool)
         covered = np.zeros(len(batch.words) + 1, np.int64)
@@ -263,8 +219,8 @@ def dedup(docs: DataFrame, keep: list[str] = (), window: int = WINDOW, edge: int
     types = ", ".join(["doc_id long", *names, "n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * texts + ["spans array<struct<start: int, end: int>>"])
     schema = to_arrow_schema(spark.createDataFrame([], types).schema)
     by_batch = dealt.groupBy("batch")
-    sent = by_batch.applyInArrow(_anchor_pass(n_buckets, window, edge), _SENT)
-    said = sent.groupBy("bucket").applyInArrow(_repeated_anchors, _SAID)
-    sent = by_batch.cogroup(said.groupBy("batch")).applyInArrow(_window_pass(n_buckets, window, edge), _SENT)
-    said = sent.groupBy("bucket").applyInArrow(_later_windows, _SAID)
+    sent = by_batch.applyInArrow(_anchor_pass(n_buckets, window, edge), R.SENT)
+    said = sent.groupBy("bucket").applyInArrow(R.repeated, R.SAID)
+    sent = by_batch.cogroup(said.groupBy("batch")).applyInArrow(_window_pass(n_buckets, window, edge), R.SENT)
+    said = sent.groupBy("bucket").applyInArrow(_later_windows, R.SAID)
     return by_batch.cogroup(said.groupBy("batch")).applyInArrow(_cut_pass(n_buckets, window, edge, schema, texts), types)
