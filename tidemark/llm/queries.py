@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_quality", "queries_spans", "queries_substring"]
+MODULES = ["queries_quality", "queries_spans", "queries_substring", "queries_ngram"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
