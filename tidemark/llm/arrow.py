@@ -46,6 +46,29 @@ def map_texts(df: DataFrame, schema: str, work: Callable[..., dict[str, list]])
     return df.mapInArrow(run, types)
 
 
+def filter_texts(docs: DataFrame, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` is kept by ``decide``, all columns as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [k for (texts,) in slices([batch["text"]], 0) for k in decide(texts)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rewrite_texts(docs: DataFrame, rewrite: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
+    """``docs`` with each ``text`` rewritten, all other columns as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for (texts,) in slices([batch["text"]], 0) for t in rewrite(texts)]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def documents(spark, sf_dir: str, *columns: str) -> DataFrame:
     """``doc_id``, the further columns, and the text last, of the documents table."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")

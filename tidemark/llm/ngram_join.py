@@ -433,3 +433,15 @@ def join(docs: DataFrame, like: Likeness | None = None) -> DataFrame:
     component = by_node.select("node", "label").join(by_label, "label").select("node", "component_id")
     return named.join(component, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
+
+
+def keep_first(docs: DataFrame, like: Likeness | None = None) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest ``doc_id``. Documents linked with nothing stay, also
+    those without words; rows without id stay unless they are linked with a document that has one. Of repeated rows
+    (same id and text) one stays. All columns stay as they are.
+    """
+    found = join(docs, like)
+    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import map_texts
+from tidemark.llm.arrow import map_texts, rewrite_texts
 from tidemark.llm.boosting import BoostedTrees, threshold_for
 
 KINDS = ("email", "ip", "card", "phone")
@@ -291,14 +291,11 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
-    """``docs`` with all spans of ``text`` replaced; a null text stays null. Columns and their order stay."""
+    """``docs`` with all spans of ``text`` replaced; a null text stays null, and all other columns as they are."""
     model = model or fit()
-    others = [c for c in docs.columns if c != "text"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
 
-    def work(*columns):
-        spans = all_spans(columns[-1], model)
-        texts = [t if t is None else redact_text(t, base + added) for t, (base, added) in zip(columns[-1], spans, strict=True)]
-        return dict(zip(others, columns, strict=False)) | {"text": texts}
+    def rewrite(texts):
+        spans = all_spans(texts, model)
+        return [t if t is None else redact_text(t, base + added) for t, (base, added) in zip(texts, spans, strict=True)]
 
-    return map_texts(docs.select(*others, "text"), f"{types}, text string", work).select(*docs.columns)
+    return rewrite_texts(docs, rewrite)

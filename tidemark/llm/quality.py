@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import sampling
-from tidemark.llm.arrow import map_texts
+from tidemark.llm.arrow import filter_texts, map_texts
 
 # Bounds of the labelled sample the model is fitted on, per class: rows, and characters of a row (one stretch of
 # its text, at a place the row's hash picks). They do not grow with the tables.
@@ -140,6 +140,11 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     return map_texts(docs.select(*keep, F.col("text").alias("text_to_score")), f"{types}, score double", work)
 
 
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``."""
+    return filter_texts(docs, lambda texts: [score_text(t, model) >= least for t in texts])
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """``(doc_id, quality)`` of the labels that may be learned from: crc32(doc_id as text) mod 3 is not 1.
 
