@@ -64,7 +64,7 @@ def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     )
 
 
-def fingerprint(samples: int, name=lambda c: c) -> Column:
+def fingerprint(samples: int, name) -> Column:
     """The fingerprint of a row's samples; empty without words."""
     digits = [F.lpad(F.lower(F.hex(F.col(name(c)))), 6, "0") for c in sample_names(samples)]
     return F.coalesce(F.concat(*digits), F.lit(""))
@@ -82,83 +82,83 @@ def terms(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return words.select(*keys, F.xxhash64("word").alias("term"))
 
 
+KEYS = ["key_id", "tie"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents under keys that are never null: ``key_id`` (the id, or 0 without one) and ``tie`` (of the text)."""
+    text, has_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNotNull()
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key_id"),
+        F.xxhash64(text, has_id).alias("tie"),
+        has_id.alias("has_id"),
+        text.alias("text"),
+        F.char_length(text).cast("long").alias("n_chars"),
+    )
+
+
 def following(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tie, before_id, before_tie, need)``: for each document the one before it by falling doc_id, and a third
-    of that one's characters. The first one follows the last.
+    """The keys of each document, whether it has an id, the keys of the one before it by falling doc_id (``before_id``, ``before_tie``), and a
+    third of that one's characters (``need``). The first document follows the last.
 
-    Only ids and lengths are sorted, in ranges; the ranges' ends meet through a table with a row per range.
+    Only keys and lengths are sorted, in ranges; the ranges' ends meet through a table with a row per range.
     """
-    ids = docs.groupBy("doc_id", "tie").agg(F.max("n_chars").alias("n_chars"))
+    ids = docs.groupBy(*KEYS).agg(F.max("has_id").alias("has_id"), F.max("n_chars").alias("n_chars"))
     n = max(1, -(-docs.count() // ROWS_PER_RANGE), min(parallelism(docs.sparkSession), 8))
-    order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
+    order = [F.desc("has_id"), F.desc("key_id"), F.desc("tie")]
     ranged = written(ids.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    row = F.struct("doc_id", "tie", "n_chars")
-    inside = Window.partitionBy("range").orderBy(*order)
-    lagged = ranged.select("*", F.lag(row).over(inside).alias("before"))
-    # The last row of each range: smallest by (has an id, id, tie).
-    ends = ranged.groupBy("range").agg(F.min_by(row, F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("end"))
+    row = F.struct(*KEYS, "n_chars")
+    before = F.lag(row).over(Window.partitionBy("range").orderBy(*order))
+    ends = ranged.groupBy("range").agg(F.min_by(row, F.struct("has_id", "key_id", "tie")).alias("end"))
     every = Window.orderBy("range")
-    ends = ends.select(F.lead("range").over(every).alias("range"), "end")
-    ends = ends.withColumn("range", F.coalesce("range", F.lit(ranged.agg(F.min("range")).first()[0])))
-    joined = lagged.join(F.broadcast(ends), "range").withColumn("before", F.coalesce("before", "end"))
-    return joined.select(
-        "doc_id",
-        "tie",
-        F.col("before.doc_id").alias("before_id"),
-        F.col("before.tie").alias("before_tie"),
-        F.expr("cast(before.n_chars div 3 as int)").alias("need"),
-    )
+    first = F.first("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.select(F.coalesce(F.lead("range").over(every), first).alias("range"), "end")
+    joined = ranged.select("*", before.alias("before")).join(ends, "range").withColumn("before", F.coalesce("before", "end"))
+    before = [F.col("before.key_id").alias("before_id"), F.col("before.tie").alias("before_tie")]
+    return joined.select(*KEYS, "has_id", *before, F.expr("cast(before.n_chars div 3 as int)").alias("need"))
 
 
-def edited(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents keyed by ``doc_id`` and ``tie``; the same with ``edited_text`` (the last third replaced by the next
-    document's first characters); and ``following(docs)``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("tie"), "text", F.char_length("text").cast("long").alias("n_chars")
+def edited(dealt: DataFrame, follows: DataFrame, repeated: bool) -> DataFrame:
+    """Keys, ``n_chars`` and ``edited_text``: the last third replaced by the next document's first characters."""
+    heads = dealt.join(follows, KEYS).select(
+        F.col("before_id").alias("key_id"), F.col("before_tie").alias("tie"), F.expr("left(text, need)").alias("head")
     )
-    follows = written(following(keyed.select("doc_id", "tie", "n_chars")), "follows")
-    keys = ["doc_id", "tie"]
-    heads = _on_keys(keyed, follows, keys).select(
-        F.col("before_id").alias("doc_id"), F.col("before_tie").alias("tie"), F.expr("left(text, need)").alias("head")
-    )
-    if follows.count() < keyed.count():
-        heads = heads.dropDuplicates(keys)
-    both = _on_keys(keyed, heads, keys).select(
-        *keys, "n_chars", F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), head)").alias("edited_text")
-    )
-    return keyed, both, follows
-
-
-def _on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys of which the first may be null (a null meets a null); the keys come from the left."""
-    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = [left[k].eqNullSafe(right[f"_{k}"]) if k == keys[0] else left[k] == right[f"_{k}"] for k in keys]
-    return left.join(right, on, how).drop(*[f"_{k}" for k in keys])
+    if repeated:
+        heads = heads.dropDuplicates(KEYS)
+    joined = dealt.join(heads, KEYS).withColumn("n_chars", F.char_length("text").cast("long"))
+    text = F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), head)")
+    return joined.select(*KEYS, "n_chars", text.alias("edited_text"))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """For each row: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, and how like the
-    document is to its edited text (``near_edited``) and to the next document (``near_next``)."""
-    keyed, both, follows = edited(docs)
-    keys = ["doc_id", "tie"]
-    names = sample_names(samples)
-    # Documents are dealt by their keys once; splitting, counting and sampling stay in those partitions.
-    repeated = follows.count() < keyed.count()
-    distinct = keyed.dropDuplicates(keys) if repeated else keyed
-    own = written(signatures(terms(distinct.repartition(*keys), keys, "text"), keys, samples), "samples")
-    other = signatures(terms(both.dropDuplicates(keys) if repeated else both, keys, "edited_text"), keys, samples)
-    beyond = _on_keys(own, follows, keys).select(F.col("before_id").alias("doc_id"), F.col("before_tie").alias("tie"), *[F.col(c).alias(f"n_{c}") for c in names])
-    facts = both.select(*keys, "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"))
-    out = facts
-    for part in (own, other.withColumnsRenamed({c: f"e_{c}" for c in names}), beyond):
-        out = _on_keys(out, part, keys, "left")
+    document is to its edited text (``near_edited``) and to the next document (``near_next``).
+
+    Texts are dealt by their keys once, in a shuffle that every branch of the plan reuses; splitting, counting and
+    sampling stay in those partitions. A document's samples then travel to its own key and to that of the document
+    before it.
+    """
+    names, documents = sample_names(samples), keyed(docs)
+    follows = written(following(documents), "follows")
+    repeated = follows.count() < documents.count()
+    dealt = documents.select(*KEYS, "text").repartition(*KEYS)
+    once = lambda df: df.dropDuplicates(KEYS) if repeated else df
+    both = edited(dealt, follows, repeated)
+    own = signatures(terms(once(dealt), KEYS, "text"), KEYS, samples)
+    other = signatures(terms(once(both), KEYS, "edited_text"), KEYS, samples)
+    places = [F.struct(F.col(k).alias("key_id"), F.col(t).alias("tie"), F.lit(role).alias("role")) for role, (k, t) in enumerate((KEYS, ("before_id", "before_tie")))]
+    sent = own.join(follows, KEYS).select(F.explode(F.array(*places)).alias("to"), *names).select("to.*", *names)
+    seen = [F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{letter}_{c}") for role, letter in ((0, "o"), (1, "n")) for c in names]
+    met = sent.groupBy(*KEYS).agg(*seen)
+    facts = both.select(*KEYS, "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"))
+    out = facts.join(follows.select(*KEYS, "has_id"), KEYS)
+    out = out.join(other.withColumnsRenamed({c: f"e_{c}" for c in names}), KEYS, "left").join(met, KEYS, "left")
     return out.select(
-        "doc_id",
+        F.when(F.col("has_id"), F.col("key_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        fingerprint(samples).alias("fingerprint"),
+        fingerprint(samples, "o_{}".format).alias("fingerprint"),
         fingerprint(samples, "e_{}".format).alias("edited_fingerprint"),
-        likeness(samples, str, "e_{}".format).alias("near_edited"),
-        likeness(samples, str, "n_{}".format).alias("near_next"),
+        likeness(samples, "o_{}".format, "e_{}".format).alias("near_edited"),
+        likeness(samples, "o_{}".format, "n_{}".format).alias("near_next"),
     )
