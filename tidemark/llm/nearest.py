@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 
 # Bounds of the sample that centroids, probes and first bounds are made from.
 SAMPLE_ROWS = 8192
-SEEDS = 2048
+SEEDS = 4096
 TARGET = 0.96
+LEAST = 50  # times the neighbours wanted: candidates that are probed at least, on average
 BLOCK = 16  # columns looked at between two tests
-EPSILON = 2.1  # of the test; larger abandons later
+EPSILON = 1.4  # of the test, two standard deviations; larger abandons later
 CHUNK = 4096
 QUERY_BLOCK = 1024
 
@@ -106,11 +107,12 @@ def fit(vectors: DataFrame, k: int, seed: int = 5) -> Index | None:
     rank = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)
     place = np.take_along_axis(rank, near[best], axis=1)
     probes = n_lists if not place.size else int(np.quantile(place, TARGET, method="higher")) + 1
+    probes = min(n_lists, max(probes, -(-LEAST * k * n_lists // total)))
     return Index(centroids, rotation, probes, x[:SEEDS], near[:SEEDS])
 
 
 _CANDIDATE = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("data", pa.binary())])
-_PROBE = pa.schema([("list", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
+_PROBE = pa.schema([("list", pa.int32()), ("key", pa.int64()), ("bound", pa.float64()), ("data", pa.binary())])
 _FOUND = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -129,7 +131,7 @@ def _listed(index: Index):
     return run
 
 
-def _probing(index: Index):
+def _probing(index: Index, k: int):
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
@@ -137,41 +139,53 @@ def _probing(index: Index):
                 lists = index.probed(x).astype(np.int32)
                 data = [v.tobytes() for v in x]
                 n = lists.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.ravel()), pa.array(np.repeat(part["key"].to_numpy(), n)), pa.array([d for d in data for _ in range(n)], pa.binary())], schema=_PROBE
-                )
+                columns = [lists.ravel(), np.repeat(part["key"].to_numpy(), n), np.repeat(index.bounds(x, k), n)]
+                data = pa.array([d for d in data for _ in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), data], schema=_PROBE)
 
     return run
 
 
 def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int):
-    """Per query, candidates that may be among its ``k`` nearest: (query row, id, score)."""
+    """Per query, candidates that may be among its ``k`` nearest: (query row, id, score).
+
+    A candidate x reaches the bound s of a query q if |q - x|^2 <= |q|^2 + |x|^2 - 2 s. From the first d of D rotated
+    columns the distance is estimated as D / d times the partial one; the test lets it exceed the limit by a factor for
+    chance. With the partial inner product p, that is p - a(x) >= b(q).
+    """
     dims = vectors.shape[1]
     q, x = queries @ rotation, vectors @ rotation
-    # A candidate reaches the bound s if its squared distance is at most |q|^2 + |x|^2 - 2 s.
-    limit = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * bounds[:, None]
-    alive = np.ones(limit.shape, bool)
-    partial = np.zeros(limit.shape)
-    rows, columns = None, None
+    q_all, x_all = (q**2).sum(1) - 2 * np.maximum(bounds, -1e30), (x**2).sum(1)
+    rows = columns = product = None
+    dense = np.zeros((len(q), len(x)), np.float32)
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
     for start in range(0, dims, BLOCK):
         end = min(start + BLOCK, dims)
-        qb, xb = q[:, start:end], x[:, start:end]
         if rows is None:
-            partial += (qb**2).sum(1)[:, None] + (xb**2).sum(1)[None] - 2 * qb @ xb.T
+            dense += q32[:, start:end] @ x32[:, start:end].T
         else:
-            partial += ((qb[rows] - xb[columns]) ** 2).sum(1)
+            product = product + (q32[rows, start:end] * x32[columns, start:end]).sum(1)
         if end == dims:
             break
-        keep = partial * (dims / end) <= limit * (1 + EPSILON / np.sqrt(end)) ** 2
+        chance = (1 + EPSILON * np.sqrt((1 - end / dims) / end)) ** 2 * end / dims
+        a = (((x[:, :end] ** 2).sum(1) - chance * x_all) / 2).astype(np.float32)
+        b = (((q[:, :end] ** 2).sum(1) - chance * q_all) / 2).astype(np.float32)
         if rows is None:
-            alive &= keep
-            if alive.mean() < 0.2:  # from here on pair by pair
+            alive = dense >= b[:, None] + a[None]
+            if np.count_nonzero(alive) < 0.15 * alive.size:  # from here on pair by pair
                 rows, columns = np.nonzero(alive)
-                partial, limit = partial[rows, columns], limit[rows, columns]
+                product = dense[rows, columns]
         else:
-            rows, columns, partial, limit = rows[keep], columns[keep], partial[keep], limit[keep]
+            alive = product >= b[rows] + a[columns]
+            rows, columns, product = rows[alive], columns[alive], product[alive]
+    # What is left must come near the bound in single precision before it is computed in double precision.
+    slack = 1e-4 * (1 + np.sqrt(np.abs(x_all).max(initial=0)) * np.sqrt((q**2).sum(1)))
+    least = (bounds - slack).astype(np.float32)
     if rows is None:
-        rows, columns = np.nonzero(alive)
+        rows, columns = np.nonzero(dense >= least[:, None])
+    else:
+        alive = product >= least[rows]
+        rows, columns = rows[alive], columns[alive]
     score = np.empty(len(rows))
     for at in range(0, len(rows), 65536):
         part = slice(at, at + 65536)
@@ -191,7 +205,7 @@ def _search(index: Index, k: int):
             return _FOUND.empty_table()
         x, q = (np.frombuffer(b"".join(t["data"].to_pylist()), np.float64).reshape(-1, dims) for t in (candidates, probes))
         keys = np.asarray(probes["key"].combine_chunks())
-        rows, ids, score = scan(q, x, np.asarray(candidates["vec_id"].combine_chunks()), index.bounds(q, k), index.rotation, k)
+        rows, ids, score = scan(q, x, np.asarray(candidates["vec_id"].combine_chunks()), np.asarray(probes["bound"].combine_chunks()), index.rotation, k)
         return pa.Table.from_arrays([pa.array(keys[rows]), pa.array(ids), pa.array(score)], schema=_FOUND)
 
     return run
@@ -211,7 +225,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding")
     few = fine.withColumn("n", F.row_number().over(smallest)).where(f"n <= {k + 1}")
     listed = few.select("vec_id", "vec").mapInArrow(_listed(index), "list int, vec_id long, data binary")
     queries = fine.where(is_query).select("key", F.col("vec_id").alias("query_id"), "vec")
-    asked = queries.dropDuplicates(["key"]).select("key", "vec").mapInArrow(_probing(index), "list int, key long, data binary")
+    asked = queries.dropDuplicates(["key"]).select("key", "vec").mapInArrow(_probing(index, k + 1), "list int, key long, bound double, data binary")
     # A list's chunks and blocks of queries; a row per list.
     chunks = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
@@ -220,7 +234,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding")
         "list", F.expr("cast(pmod(xxhash64(vec_id), chunks) as int)").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "vec_id", "data"
     )
     right = asked.join(cuts, "list").select(
-        "list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("block"), "key", "data"
+        "list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("block"), "key", "bound", "data"
     )
     by = ["list", "chunk", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(index, k + 1), "key long, vec_id long, score double")
