@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.counting import (
     _cut,
     assign_runs,
-    count_by_partition,
     counted_text,
     every_nth,
     running_count,
@@ -105,9 +104,9 @@ def test_both_zeros_and_infinities_keep_their_place(spark):
     assert counted.where("seq != id + 1").count() == 0
 
 
-def test_text_order_is_refused(spark):
+def test_order_without_a_place_is_refused(spark):
     with pytest.raises(TypeError):
-        running_count(spark.createDataFrame([("a", "b")], "shard string, at string"), "shard", "at")
+        running_count(spark.createDataFrame([("a", True)], "shard string, at boolean"), "shard", "at")
 
 
 @pytest.mark.parametrize("rows_per_bucket", [1, 1_000_000])
@@ -140,19 +139,6 @@ def test_any_rows_any_cut(spark, rows):
     assert numbered(counted) == expected(rows)
 
 
-def test_by_partition(spark):
-    df = spark.range(0, 1000, 1, 3).where("id % 2 = 0")
-    counted = count_by_partition(df)
-    per_shard = counted.groupBy("shard").agg(
-        F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"),
-        F.count_distinct("seq").alias("d"),
-    )
-    rows = per_shard.collect()
-    assert len(rows) == 3
-    assert all(r["lo"] == 1 and r["hi"] == r["n"] == r["d"] for r in rows)
-    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
-
-
 def test_counted_text(spark):
     row = spark.range(1).select(counted_text(F.lit(7), F.lit("2"), F.lit(3)).alias("t")).first()
     assert row["t"] == "7 - 2 - 3"
@@ -172,3 +158,11 @@ def test_every_nth(spark):
     assert every_nth(df, 1, "shard", "id").count() == 7
     with pytest.raises(ValueError):
         every_nth(df, 0, "shard", "id")
+
+
+def test_text_orders_are_cut_too(spark):
+    rows = [("s", f"{prefix}{i:03d}") for prefix in ("", "é", "same-prefix-") for i in range(40)]
+    df = spark.createDataFrame(rows, "shard string, line string")
+    got = running_count(df, "shard", "line", rows_per_bucket=7).collect()
+    order = sorted((line for _, line in rows), key=lambda x: x.encode())
+    assert {r["line"]: r["seq"] for r in got} == {line: i + 1 for i, line in enumerate(order)}

@@ -1,6 +1,7 @@
 """The ready-made jobs through the command line, from lines to files."""
 
 import os
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,6 +11,7 @@ from tidemark.plans.job import job
 from tidemark.sinks import print_rows, read_latest
 
 T0 = 1704067200000
+AS_OF = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
 
 @pytest.fixture()
@@ -38,7 +40,9 @@ def run(spark, tmp_path):
             args += ["--available-now", "--checkpoint", str(tmp_path / "checkpoint")]
             args += ["--max-files-per-trigger", "1"]
         main(args, spark)
-        return sorted(r[0] for r in spark.read.text(str(out)).collect())
+        rows = f"{out}/rows" if os.path.isdir(f"{out}/rows") else str(out)
+        read = spark.read.option("recursiveFileLookup", "true")
+        return sorted(r[0] for r in read.text(rows).collect())
 
     return go
 
@@ -70,15 +74,36 @@ def test_count_text(run, stream):
     assert got == sorted(f"a - 0 - {i}" for i in range(1, 21))
 
 
-def test_count_sequence(run):
-    got = run("count-sequence", None, "--max-number", "99")
-    assert len(got) == 100
-    assert sorted(int(line.split(" - ")[0]) for line in got) == list(range(100))
+@pytest.mark.parametrize("stream", [False, True])
+def test_count_text_over_several_shards(run, stream):
+    got = [line.split(" - ") for line in run("count-text", [f"line {i % 37}" for i in range(120)], "--shards", "4", stream=stream)]
+    shards = {}
+    for _, shard, seq in got:
+        shards.setdefault(shard, []).append(int(seq))
+    assert len(got) == 120 and len(shards) == 4
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in shards.values())
+
+
+@pytest.mark.parametrize("how", [(), ("--available-now",), ("--stream", "--trigger-interval-ms", "50")])
+@pytest.mark.parametrize(("name", "step"), [("count-sequence", 1), ("count-even-sequence", 2)])
+def test_count_sequence_is_complete_and_ends(run, tmp_path, how, name, step):
+    more = [*how, "--checkpoint", str(tmp_path / "c"), "--rows-per-batch", "40"] if how else []
+    got = run(name, None, "--max-number", "99", "--shards", "2", *more)
+    shards = {"0": range(0, 100, 2), "1": [] if step == 2 else range(1, 100, 2)}
+    assert got == sorted(f"{n} - {s} - {i + 1}" for s, numbers in shards.items() for i, n in enumerate(numbers))
+
 
+def test_results_do_not_depend_on_files_or_partitions(spark, tmp_path):
+    from tidemark.plans import jobs
 
-def test_count_even_sequence(run):
-    got = run("count-even-sequence", None, "--max-number", "9")
-    assert sorted(int(line.split(" - ")[0]) for line in got) == [0, 2, 4, 6, 8]
+    lines = [f"{T0 + i}#{i % 50}" for i in range(300)]
+    seen = set()
+    for parts, width in ((1, "3"), (7, "11")):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        rows = spark.createDataFrame([(x,) for x in lines], "value string").repartition(parts)
+        seen.add(tuple(sorted(tuple(r) for r in jobs.number_latencies(rows, 4, False, 3, as_of=AS_OF).batch().collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen) == 1
 
 
 @pytest.mark.parametrize("stream", [False, True])
@@ -94,7 +119,7 @@ def test_number_latency(run, stream):
 
 def test_every_second_number(run):
     lines = [f"{T0 + i}#{i}" for i in range(6)]
-    got = [line.split(",")[1] for line in run("number-latency", lines, "--every", "2")]
+    got = [line.split(",")[1] for line in run("number-latency", lines, "--every", "2", "--shards", "1")]
     assert sorted(got) == ["1", "3", "5"]
 
 
@@ -167,7 +192,8 @@ def test_early_campaign_counts(spark, run, campaigns, tmp_path):
          "--trigger-interval-ms", "100", "--available-now", "--checkpoint", str(tmp_path / "c")],
         spark,
     )
-    latest = read_latest(spark, str(out), ["window_start", "campaign_id"])
+    latest = read_latest(spark, str(out), ["window_ms", "campaign_id"])
+    assert latest.columns == ["window_ms", "campaign_id", "count", "latency_ms"]
     assert sorted(r["count"] for r in latest.collect()) == [1, 1, 2]
 
 
@@ -176,26 +202,26 @@ def test_unknown_ad_ends_the_job(run, campaigns):
         run("campaign-counts", [*ADS, ad(1, "q")], "--campaigns", campaigns)
 
 
-def run_sizes(run, lines, **how):
-    return sorted(int(line.split(",")[1]) for line in run("campaign-counts", lines, **how))
+def run_sizes(run, lines, *more, **how):
+    return sorted(int(line.split(",")[1]) for line in run("campaign-counts", lines, *more, **how))
 
 
 def test_campaigns_made_of_runs(run):
-    assert run_sizes(run, [f"{i},{ad(i, 'x')}" for i in range(25)]) == [5, 10, 10]
+    assert run_sizes(run, [f"{i},{ad(i, 'x')}" for i in range(25)], "--shards", "1") == [5, 10, 10]
 
 
 def test_campaigns_made_of_runs_as_a_stream(run):
-    """Rows of one micro-batch may change places, so only sizes and sum are certain."""
     lines = [f"{i},{ad(i, 'x')}" for i in range(25)]
     closing = [f"{i},{ad(10**6, 'x')}" for i in range(25, 28)]
-    sizes = run_sizes(run, lines + closing, stream=True)
-    assert sum(sizes) == 25 and len(sizes) == 3 and max(sizes) <= 10
+    assert run_sizes(run, lines + closing, "--shards", "1", stream=True) == [5, 10, 10]
 
 
 def test_arguments_are_checked(tmp_path):
     for args in (
         ["lowercase", "--path", "x", "--stream"],
         ["new-users", "--path", "x", "--input", "y"],
+        ["new-users", "--path", "x", "--topic", "t", "--input", "y", "--auctions", "z"],
+        ["new-users", "--path", "x", "--topic", "t"],
     ):
         with pytest.raises(SystemExit):
             build(parser().parse_args(args))
@@ -212,3 +238,30 @@ def test_a_job_is_source_transforms_sink(spark, capfd):
     assert work.run(spark) is None
     assert seen == [4, 6, 8]
     print_rows(work.frame(spark))
+
+
+def test_new_users_reads_each_topic_for_its_side(monkeypatch, spark):
+    from tidemark import __main__ as cli
+
+    seen = []
+
+    def lines_of(session, topic, *options):
+        seen.append((topic, *options[-3:]))
+        return session.createDataFrame([(x,) for x in (PERSONS if topic == "p" else AUCTIONS)], "value string")
+
+    monkeypatch.setattr(cli, "kafka_lines", lines_of)
+    more = ["--topic", "p", "--auctions-topic", "a", "--starting-offsets", "earliest", "--max-offsets-per-trigger", "9"]
+    frame = build(parser().parse_args(["new-users", "--path", "x", *more])).frame(spark)
+    assert sorted(r["person_name"] for r in frame.collect()) == ["Ann", "Ann", "Di"]
+    assert sorted(seen) == [("a", 9, "earliest", True), ("p", 9, "earliest", True)]
+
+
+def test_eviction_by_the_clock(run):
+    got = run("new-users", PERSONS, "--evict-now", auctions=AUCTIONS)
+    assert all(abs(int(line.split(",")[1])) < 120_000 for line in got)
+
+
+@pytest.mark.parametrize("name", ["campaign-counts"])
+def test_trigger_interval_changes_no_batch_columns(run, campaigns, name):
+    got = run(name, ADS, "--campaigns", campaigns, "--trigger-interval-ms", "100")
+    assert sorted(line.split(",")[1] for line in got) == ["1", "1", "2"]

@@ -324,3 +324,38 @@ def test_stream_settings():
         StreamConfig("c", state_backend="disk")
     with pytest.raises(ValueError):
         StreamConfig("c", -1)
+
+
+def test_a_used_store_refuses_a_new_checkpoint(spark, tmp_path):
+    from tidemark.sinks import upsert_latest
+
+    source = tmp_path / "in"
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "shard string, value long").coalesce(1).write.parquet(str(source))
+    stream = lambda: spark.readStream.schema("shard string, value long").parquet(str(source))
+    config = lambda name: StreamConfig(str(tmp_path / name), available_now=True)
+    counted = str(tmp_path / "counted")
+    for _ in range(2):  # started again on its own checkpoint it just goes on
+        count_stream(stream(), "shard", "value", counted, config("one")).awaitTermination()
+    assert spark.read.parquet(f"{counted}/rows").count() == 3
+    with pytest.raises(ValueError, match="belongs to the checkpoint"):
+        count_stream(stream(), "shard", "value", counted, config("two"))
+    latest, totals = str(tmp_path / "latest"), lambda: stream().groupBy("shard").count()
+    upsert_latest(totals(), latest, config("three")).awaitTermination()
+    with pytest.raises(ValueError, match="belongs to the checkpoint"):
+        upsert_latest(totals(), latest, config("four"))
+
+
+def test_one_shard_with_most_rows_over_several_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    for part in range(3):
+        rows = [("hot" if i % 10 else f"s{i % 7}", part * 1000 + i) for i in range(1000)]
+        spark.createDataFrame(rows, "shard string, value long").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("shard string, value long").option("maxFilesPerTrigger", 1).parquet(str(source))
+    path = str(tmp_path / "counted")
+    config = StreamConfig(str(tmp_path / "c"), available_now=True)
+    count_stream(stream, "shard", "value", path, config, rows_per_bucket=50).awaitTermination()
+    got = spark.read.parquet(f"{path}/rows").select("shard", "seq").collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r["shard"], []).append(r["seq"])
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in shards.values()) and len(shards["hot"]) == 2700

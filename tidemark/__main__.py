@@ -4,44 +4,50 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.campaigns import CAMPAIGN_WINDOW
+from tidemark.operators.new_users import STREAM_SALTS
+from tidemark.operators.reports import campaign_latency_report
 from tidemark.plans import jobs
 from tidemark.plans.job import Job, job
 from tidemark.session import build_session
 from tidemark.sinks import upsert_latest, write_csv, write_text
-from tidemark.sources import interval_sequence, interval_sequence_stream, kafka_lines, text_lines
+from tidemark.sources import interval_sequence, interval_sequence_stream, kafka_lines, run_to_end, text_lines
+from tidemark.sources.sequence import ROWS_PER_BATCH
 from tidemark.streaming.config import CHECKPOINT_INTERVAL_MS, STATE_BACKENDS, StreamConfig
 
-TEXT_JOBS: dict[str, Callable[[argparse.Namespace], Callable[[DataFrame], DataFrame]]] = {
-    "lowercase": lambda a: jobs.lowercase_text,
-    "append-text": lambda a: jobs.appended_text,
-    "filter-prefix": lambda a: jobs.even_lines,
-    "count-text": lambda a: lambda df: jobs.counted_lines(df, a.shards),
-}
-SEQUENCE_JOBS = {
-    "count-sequence": lambda a: lambda df: jobs.counted_lines(df, a.shards),
-    "count-even-sequence": lambda a: lambda df: jobs.counted_even_numbers(df, a.shards),
+TEXT_JOBS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "lowercase": jobs.lowercase_text,
+    "append-text": jobs.appended_text,
+    "filter-prefix": jobs.even_lines,
 }
+SEQUENCE_JOBS = {"count-sequence": jobs.counted_numbers, "count-even-sequence": jobs.counted_even_numbers}
 NUMBER_JOBS = {"number-latency": None, "number-latency-mod5": 5}
 OTHER_JOBS = ("region-counts", "new-users", "campaign-counts")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
-    p.add_argument("job", choices=[*TEXT_JOBS, *SEQUENCE_JOBS, *NUMBER_JOBS, *OTHER_JOBS])
+    p.add_argument("job", choices=[*TEXT_JOBS, "count-text", *SEQUENCE_JOBS, *NUMBER_JOBS, *OTHER_JOBS])
     p.add_argument("--path", required=True, help="folder the results go to")
     source = p.add_argument_group("source")
     source.add_argument("--input", help="file, folder or glob with lines")
     source.add_argument("--auctions", help="the auction lines of new-users")
     source.add_argument("--campaigns", help="parquet table with ad_id and campaign_id")
     source.add_argument("--topic", help="read lines from this Kafka topic instead")
+    source.add_argument("--auctions-topic", help="the Kafka topic of the auctions of new-users")
+    source.add_argument("--starting-offsets", help="earliest, latest or Kafka's JSON of offsets")
+    source.add_argument("--ignore-data-loss", action="store_true", help="go on if Kafka has dropped rows")
+    source.add_argument("--max-offsets-per-trigger", type=int)
     source.add_argument("--servers", default="localhost:9092")
     source.add_argument("--groupid", default="defaultGroupID")
     source.add_argument("--delimiter", default="\n")
     source.add_argument("--max-number", type=int, default=100_000, help="end of a sequence")
+    source.add_argument("--rows-per-batch", type=int, default=ROWS_PER_BATCH, help="of a sequence as a stream")
     source.add_argument("--max-files-per-trigger", type=int)
     work = p.add_argument_group("job")
     work.add_argument("--shards", type=int, default=jobs.SHARDS)
@@ -50,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
     work.add_argument("--slide-seconds", type=int, default=30)
     work.add_argument("--delay", default="0 seconds", help="how late a row may come")
     work.add_argument("--missing", default="error", choices=["error", "drop", "keep"])
+    work.add_argument("--evict-now", action="store_true", help="new-users: windows count as evicted by the clock")
+    work.add_argument("--salts", type=int, default=STREAM_SALTS, help="new-users: slices of a person in a stream")
     work.add_argument("--full", action="store_true", help="report shard and count too")
     work.add_argument("--every", type=int, default=1, help="report every n-th row only")
     stream = p.add_argument_group("stream")
@@ -58,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--checkpoint", help="folder for positions and state")
     stream.add_argument("--checkpoint-interval-ms", type=int, default=CHECKPOINT_INTERVAL_MS)
     stream.add_argument("--trigger-interval-ms", type=int, default=0,
-                        help="campaign-counts: store running results this often")
+                        help="campaign-counts as a stream: store running reports this often")
     stream.add_argument("--backend", default="rocksdb", choices=STATE_BACKENDS)
     stream.add_argument("--full-snapshots", action="store_true")
     return p
@@ -82,19 +90,54 @@ def _config(args: argparse.Namespace) -> StreamConfig | None:
     )
 
 
-def _lines(args: argparse.Namespace, path: str | None = None):
+def _lines(args: argparse.Namespace, path: str | None = None, topic: str | None = None):
+    """Lines of a topic if one is given, else of files; by default of the job's main input."""
+    if path is None and topic is None:
+        path, topic = args.input, args.topic
+
     def read(spark: SparkSession) -> DataFrame:
-        if args.topic:
-            return kafka_lines(spark, args.topic, args.servers, args.groupid, _is_stream(args))
-        if not (path or args.input):
+        if topic:
+            return kafka_lines(
+                spark, topic, args.servers, args.groupid, _is_stream(args), args.max_offsets_per_trigger,
+                args.starting_offsets, not args.ignore_data_loss,
+            )
+        if not path:
             raise SystemExit("--input or --topic is needed")
-        return text_lines(
-            spark, path or args.input, args.delimiter, _is_stream(args), args.max_files_per_trigger
-        )
+        return text_lines(spark, path, args.delimiter, _is_stream(args), args.max_files_per_trigger)
 
     return read
 
 
+def _count_sink(make: Callable[[DataFrame], jobs.Counting], args: argparse.Namespace, config, form: str):
+    """Numbered rows as files: of a batch in ``--path``, of a stream in its ``rows`` folder."""
+
+    def sink(df: DataFrame):
+        counting = make(df)
+        if config is None:
+            rows = counting.batch()
+            return write_text(rows, args.path, None) if form == "text" else write_csv(rows, args.path, None)
+        return counting.stream(args.path, config, form)
+
+    return sink
+
+
+def _run_campaigns_sink(args: argparse.Namespace, config: StreamConfig, width: str, sink):
+    """Runs of views as a stream: views are numbered first, and the stored ones are then counted per window."""
+
+    def go(lines: DataFrame):
+        if not config.available_now:
+            raise SystemExit("campaigns made of runs are streamed with --available-now")
+        numbered = f"{args.path}-numbered"
+        first = replace(config, checkpoint=f"{config.checkpoint}-numbered")
+        counting = jobs.campaign_runs(lines, args.shards)
+        counting.stream(numbered, first).awaitTermination()
+        schema = counting.finish(counting.rows.withColumn("seq", F.lit(0).cast("long"))).schema
+        stored = lines.sparkSession.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{numbered}/rows")
+        return sink(campaign_latency_report(jobs.run_window_counts(stored, width, args.delay)))
+
+    return go
+
+
 def _width(args: argparse.Namespace, default: str) -> str:
     return f"{args.window_ms} milliseconds" if args.window_ms else default
 
@@ -105,48 +148,52 @@ def build(args: argparse.Namespace) -> Job:
     name = args.job
     if name in TEXT_JOBS:
         text_sink = lambda df: write_text(df, args.path, config)
-        return job(_lines(args), TEXT_JOBS[name](args), sink=text_sink)
+        return job(_lines(args), TEXT_JOBS[name], sink=text_sink)
+    if name == "count-text":
+        return job(_lines(args), sink=_count_sink(lambda df: jobs.counted_lines(df, args.shards), args, config, "text"))
     if name in SEQUENCE_JOBS:
-        make = interval_sequence_stream if _is_stream(args) else interval_sequence
-        text_sink = lambda df: write_text(df, args.path, config)
+        sink = _count_sink(SEQUENCE_JOBS[name], args, config, "text")
+        if config is None:
+            return job(lambda spark: interval_sequence(spark, 0, args.max_number, args.shards), sink=sink)
         return job(
-            lambda spark: make(spark, 0, args.max_number, args.shards),
-            SEQUENCE_JOBS[name](args),
-            sink=text_sink,
+            lambda spark: interval_sequence_stream(spark, 0, args.max_number, args.shards, args.rows_per_batch),
+            sink=lambda df: run_to_end(lambda: sink(df), 0, args.max_number),
         )
 
     def csv_sink(df: DataFrame):
         return write_csv(df, args.path, config)
 
     if name in NUMBER_JOBS:
-        report = lambda df: jobs.number_latencies(
+        make = lambda df: jobs.number_latencies(
             df, args.shards, not args.full, args.every, NUMBER_JOBS[name]
         )
-        return job(_lines(args), report, sink=csv_sink)
+        return job(_lines(args), sink=_count_sink(make, args, config, "csv"))
     if name == "region-counts":
         report = lambda df: jobs.region_latencies(
             df, args.window_seconds, args.slide_seconds
         )
         return job(_lines(args), report, sink=csv_sink)
     if name == "new-users":
-        if not (args.input and args.auctions):
-            raise SystemExit("new-users needs --input with persons and --auctions")
+        if bool(args.input) == bool(args.topic) or bool(args.auctions) == bool(args.auctions_topic):
+            raise SystemExit("new-users needs --input or --topic for persons, and --auctions or --auctions-topic")
         width = _width(args, jobs.NEW_USER_WINDOW)
 
         def report(persons: DataFrame) -> DataFrame:
-            auctions = _lines(args, args.auctions)(persons.sparkSession)
-            return jobs.new_user_latencies(persons, auctions, width, args.delay)
+            auctions = _lines(args, args.auctions, args.auctions_topic)(persons.sparkSession)
+            evicted = None if args.evict_now else "window end"
+            return jobs.new_user_latencies(persons, auctions, width, args.delay, evicted_at=evicted, salts=args.salts)
 
         return job(_lines(args), report, sink=csv_sink)
 
+    width = _width(args, CAMPAIGN_WINDOW)
+    if config is not None and not args.campaigns:
+        return job(_lines(args), sink=_run_campaigns_sink(args, config, width, csv_sink))
+
     def counts(lines: DataFrame) -> DataFrame:
-        spark = lines.sparkSession
-        campaigns = spark.read.parquet(args.campaigns) if args.campaigns else None
-        make = (
-            jobs.campaign_window_counts if args.trigger_interval_ms else jobs.campaign_latencies
-        )
-        return make(lines, campaigns, _width(args, CAMPAIGN_WINDOW), args.delay, args.missing)
+        campaigns = lines.sparkSession.read.parquet(args.campaigns) if args.campaigns else None
+        return jobs.campaign_latencies(lines, campaigns, width, args.delay, args.missing, shards=args.shards)
 
+    # Running results of a stream are kept as the newest report row of each campaign and window.
     early = args.trigger_interval_ms and config
     sink = (lambda df: upsert_latest(df, args.path, config)) if early else csv_sink
     return job(_lines(args), counts, sink=sink)

@@ -31,6 +31,7 @@ def campaign_counts(
     batch counts per ad first, so that the join meets one row per ad and window
     and no ad is too hot for it, and then adds up per campaign.
     """
+    campaigns = campaigns.select("ad_id", "campaign_id")
     size = check_dimension(campaigns, "ad_id")
     if size.bytes <= broadcast_bytes or views.isStreaming:
         joined = enrich(views, campaigns, "ad_id", missing, broadcast_bytes, size)

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.operators.skew import sampled
-from tidemark.session import parallelism
 
 # Fixed value: length of the runs that share one campaign.
 RUN_LENGTH = 10
@@ -50,7 +49,10 @@ def _position(df: DataFrame, column: str) -> Column:
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.NumericType):
         return F.col(column).cast("double") + F.lit(0.0)  # makes -0.0 the 0.0 it equals
-    raise TypeError(f"order column {column} must be a number, date or time, not {kind}")
+    if isinstance(kind, T.StringType):  # its first six bytes as a number: texts are ordered by their bytes
+        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    raise TypeError(f"order column {column} must be a number, text, date or time, not {kind}")
 
 
 def _crowded(cuts: Sequence[float], kind: T.DataType) -> list[float]:
@@ -58,7 +60,7 @@ def _crowded(cuts: Sequence[float], kind: T.DataType) -> list[float]:
 
     Only those a double shows exactly, as rows are told apart by them.
     """
-    if isinstance(kind, T.DecimalType):
+    if isinstance(kind, (T.DecimalType, T.StringType)):
         return []
     return [cut for cut, times in Counter(cuts).items() if times > 1 and abs(cut) < 2**53]
 
@@ -80,7 +82,7 @@ def _cut(
     total = df.count()
     if total <= rows_per_bucket:
         return df, []
-    wanted = min(ceil(total / rows_per_bucket), 2 * parallelism(df.sparkSession), MAX_BUCKETS)
+    wanted = min(ceil(total / rows_per_bucket), MAX_BUCKETS)
     positions = sampled(placed.select(position), total, ROWS_PER_CUT * wanted)
     shares = [i / wanted for i in range(1, wanted)]
     quantiles = F.percentile_approx(position, shares, max(10_000, 10 * wanted))
@@ -169,22 +171,6 @@ def running_count(
     )
 
 
-def count_by_partition(df: DataFrame, shard: str = "shard", name: str = "seq") -> DataFrame:
-    """Number the rows of each input partition in the order they are read; batch only.
-
-    The partition is the shard here, as a parallel instance counts what passes
-    through it. Nothing is shuffled.
-    """
-    position = F.monotonically_increasing_id()
-    within = F.shiftleft(F.lit(1).cast("bigint"), 33) - 1
-    return df.withColumns(
-        {
-            shard: F.spark_partition_id().cast("string"),
-            name: position.bitwiseAND(within) + 1,
-        }
-    )
-
-
 def counted_text(value: Column, shard: Column, seq: Column) -> Column:
     """``value - shard - seq``."""
     return F.concat(value.cast("string"), F.lit(" - "), shard, F.lit(" - "), seq.cast("string"))

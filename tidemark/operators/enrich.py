@@ -14,6 +14,9 @@ MISSING = ("error", "drop", "keep")
 # A dimension up to this size is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Slices a stream meets a larger one in.
+STREAM_SALTS = 8
+
 
 @dataclass(frozen=True)
 class DimensionSize:
@@ -53,6 +56,7 @@ def enrich(
     broadcast_bytes: int = BROADCAST_BYTES,
     size: DimensionSize | None = None,
     split_hot: bool = True,
+    stream_salts: int = STREAM_SALTS,
 ) -> DataFrame:
     """Add the columns of ``dim`` to each row of ``df``; works on streams too.
 
@@ -62,6 +66,8 @@ def enrich(
     ``size`` is the result of an earlier check, which then is not made again.
     Without ``split_hot`` no hot keys are looked for, which takes two passes
     over the keys of ``df``: right where ``df`` holds few rows per key anyway.
+    A stream meets a large ``dim`` in ``stream_salts`` slices, so that the rows
+    of a hot key are spread over so many tasks.
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}, not {missing!r}")
@@ -71,6 +77,10 @@ def enrich(
     marked = dim.withColumn("_found", F.lit(True))
     if size.bytes <= broadcast_bytes:
         joined = df.join(F.broadcast(marked), on, how)
+    elif df.isStreaming and stream_salts > 1:
+        slices = F.explode(F.sequence(F.lit(0), F.lit(stream_salts - 1))).alias("_salt")
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(stream_salts)).cast("int")
+        joined = df.withColumn("_salt", salt).join(marked.select("*", slices), [on, "_salt"], how).drop("_salt")
     elif df.isStreaming or not split_hot:
         joined = df.join(marked, on, how)
     else:

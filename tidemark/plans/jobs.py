@@ -1,16 +1,19 @@
 """The ready-made jobs, as transforms from raw rows to what the sink gets.
 
-Each works on a batch and on a stream. Where rows are counted per shard, a
-batch counts per input partition, which needs no shuffle; a stream keeps its
-counts in state, per logical shard.
+Most work on a batch and on a stream. Jobs that number rows come as a
+``Counting``, which a batch runs as one DataFrame and a stream micro-batch by
+micro-batch, with the counts so far stored beside the results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import (
     append_text,
@@ -20,14 +23,9 @@ from tidemark.functions import (
     prefix_text,
     strict_long,
 )
-from tidemark.operators.campaigns import ad_views, campaign_counts
-from tidemark.operators.counting import (
-    RUN_LENGTH,
-    count_by_partition,
-    counted_text,
-    run_id,
-)
-from tidemark.operators.new_users import new_users_with_auctions
+from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
+from tidemark.operators.counting import RUN_LENGTH, counted_text, run_id, running_count
+from tidemark.operators.new_users import STREAM_SALTS, new_users_with_auctions
 from tidemark.operators.reports import (
     campaign_latency_report,
     new_user_latency_report,
@@ -50,9 +48,10 @@ from tidemark.sources.parse import (
     parse_persons,
     parse_timestamped_numbers,
 )
-from tidemark.streaming.counting import stateful_count
+from tidemark.streaming.config import StreamConfig
+from tidemark.streaming.counting import count_stream
 
-# Counters a stream keeps; each is one task's work at a time, so more of them than cores.
+# Counters that rows are dealt to.
 SHARDS = 256
 
 
@@ -74,21 +73,48 @@ def even_lines(lines: DataFrame) -> DataFrame:
     return lines.where(divisible_by(number, 2)).select(*_value(prefix_text(F.col("value"))))
 
 
-def _counted(df: DataFrame, shards: int) -> DataFrame:
-    if not df.isStreaming:
-        return count_by_partition(df)
-    shard = F.pmod(F.spark_partition_id(), F.lit(shards)).cast("string")
-    return stateful_count(df.withColumn("shard", shard), "shard")
+@dataclass(frozen=True)
+class Counting:
+    """Rows to be numbered per ``shard`` along ``order``, and what is made of the numbered rows.
+
+    A shard is a logical key: the same rows have the same shards in a batch and
+    in a stream, whatever files and partitions they come in.
+    """
+
+    rows: DataFrame
+    order: list[str]
+    finish: Callable[[DataFrame], DataFrame]
+
+    def batch(self) -> DataFrame:
+        return self.finish(running_count(self.rows, "shard", self.order))
+
+    def stream(self, path: str, config: StreamConfig, form: str = "parquet") -> StreamingQuery:
+        """Number micro-batch by micro-batch, each along the order; results land in ``<path>/rows``."""
+        return count_stream(self.rows, "shard", self.order, path, config, then=self.finish, form=form)
+
 
+def _shard(number: Column, shards: int) -> Column:
+    return F.pmod(number, F.lit(shards)).cast("string")
 
-def counted_lines(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``value - shard - count`` of lines or numbers."""
-    counted = _counted(rows.select("value"), shards)
+
+def counted_lines(lines: DataFrame, shards: int = SHARDS) -> Counting:
+    """``value - shard - count`` of lines. Lines have no order of their own: they are dealt and ordered by their hash."""
+    place = F.conv(F.substring(F.md5(F.encode("value", "UTF-8")), 1, 13), 16, 10).cast("long")
+    rows = lines.select("value", place.alias("place"), _shard(place, shards).alias("shard"))
+    return Counting(rows, ["place", "value"], _as_text)
+
+
+def _as_text(counted: DataFrame) -> DataFrame:
     return counted.select(*_value(counted_text(F.col("value"), F.col("shard"), F.col("seq"))))
 
 
-def counted_even_numbers(numbers: DataFrame, shards: int = SHARDS) -> DataFrame:
-    return counted_lines(numbers.where(divisible_by(F.col("value"), 2)), shards)
+def counted_numbers(numbers: DataFrame) -> Counting:
+    """``value - shard - count`` of the numbers of an interval, by their own shard."""
+    return Counting(numbers.select("value", "shard"), ["value"], _as_text)
+
+
+def counted_even_numbers(numbers: DataFrame) -> Counting:
+    return counted_numbers(numbers.where(divisible_by(F.col("value"), 2)))
 
 
 def number_latencies(
@@ -98,16 +124,22 @@ def number_latencies(
     every: int = 1,
     multiples_of: int | None = None,
     as_of: datetime | None = None,
-) -> DataFrame:
-    """Latency of every n-th timestamped number of a shard, all of them or only some multiples."""
+) -> Counting:
+    """Latency of every n-th timestamped number of a shard, all of them or only some multiples.
+
+    Numbers are dealt by their remainder and ordered by their value, then their time.
+    """
     if every < 1:
         raise ValueError("every must be at least 1")
     numbers = parse_timestamped_numbers(lines)
     if multiples_of:
         numbers = numbers.where(divisible_by(F.col("value"), multiples_of))
-    counted = _counted(numbers, shards)
-    kept = counted.where(F.col("seq") % F.lit(every) == 0) if every > 1 else counted
-    return number_latency_report(kept, only_latency, as_of)
+
+    def finish(counted: DataFrame) -> DataFrame:
+        kept = counted.where(F.col("seq") % F.lit(every) == 0) if every > 1 else counted
+        return number_latency_report(kept, only_latency, as_of)
+
+    return Counting(numbers.withColumn("shard", _shard(F.col("value"), shards)), ["value", "event_time"], finish)
 
 
 def region_counts(
@@ -139,11 +171,17 @@ def new_user_latencies(
     width: str = NEW_USER_WINDOW,
     delay: str = "0 seconds",
     as_of: datetime | None = None,
+    evicted_at="window end",
+    salts: int = STREAM_SALTS,
 ) -> DataFrame:
-    """Latencies of auctions opened in the window their person is new in."""
+    """Latencies of auctions opened in the window their person is new in.
+
+    A window counts as evicted when it ends, or at ``evicted_at``: a time, or None for the clock.
+    """
     persons = event_time(parse_persons(person_lines), "event_time", delay)
     auctions = event_time(parse_auctions(auction_lines), "event_time", delay)
-    return new_user_latency_report(new_users_with_auctions(persons, auctions, width), as_of)
+    found = new_users_with_auctions(persons, auctions, width, evicted_at, salts)
+    return new_user_latency_report(found, as_of)
 
 
 def campaign_window_counts(
@@ -152,20 +190,34 @@ def campaign_window_counts(
     width: str = CAMPAIGN_WINDOW,
     delay: str = "0 seconds",
     missing: str = "error",
+    shards: int = SHARDS,
 ) -> DataFrame:
     """Views per campaign and window.
 
     With a campaign table its campaigns are counted. Without one, lines are
-    numbered ones, and ten successive views of a shard make up a campaign.
+    numbered ones, and ten successive views of a shard (the remainder of their
+    numbers) make up a campaign; a batch only, see ``campaign_runs`` for streams.
     """
     if campaigns is not None:
         views = event_time(ad_views(parse_ad_events(lines)), "event_time", delay)
         return campaign_counts(views, campaigns, width, missing)
-    views = ad_views(parse_ad_events(lines, numbered=True))
-    counted = _counted(views, SHARDS)
-    campaign = run_id(F.col("shard"), F.col("seq"), RUN_LENGTH)
-    runs = event_time(counted.withColumn("campaign_id", campaign), "event_time", delay)
-    return windowed_count(runs, "campaign_id", "event_time", width)
+    return run_window_counts(campaign_runs(lines, shards).batch(), width, delay)
+
+
+def campaign_runs(lines: DataFrame, shards: int = SHARDS) -> Counting:
+    """Numbered views with the run of ten successive ones of their shard as their campaign."""
+    views = parse_ad_events(lines, numbered=True).where(F.col("event_type") == COUNTED_EVENT)
+    rows = views.select("id", "ad_id", "event_time", _shard(F.col("id"), shards).alias("shard"))
+
+    def finish(counted: DataFrame) -> DataFrame:
+        campaign = run_id(F.col("shard"), F.col("seq"), RUN_LENGTH).alias("campaign_id")
+        return counted.select("ad_id", "event_time", campaign)
+
+    return Counting(rows, ["id"], finish)
+
+
+def run_window_counts(runs: DataFrame, width: str = CAMPAIGN_WINDOW, delay: str = "0 seconds") -> DataFrame:
+    return windowed_count(event_time(runs, "event_time", delay), "campaign_id", "event_time", width)
 
 
 def campaign_latencies(
@@ -175,6 +227,7 @@ def campaign_latencies(
     delay: str = "0 seconds",
     missing: str = "error",
     as_of: datetime | None = None,
+    shards: int = SHARDS,
 ) -> DataFrame:
-    counts = campaign_window_counts(lines, campaigns, width, delay, missing)
+    counts = campaign_window_counts(lines, campaigns, width, delay, missing, shards)
     return campaign_latency_report(counts, as_of)

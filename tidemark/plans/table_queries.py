@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions import (
     append_text,
@@ -50,7 +50,8 @@ from tidemark.sources.parse import (
     parse_persons,
     parse_timestamped_numbers,
 )
-from tidemark.sources.sequence import interval_sequence
+from tidemark.sources.lines import text_lines
+from tidemark.sources.sequence import interval_sequence, interval_sequence_stream, run_to_end
 from tidemark.sources.tables import read_table, stream_table
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream, read_counted, stateful_count
@@ -182,6 +183,14 @@ def campaign_window_counts_stream(spark: SparkSession, folder: str) -> DataFrame
     return _shown_counts(run_available_now(_campaign_counts(spark, folder, streaming=True)))
 
 
+@query(ORACLES["campaign_window_counts_stream"])
+def campaign_window_counts_large_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a campaign table that is too large to broadcast."""
+    views = _ad_views(_events(spark, folder, streaming=True))
+    counts = campaign_counts(views, _campaigns(spark, folder), f"{HOUR} seconds", broadcast_bytes=0)
+    return _shown_counts(run_available_now(counts))
+
+
 @query(_CAMPAIGN_SQL)
 def campaign_early_firing(spark: SparkSession, folder: str) -> DataFrame:
     """All windows, open ones included, each in its latest version."""
@@ -382,15 +391,18 @@ def running_count_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT (event_id % {STREAM_SHARDS})::VARCHAR AS shard, row_number() OVER
-    (PARTITION BY event_id % {STREAM_SHARDS} ORDER BY event_id) AS seq FROM events"""
+    f"""WITH e AS (SELECT event_id, (event_id % {STREAM_SHARDS})::VARCHAR AS shard FROM events)
+    SELECT 'row' AS kind, shard, event_id AS number FROM e UNION ALL
+    SELECT 'count', shard, row_number() OVER (PARTITION BY shard ORDER BY event_id) FROM e"""
 )
 def stateful_count_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbered as rows arrive, so which row got which number is left out."""
+    """Numbered as rows arrive: every row comes back once, and so does every number of a shard."""
     events = _events(spark, folder, streaming=True)
     shard = F.pmod(F.col("event_id"), F.lit(STREAM_SHARDS)).cast("string").alias("shard")
     counted = stateful_count(events.select("event_id", shard), "shard")
-    return run_available_now(counted).select("shard", "seq")
+    rows = run_available_now(counted)
+    shown = lambda kind, column: rows.select(F.lit(kind).alias("kind"), "shard", F.col(column).alias("number"))
+    return shown("row", "event_id").union(shown("count", "seq"))
 
 
 @query(
@@ -538,16 +550,16 @@ def _ad_lines(spark: SparkSession, folder: str, numbered: bool) -> DataFrame:
         F.concat(F.lit("u"), _text("user_id")),
         F.concat(F.lit("p"), _text("event_id")),
         _text("user_id"),
-        F.lit("banner"),
+        F.lit("poster"),
         "event_type",
         _text(epoch_ms(F.col("ts"))),
-        F.lit("255.255.255.255"),
+        F.lit("192.0.2.1"),
     )
 
 
 _AD_SQL = """SELECT {front} 'u' || user_id AS user_id, 'p' || event_id AS page_id,
-    user_id::VARCHAR AS ad_id, 'banner' AS ad_type, event_type,
-    epoch_us(ts) // 1000 AS event_ms, '255.255.255.255' AS ip_address FROM events"""
+    user_id::VARCHAR AS ad_id, 'poster' AS ad_type, event_type,
+    epoch_us(ts) // 1000 AS event_ms, '192.0.2.1' AS ip_address FROM events"""
 
 
 def _shown_ads(ads: DataFrame) -> DataFrame:
@@ -667,12 +679,71 @@ def region_latency(spark: SparkSession, folder: str) -> DataFrame:
 # --- whole jobs, from raw lines to the report --------------------------------------
 
 
-def _number_job(spark: SparkSession, folder: str, multiples_of: int) -> DataFrame:
-    numbers = parse_timestamped_numbers(_number_lines(spark, folder))
-    shard = F.pmod(F.col("value"), F.lit(SHARDS)).cast("string")
-    some = numbers.where(divisible_by(F.col("value"), multiples_of)).withColumn("shard", shard)
-    kept = running_count(some, "shard", "value").where(F.col("seq") % NTH == 0)
-    return number_latency_report(kept, only_latency=False, as_of=AS_OF)
+def _text_lines(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The lines of ``df`` from files they are first written to."""
+    path = scratch_path(spark, "lines")
+    df.write.text(path)
+    return text_lines(spark, path)
+
+
+@query(ORACLES["text_lowercase"])
+def lowercase_job(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.lowercase_text(_text_lines(spark, _customer_text(spark, folder)))
+
+
+@query("SELECT c_name || ' ' || c_mktsegment || ' - appended text' AS value FROM customer")
+def append_job(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.appended_text(_text_lines(spark, _customer_text(spark, folder)))
+
+
+@query(ORACLES["filter_prefix"])
+def filter_prefix_job(spark: SparkSession, folder: str) -> DataFrame:
+    names = read_table(spark, folder, "customer").select(F.col("c_name").alias("value"))
+    return jobs.even_lines(_text_lines(spark, names))
+
+
+@query(
+    f"""WITH l AS (SELECT event_type AS value, CAST('0x' || substr(md5(event_type), 1, 13) AS BIGINT) AS place FROM events
+        UNION ALL SELECT c_name, CAST('0x' || substr(md5(c_name), 1, 13) AS BIGINT) FROM customer)
+    SELECT value || ' - ' || place % {SHARDS} || ' - ' ||
+    row_number() OVER (PARTITION BY place % {SHARDS} ORDER BY place, value) AS value FROM l"""
+)
+def count_text_job(spark: SparkSession, folder: str) -> DataFrame:
+    """A few lines that come very often, and many that come once."""
+    often = _events(spark, folder).select(F.col("event_type").alias("value"))
+    lines = often.union(read_table(spark, folder, "customer").select("c_name"))
+    return jobs.counted_lines(_text_lines(spark, lines), SHARDS).batch()
+
+
+_INTERVAL_SQL = f"""SELECT value || ' - ' || (value - lowest) % {SHARDS} || ' - ' || row_number() OVER
+    (PARTITION BY (value - lowest) % {SHARDS} ORDER BY value) AS value FROM (
+    SELECT lowest, unnest(range(lowest, highest + 1)) AS value FROM
+    (SELECT min(o_orderkey) AS lowest, max(o_orderkey) AS highest FROM orders)) {{}}"""
+
+
+def _interval(spark: SparkSession, folder: str) -> tuple[int, int]:
+    ends = read_table(spark, folder, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return ends[0], ends[1]
+
+
+@query(_INTERVAL_SQL.format(""))
+def count_sequence_job(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.counted_numbers(interval_sequence(spark, *_interval(spark, folder), SHARDS)).batch()
+
+
+@query(_INTERVAL_SQL.format("WHERE value % 2 = 0"))
+def count_even_sequence_job(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.counted_even_numbers(interval_sequence(spark, *_interval(spark, folder), SHARDS)).batch()
+
+
+@query(_INTERVAL_SQL.format(""))
+def count_sequence_stream_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream of three micro-batches, run until all numbers are through."""
+    start, end = _interval(spark, folder)
+    path, config = scratch_path(spark, "counted"), StreamConfig(scratch_path(spark, "stream"), available_now=True)
+    numbers = interval_sequence_stream(spark, start, end, SHARDS, (end - start) // 3 + 1)
+    run_to_end(lambda: jobs.counted_numbers(numbers).stream(path, config), start, end)
+    return read_counted(spark, path, StructType([StructField("value", StringType())]))
 
 
 _NUMBER_JOB_SQL = f"""SELECT {_LATENCY_SQL}, value, shard, seq FROM ({{}}) WHERE seq % {NTH} = 0"""
@@ -680,12 +751,25 @@ _NUMBER_JOB_SQL = f"""SELECT {_LATENCY_SQL}, value, shard, seq FROM ({{}}) WHERE
 
 @query(_NUMBER_JOB_SQL.format(_counted_sql()))
 def number_latency_job(spark: SparkSession, folder: str) -> DataFrame:
-    return _number_job(spark, folder, 1)
+    lines = _text_lines(spark, _number_lines(spark, folder))
+    return jobs.number_latencies(lines, SHARDS, only_latency=False, every=NTH, as_of=AS_OF).batch()
 
 
 @query(_NUMBER_JOB_SQL.format(_counted_sql("event_id % 5 = 0")))
 def number_latency_mod5_job(spark: SparkSession, folder: str) -> DataFrame:
-    return _number_job(spark, folder, 5)
+    lines = _text_lines(spark, _number_lines(spark, folder))
+    return jobs.number_latencies(lines, SHARDS, only_latency=False, every=NTH, multiples_of=5, as_of=AS_OF).batch()
+
+
+@query(
+    f"""WITH v AS (SELECT event_id % {SHARDS} AS shard, epoch_us(ts) // 1000 AS ms, row_number() OVER
+        (PARTITION BY event_id % {SHARDS} ORDER BY event_id) AS seq FROM events WHERE event_type = '{COUNTED_EVENT}')
+    SELECT shard || '-' || (seq - 1) // 10 AS campaign_id, count(*) AS "count", {AS_OF_MS} - max(ms) AS latency_ms,
+    ms // {HOUR * 1000} * {HOUR * 1000} AS window_ms FROM v GROUP BY 1, 4"""
+)
+def campaign_runs_job(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _ad_lines(spark, folder, numbered=True)
+    return jobs.campaign_latencies(lines, None, f"{HOUR} seconds", as_of=AS_OF, shards=SHARDS)
 
 
 @query(

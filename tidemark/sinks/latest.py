@@ -17,13 +17,18 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.streaming.config import StreamConfig
+from tidemark.streaming.owner import claim
 
 BATCH = "batch_id"
 COMPACTED = -1
 
 
 def upsert_latest(df: DataFrame, path: str, config: StreamConfig) -> StreamingQuery:
-    """Start an update-mode query whose changed rows go to the store at ``path``."""
+    """Start an update-mode query whose changed rows go to the store at ``path``.
+
+    The store belongs to the checkpoint it was first used with; another one is refused.
+    """
+    claim(df.sparkSession, path, config.checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(posixpath.join(path, f"{BATCH}={batch_id}"))

@@ -8,11 +8,11 @@ from tidemark.sources.parse import (
     parse_persons,
     parse_timestamped_numbers,
 )
-from tidemark.sources.sequence import interval_sequence, interval_sequence_stream
+from tidemark.sources.sequence import interval_sequence, interval_sequence_stream, run_to_end
 from tidemark.sources.tables import read_table, stream_table
 
 __all__ = [
-    "interval_sequence", "interval_sequence_stream", "kafka_lines", "kafka_options",
+    "interval_sequence", "interval_sequence_stream", "run_to_end", "kafka_lines", "kafka_options",
     "parse_ad_events", "parse_auctions", "parse_geo_events", "parse_persons",
     "parse_timestamped_numbers", "read_table", "stream_table", "text_lines",
 ]

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+ROWS_PER_BATCH = 1_000_000
 
 
 def _check(start: int, end: int, shards: int) -> None:
@@ -32,13 +39,14 @@ def interval_sequence_stream(
     start: int,
     end: int,
     shards: int = 4,
-    rows_per_batch: int = 10_000,
+    rows_per_batch: int = ROWS_PER_BATCH,
     partitions: int | None = None,
 ) -> DataFrame:
     """The same numbers as a replayable stream, ``rows_per_batch`` at a time.
 
-    The source itself never ends: batches past ``end`` are empty, and the
-    query is stopped by its owner.
+    The source itself never ends, and run over what is available now it gives
+    one batch: start its query with ``run_to_end``, which ends when all numbers
+    are through. Batches past ``end`` are empty.
     """
     _check(start, end, shards)
     reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch)
@@ -53,3 +61,31 @@ def interval_sequence_stream(
             F.pmod(offset, F.lit(shards)).cast("string").alias("shard"),
         )
     )
+
+
+def _rows_through(query: StreamingQuery) -> int:
+    """How many numbers the query's finished batches have covered, as its progress tells."""
+    progress = query.lastProgress
+    if not progress:
+        return 0
+    found = re.search(r"offset\D*(\d+)", str(progress["sources"][0]["endOffset"]))
+    return int(found[1]) if found else 0
+
+
+def run_to_end(start_query: Callable[[], StreamingQuery], start: int, end: int, poll_seconds: float = 0.2) -> None:
+    """Run a query over ``interval_sequence_stream(start, end)`` until every number has been through it.
+
+    A query over what is available now ends after each batch and is started again on its checkpoint; one with another
+    trigger is stopped once it is past ``end``. A query that fails raises, and can be run to its end again.
+    """
+    rows = end - start + 1
+    while True:
+        query = start_query()
+        while query.isActive and _rows_through(query) < rows:
+            time.sleep(poll_seconds)
+        done = _rows_through(query) >= rows
+        if query.isActive:
+            query.stop()
+        query.awaitTermination()  # raises if it failed
+        if done:
+            return

@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.counting import ROWS_PER_BUCKET, running_count
 from tidemark.streaming.config import StreamConfig
+from tidemark.streaming.owner import claim
 
 
 def stateful_count(df: DataFrame, shard: str, name: str = "seq") -> DataFrame:
@@ -47,15 +48,20 @@ def count_stream(
     name: str = "seq",
     then: Callable[[DataFrame], DataFrame] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    form: str = "parquet",
 ) -> StreamingQuery:
     """Number the rows of each shard along ``order`` within a micro-batch, on from the last.
 
     Each micro-batch is numbered as a batch is, so no shard has to fit one
-    task. ``then`` is applied to the numbered rows before they are stored.
-    Rows land in ``<path>/rows`` and the counts so far in ``<path>/counts``, in
-    a folder per micro-batch that a replay writes over: a row is stored once,
-    and the number of shuffle partitions may change between restarts.
+    task; it is read from its source once and kept, with spill to disk, until
+    it is stored. ``then`` is applied to the numbered rows before they are
+    stored as files of ``form``. Rows land in ``<path>/rows`` and the counts so
+    far in ``<path>/counts``, in a folder per micro-batch that a replay writes
+    over: a row is stored once, and the number of shuffle partitions may change
+    between restarts. A path belongs to the checkpoint it was first used with;
+    another one is refused.
     """
+    claim(df.sparkSession, path, config.checkpoint)
 
     def folder(kind: str, batch_id: int) -> str:
         return posixpath.join(path, kind, f"batch_id={batch_id}")
@@ -67,12 +73,16 @@ def count_stream(
             start = spark.read.schema(shards).parquet(folder("counts", batch_id - 1))
         else:
             start = spark.createDataFrame([], shards)
-        rows = running_count(batch, shard, order, name, start, rows_per_bucket)
-        rows = then(rows) if then else rows
-        rows.write.mode("overwrite").parquet(folder("rows", batch_id))
-        added = batch.groupBy(shard).agg(F.count("*").alias(name))
-        totals = start.unionByName(added).groupBy(shard).agg(F.sum(name).alias(name))
-        totals.write.mode("overwrite").parquet(folder("counts", batch_id))
+        batch = batch.persist()
+        try:
+            rows = running_count(batch, shard, order, name, start, rows_per_bucket)
+            rows = then(rows) if then else rows
+            rows.write.mode("overwrite").format(form).save(folder("rows", batch_id))
+            added = batch.groupBy(shard).agg(F.count("*").alias(name))
+            totals = start.unionByName(added).groupBy(shard).agg(F.sum(name).alias(name))
+            totals.write.mode("overwrite").parquet(folder("counts", batch_id))
+        finally:
+            batch.unpersist()
 
     return config.writer(df).foreachBatch(store).start()
 
