@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.operators.skew import sampled
 
 # Fixed value: length of the runs that share one campaign.
 RUN_LENGTH = 10
@@ -30,12 +29,9 @@ TIE = "_tie"
 # Below this many rows in all, a shard is one bucket.
 ROWS_PER_BUCKET = 1_000_000
 
-# Most cuts one column is given, and rows looked at for each.
+# Most cuts one column is given, and how many are looked for in the pass that counts the rows.
 MAX_BUCKETS = 20_000
-ROWS_PER_CUT = 100
-
-# Tasks that sort out the sample the cuts are taken from.
-SAMPLE_TASKS = 64
+FIRST_CUTS = 1_000
 
 
 def _position(df: DataFrame, column: str) -> Column:
@@ -65,29 +61,36 @@ def _crowded(cuts: Sequence[float], kind: T.DataType) -> list[float]:
     return [cut for cut, times in Counter(cuts).items() if times > 1 and abs(cut) < 2**53]
 
 
+def _quantiles(placed: DataFrame, position: str, n: int) -> tuple[int, list[float]]:
+    """The number of rows and ``n`` quantiles of their position, in one pass that combines before its shuffle."""
+    shares = [i / n for i in range(n)]
+    cuts = F.percentile_approx(position, shares, max(10_000, 10 * n)).alias("cuts")
+    row = placed.agg(F.count("*").alias("rows"), cuts).first()
+    return row["rows"], row["cuts"] or []
+
+
 def _cut(
     df: DataFrame, order: Sequence[str], rows_per_bucket: int, depth: int = 0
 ) -> tuple[DataFrame, list[str]]:
     """Add bucket columns that rise with ``order``; returns their names too.
 
-    The cuts are quantiles of the first order column in a sample of bounded
-    size; they steer the balance only, not the result. Where one value of the
-    column holds a whole quantile, its rows are cut further along the next order
-    column, and after the last one by a hash of the row.
+    The cuts are approximate quantiles of the first order column; they steer
+    the balance only, not the result. Where one value of the column holds a
+    whole quantile, its rows are cut further along the next order column, and
+    after the last one by a hash of the row.
     """
     column, rest = order[0], list(order[1:])
     position, bucket, crowd = f"_pos{depth}", f"_cut{depth}", f"_crowd{depth}"
     placed = df.withColumn(position, _position(df, column))
 
-    total = df.count()
-    if total <= rows_per_bucket:
-        return df, []
+    total, grid = _quantiles(placed, position, FIRST_CUTS)
     wanted = min(ceil(total / rows_per_bucket), MAX_BUCKETS)
-    positions = sampled(placed.select(position), total, ROWS_PER_CUT * wanted)
-    shares = [i / wanted for i in range(1, wanted)]
-    quantiles = F.percentile_approx(position, shares, max(10_000, 10 * wanted))
-    row = positions.repartition(SAMPLE_TASKS).agg(quantiles.alias("cuts")).first()
-    cuts = [cut for cut in row["cuts"] or [] if isfinite(cut)]
+    if wanted <= 1:
+        return df, []
+    if wanted > FIRST_CUTS:
+        grid = _quantiles(placed, position, wanted)[1]
+    chosen = [grid[i * len(grid) // wanted] for i in range(1, wanted)] if grid else []
+    cuts = [cut for cut in chosen if isfinite(cut)]
     if not cuts:
         return df, []
 
@@ -129,9 +132,10 @@ def running_count(
     numbered in any order among themselves. ``start``, if given, holds shards
     and the count (column ``name``) theirs go on from.
 
-    Every row is shuffled once, by shard and bucket. Before that the input is
-    counted, sampled and counted per bucket, which reads shard and order only;
-    it must give the same rows each time.
+    Every row is shuffled once, by shard and bucket. Before that the order is
+    read once for the cuts, and shard and order once for the rows per bucket
+    (and once more where single values hold whole buckets); the input must give
+    the same rows each time.
     """
     order = [order] if isinstance(order, str) else list(order)
     rows, buckets = _cut(df, order, rows_per_bucket)
