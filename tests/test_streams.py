@@ -359,3 +359,38 @@ def test_one_shard_with_most_rows_over_several_batches(spark, tmp_path):
     for r in got:
         shards.setdefault(r["shard"], []).append(r["seq"])
     assert all(sorted(n) == list(range(1, len(n) + 1)) for n in shards.values()) and len(shards["hot"]) == 2700
+
+
+def test_snapshots_keep_the_store_small(spark, tmp_path):
+    source = tmp_path / "in"
+    for part in range(9):
+        spark.createDataFrame([("a", part), (f"k{part % 3}", part)], "key string, value long").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("key string, value long").option("maxFilesPerTrigger", 1).parquet(str(source))
+    totals = stream.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    path = str(tmp_path / "latest")
+    upsert_latest(totals, path, StreamConfig(str(tmp_path / "c"), available_now=True), ["key"], snapshot_every=2).awaitTermination()
+    want = spark.read.parquet(str(source)).groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    got = read_latest(spark, path, ["key"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    kept = [p.name for p in (tmp_path / "latest").iterdir() if p.name.startswith("batch_id=")]
+    assert len(kept) <= 4
+
+
+def test_results_have_the_stated_schemas(spark):
+    from tidemark import schemas
+    from tidemark.operators.campaigns import campaign_counts
+
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    views = spark.createDataFrame([("x", at)], "ad_id string, event_time timestamp")
+    dim = spark.createDataFrame([("x", "c", 1)], "ad_id string, campaign_id string, event_time int")
+    counted = running_count(spark.createDataFrame([(at, 1, "s")], "event_time timestamp, value long, shard string"), "shard", "value")
+    regions = sliding_count(spark.createDataFrame([(1, at)], "region int, at timestamp"), "region", "at", 60, 30)
+    people = spark.createDataFrame([(1, 7, "Ann", at, 2)], "timestamp long, person_id long, name string, event_time timestamp, ingestion_timestamp long")
+    sales = spark.createDataFrame([(1, 5, 7, at, 2)], "timestamp long, auction_id long, person_id long, event_time timestamp, ingestion_timestamp long")
+    for frame, schema in (
+        (campaign_counts(views, dim), schemas.WINDOWED_COUNT),
+        (counted, schemas.COUNTED_NUMBER),
+        (regions, schemas.REGION_WINDOW),
+        (new_users_with_auctions(people, sales), schemas.NEW_USER_AUCTION),
+    ):
+        assert {f.name: f.dataType for f in frame.schema} == {f.name: f.dataType for f in schema}

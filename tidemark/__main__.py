@@ -195,7 +195,7 @@ def build(args: argparse.Namespace) -> Job:
 
     # Running results of a stream are kept as the newest report row of each campaign and window.
     early = args.trigger_interval_ms and config
-    sink = (lambda df: upsert_latest(df, args.path, config)) if early else csv_sink
+    sink = (lambda df: upsert_latest(df, args.path, config, ["campaign_id", "window_ms"])) if early else csv_sink
     return job(_lines(args), counts, sink=sink)
 
 

@@ -20,7 +20,6 @@ def _struct(**fields) -> StructType:
 _L, _S, _D, _T, _I = LongType(), StringType(), DoubleType(), TimestampType(), IntegerType()
 
 TEXT_LINE = _struct(value=_S)
-NUMBER = _struct(value=_L)
 TIMESTAMPED_NUMBER = _struct(event_time=_T, value=_L)
 COUNTED_NUMBER = _struct(event_time=_T, value=_L, shard=_S, seq=_L)
 
@@ -32,7 +31,6 @@ AUCTION = _struct(
     timestamp=_L, auction_id=_L, item_id=_L, person_id=_L, initial_price=_D, category_id=_L,
     start=_L, end=_L, event_time=_T, ingestion_timestamp=_L,
 )
-BID = _struct(timestamp=_L, auction_id=_I, person_id=_I, bid_id=_I, bid=_D)
 NEW_USER_AUCTION = _struct(
     window_evicting=_L, person_creation=_L, person_ingestion=_L, auction_creation=_L,
     auction_ingestion=_L, person_id=_L, person_name=_S,
@@ -42,11 +40,7 @@ AD_EVENT = _struct(
     user_id=_S, page_id=_S, ad_id=_S, ad_type=_S, event_type=_S, event_time=_T, ip_address=_S,
 )
 NUMBERED_AD_EVENT = StructType([StructField("id", _L, True), *AD_EVENT.fields])
-CAMPAIGN_AD = _struct(ad_id=_S, campaign_id=_S)
-PROJECTED_EVENT = _struct(ad_id=_S, event_time=_T)
-JOINED_EVENT = _struct(campaign_id=_S, ad_id=_S, event_time=_T)
 WINDOWED_COUNT = _struct(window_start=_T, campaign_id=_S, count=_L, last_update=_T)
 
 GEO_EVENT = _struct(lat=_L, lng=_L, category=_S)
-REGIONAL_EVENT = _struct(region=_I, category=_S)
 REGION_WINDOW = _struct(window_start=_T, window_end=_T, region=_I, count=_L)

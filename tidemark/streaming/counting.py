@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.counting import ROWS_PER_BUCKET, running_count
+from tidemark.sinks.latest import drop_batches
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.owner import claim
 
@@ -57,7 +58,7 @@ def count_stream(
     it is stored. ``then`` is applied to the numbered rows before they are
     stored as files of ``form``. Rows land in ``<path>/rows`` and the counts so
     far in ``<path>/counts``, in a folder per micro-batch that a replay writes
-    over: a row is stored once, and the number of shuffle partitions may change
+    over (counts older than the last two are removed): a row is stored once, and the number of shuffle partitions may change
     between restarts. A path belongs to the checkpoint it was first used with;
     another one is refused.
     """
@@ -81,6 +82,7 @@ def count_stream(
             added = batch.groupBy(shard).agg(F.count("*").alias(name))
             totals = start.unionByName(added).groupBy(shard).agg(F.sum(name).alias(name))
             totals.write.mode("overwrite").parquet(folder("counts", batch_id))
+            drop_batches(spark, posixpath.join(path, "counts"), batch_id - 1)
         finally:
             batch.unpersist()
 

@@ -26,7 +26,7 @@ def run_available_now(
     path = path or scratch_path(spark, "result")
     config = config or StreamConfig(scratch_path(spark, "stream"), available_now=True)
     if latest_by:
-        upsert_latest(df, path, config).awaitTermination()
+        upsert_latest(df, path, config, latest_by).awaitTermination()
         return read_latest(spark, path, latest_by, df.schema)
     write_parquet(df, path, config).awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
