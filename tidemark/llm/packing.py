@@ -35,7 +35,9 @@ from tidemark.llm.components import written
 CAPACITY = 2048
 BLOCK_PIECES = 50_000
 TRIES = 400  # bins looked at for one exchange
-CACHED_WORDS = 400_000  # per worker
+PATIENCE = 200  # bins tried in vain, one after another
+EFFORT = 300_000  # pairs of bins looked at in a block, after which the search ends with what it has
+CACHED_WORDS = 250_000  # per worker
 
 # The pre-tokenizer's pattern, and its byte-to-character table by rule: fixed by the vocabulary.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -156,34 +158,45 @@ def _exchange(give: list[int], take: list[int], room: int, length: list[int]):
     return best
 
 
+def least_bins(length: list[int], capacity: int) -> int:
+    """No packing has fewer bins: by all tokens, and by pieces of which no two share a bin."""
+    return max(-(-sum(length) // capacity), sum(2 * n > capacity for n in length))
+
+
 def local_search(bins: list[list[int]], length: list[int], capacity: int) -> list[list[int]]:
-    """Empty bins by moves and exchanges into fuller ones, until the fewest possible are left or none gives way."""
-    least = -(-sum(length) // capacity)
+    """Empty bins by moves and exchanges into fuller ones, until the fewest possible are left or none gives way.
+
+    A bin that can't be emptied is tried again once others have changed; each step raises the sum of squared fills, and
+    the search ends when ``PATIENCE`` bins in a row have not given way.
+    """
+    least = least_bins(length, capacity)
     fill = [sum(length[i] for i in b) for b in bins]
     stuck: set[int] = set()
-    alive = len(bins)
-    while alive > least:
-        donors = [k for k, f in enumerate(fill) if 0 < f < capacity and k not in stuck]
-        if len(donors) < 2:
+    alive, looks = len(bins), 0
+    while alive > least and len(stuck) < PATIENCE and looks < EFFORT:
+        donor = min((k for k, f in enumerate(fill) if 0 < f < capacity and k not in stuck), key=lambda k: (fill[k], k), default=-1)
+        if donor < 0:
             break
-        donor = min(donors, key=lambda k: (fill[k], k))
         takers = sorted((k for k, f in enumerate(fill) if fill[donor] <= f < capacity and k != donor), key=lambda k: (fill[k], k))
-        moved = True
-        while fill[donor] and moved:
+        moved, changed = True, False
+        while fill[donor] and moved and looks < EFFORT:
             moved = False
             for k in takers[:TRIES]:
                 room = capacity - fill[k]
                 if not room:
                     continue
+                looks += 1
                 tokens, out, back = _exchange(bins[donor], bins[k], room, length)
                 if tokens and fill[k] + tokens > fill[donor] - tokens:
                     bins[donor] = [i for i in bins[donor] if i not in out] + list(back)
                     bins[k] = [i for i in bins[k] if i not in back] + list(out)
                     fill[donor] -= tokens
                     fill[k] += tokens
-                    moved = True
+                    moved = changed = True
                     if not fill[donor]:
                         break
+        if changed:
+            stuck.clear()
         if fill[donor]:
             stuck.add(donor)
         else:
