@@ -11,7 +11,7 @@ from tidemark.operators.campaigns import ad_views, campaign_counts
 from tidemark.operators.enrich import check_dimension, enrich
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.skew import hot_key_hashes, join_unique
-from tidemark.operators.windows import assign_region, sliding_count, windowed_count
+from tidemark.operators.windows import assign_region, event_time, sliding_count, windowed_count
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -236,3 +236,15 @@ def test_one_person_with_most_auctions(spark, width):
         persons_of(spark, *people), auctions_of(spark, *sales), f"{width} seconds"
     )
     assert tuples(out) == want
+
+
+def test_zoneless_times_are_utc_in_any_session_zone(spark):
+    times = ["2024-03-10 02:30:00", "2024-03-10 07:30:00", "2024-11-03 05:30:00", "2024-11-03 06:30:00", "1969-12-31 23:59:59"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("at"))
+    want = [r[0] for r in df.select(F.unix_micros(F.col("at").cast("timestamp"))).collect()]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in event_time(df, "at").select(F.unix_micros("at")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want

@@ -6,6 +6,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from tidemark.functions.time import now_or
 
@@ -23,7 +24,10 @@ def event_time(df: DataFrame, column: str, delay: str = "0 seconds") -> DataFram
     over all input partitions, so a stream read from several unaligned
     partitions needs a delay as long as they drift apart.
     """
-    df = df.withColumn(column, F.col(column).cast("timestamp"))
+    time = F.col(column).cast("timestamp")
+    if isinstance(df.schema[column].dataType, TimestampNTZType):  # whatever zone the session is in
+        time = F.expr(f"timestamp_micros(0) + (`{column}` - timestamp_ntz'1970-01-01 00:00:00')")
+    df = df.withColumn(column, time)
     return df.withWatermark(column, delay) if df.isStreaming else df
 
 
