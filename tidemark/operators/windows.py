@@ -26,7 +26,9 @@ def event_time(df: DataFrame, column: str, delay: str = "0 seconds") -> DataFram
     """
     time = F.col(column).cast("timestamp")
     if isinstance(df.schema[column].dataType, TimestampNTZType):  # whatever zone the session is in
-        time = F.expr(f"timestamp_micros(0) + (`{column}` - timestamp_ntz'1970-01-01 00:00:00')")
+        days, seconds = F.unix_date(F.to_date(column)), F.expr(f"extract(SECOND FROM `{column}`)")
+        minutes = (days * 24 + F.hour(column)) * 60 + F.minute(column)
+        time = F.timestamp_micros(minutes.cast("long") * 60_000_000 + (seconds * 1_000_000).cast("long"))
     df = df.withColumn(column, time)
     return df.withWatermark(column, delay) if df.isStreaming else df
 
