@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # A batch that reaches Python is worked on in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def slices(columns: list[pa.Array], text_at: int) -> Iterator[list[list]]:

@@ -7,8 +7,9 @@ smaller counts of each group, so similar sets have near points.
 1. Sets of about the same size share a band. In a band, the groups form blocks
    of coordinates. Similar sets differ in a bounded number of shingles, and
    there are more blocks than that, so their points agree in all coordinates
-   of some block: they meet in a cell (the band, the block, a hash of its
-   counts). Only cells that hold several sets are followed up.
+   of many blocks: they meet in as many cells (the band, the block, a hash of
+   its counts). Only sets with so many cells that hold other sets are followed
+   up, by these cells.
 2. In a cell, the sum of coordinate minima bounds the overlap of each pair.
    Pairs that survive put sets into the same candidate cluster.
 3. A cluster is searched by a count-vector R-tree: boxes of points are
@@ -50,7 +51,7 @@ from tidemark.session import parallelism
 SHINGLE = 5
 PERCENT = 80
 LEAF = 512
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 BUCKET_HASHES = 2_000_000
 BIN_BYTES = 8_000_000
 BIN_CELLS = 200_000
@@ -108,8 +109,9 @@ def set_node(hashes: np.ndarray) -> int | None:
     return int(W.mix(np.array([total]))[0].view(np.int64))
 
 
-def cells(hashes: np.ndarray, like: Likeness, bands: np.ndarray) -> np.ndarray:
-    """Hashes of the cells in which a set can meet the sets it links with."""
+def cells(hashes: np.ndarray, like: Likeness, bands: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each band in which a set can meet the sets it links with: hashes of its cells, and how many of them it shares
+    with each of these sets at least."""
     n = len(hashes)
     home = int(np.searchsorted(bands, n, side="right")) - 1
     out = []
@@ -124,12 +126,13 @@ def cells(hashes: np.ndarray, like: Likeness, bands: np.ndarray) -> np.ndarray:
         order = np.argsort(block, kind="stable")
         present, start = np.unique(block[order], return_index=True)
         sums = np.add.reduceat(group[order], start)
-        if blocks - len(present) >= blocks - most:
-            # So many blocks are empty that two linked sets might agree in these alone.
+        # Linked sets agree in all blocks but ``most``; where these may all be empty ones, empty blocks count too.
+        shared = blocks - most - (blocks - len(present))
+        if shared < 1:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), present)
             present, sums = np.concatenate([present, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(W.mix(sums * np.uint64(3) + W.mix(present + np.uint64(band << 32))))
-    return np.unique(np.concatenate(out))
+        out.append((W.mix(sums * np.uint64(3) + W.mix(present + np.uint64(band << 32))), max(1, shared)))
+    return out
 
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,7 +229,7 @@ class _Batch:
     def found(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.cells:
             return np.empty(0, np.uint64), np.empty(0, bool)
-        values, count = np.unique(np.concatenate(self.cells), return_counts=True)
+        values, count = np.unique(np.concatenate([c for own in self.cells for c, _ in own]), return_counts=True)
         return values, count > 1
 
 
@@ -257,9 +260,13 @@ def _candidate_pass(like: Likeness, bands: np.ndarray, n_buckets: int):
         again = R.flags_of(found, list(answers.items()), n_buckets)
         rows = []
         for node, hashes, own in zip(batch.nodes, batch.sets, batch.cells, strict=True):
-            shared = own[again[np.searchsorted(found, own)]]
-            if len(shared):
-                rows.append((node, len(hashes), shared.view(np.int64), hashes.tobytes()))
+            kept_cells = []
+            for of_band, least in own:
+                shared = of_band[again[np.searchsorted(found, of_band)]]
+                if len(shared) >= least:  # else there is no set in this band that it could link with
+                    kept_cells.append(shared)
+            if kept_cells:
+                rows.append((node, len(hashes), np.concatenate(kept_cells).view(np.int64), hashes.tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _CANDIDATE_ARROW, strict=True)], schema=_CANDIDATE_ARROW)
 
@@ -274,7 +281,7 @@ def _edges(a, b) -> pa.Table:
 
 
 def _cell_edges(like: Likeness):
-    """Pairs of a bin's cells that the summed minima let through, as edges of clusters."""
+    """What pairs of a bin's cells that the summed minima let through connect, as edges of clusters."""
 
     def run(table: pa.Table) -> pa.Table:
         cell, node = (np.asarray(table[c].combine_chunks()) for c in ("cell", "node"))
@@ -306,12 +313,31 @@ def _cell_edges(like: Likeness):
             right.append(np.delete(node[s : s + m], node[s : s + m].argmin()))
         if not left:
             return _EDGE_ARROW.empty_table()
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return _edges(pairs[0], pairs[1])
+        return _edges(*_stars(np.concatenate(left), np.concatenate(right)))
 
     return run
 
 
+def _stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few edges that connect the same nodes: from each component's smallest node to its others."""
+    nodes, ends = np.unique(np.stack([left, right]), return_inverse=True)
+    ends = np.unique(np.sort(ends.reshape(2, -1), axis=0), axis=1)
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in zip(*ends.tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    smallest = np.array([find(i) for i in range(len(nodes))])
+    away = smallest != np.arange(len(nodes))
+    return nodes[smallest[away]], nodes[away]
+
+
 def _search(like: Likeness):
     """Links in each cluster part of a bin: an edge from every set to one it is linked with."""
 

@@ -41,7 +41,7 @@ from tidemark.session import parallelism
 
 WINDOW = 20
 EDGE = 8
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 BUCKET_HASHES = 2_000_000
 LAST = np.iinfo(np.int64).max
 

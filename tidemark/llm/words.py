@@ -20,7 +20,14 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-@lru_cache(maxsize=4)
+_LONGEST_KEPT = 1 << 21
+
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_LONGEST_KEPT)
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, _INVERSE):
@@ -31,8 +38,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _table(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers for at least ``size`` places; sizes are rounded up so that tables are shared."""
-    return _powers(1 << max(16, (size - 1).bit_length()))
+    """Powers for at least ``size`` places. A worker keeps one table of bounded size; longer ones are made when needed."""
+    return _kept_powers() if size <= _LONGEST_KEPT else _powers(size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
