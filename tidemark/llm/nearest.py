@@ -13,8 +13,8 @@ bound starts from the sample's members in the probed lists.
 
 Of equal vectors only the ``k + 1`` with the smallest ids can be among a
 query's ``k`` nearest, so no more are searched, and equal queries are searched
-once. Lists are cut into chunks and their queries into blocks, so that no task
-grows with the data.
+once. Lists are bundled, or cut into chunks where they are large, and their queries
+cut into blocks, so that no task grows with the data.
 
 Defined results: vectors that are null or zero, or hold a null or a component
 that is not finite, take no part, nor do rows without id or vectors whose
@@ -38,8 +38,9 @@ TARGET = 0.96
 LEAST = 50  # times the neighbours wanted: candidates that are probed at least, on average
 BLOCK = 16  # columns looked at between two tests
 EPSILON = 1.4  # of the test, two standard deviations; larger abandons later
-CHUNK = 4096
+CHUNK = 8192  # vectors that are searched together: several lists, or a part of a large one
 QUERY_BLOCK = 1024
+GROUPS = 24  # of vectors and queries, at least, if there are queries enough
 
 
 @dataclass(frozen=True)
@@ -112,7 +113,7 @@ def fit(vectors: DataFrame, k: int, seed: int = 5) -> Index | None:
 
 
 _CANDIDATE = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("data", pa.binary())])
-_PROBE = pa.schema([("list", pa.int32()), ("key", pa.int64()), ("bound", pa.float64()), ("data", pa.binary())])
+_PROBE = pa.schema([("bundle", pa.int32()), ("key", pa.int64()), ("bound", pa.float64()), ("lists", pa.binary()), ("data", pa.binary())])
 _FOUND = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -131,21 +132,38 @@ def _listed(index: Index):
     return run
 
 
-def _probing(index: Index, k: int):
+def _probing(index: Index, k: int, bundle_of: np.ndarray):
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 x = _matrix(part, index.centroids.shape[1])
-                lists = index.probed(x).astype(np.int32)
-                data = [v.tobytes() for v in x]
-                n = lists.shape[1]
-                columns = [lists.ravel(), np.repeat(part["key"].to_numpy(), n), np.repeat(index.bounds(x, k), n)]
-                data = pa.array([d for d in data for _ in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), data], schema=_PROBE)
+                rows = []
+                for key, vector, bound, lists in zip(part["key"].to_pylist(), x, index.bounds(x, k), index.probed(x).astype(np.int32), strict=True):
+                    bundles = bundle_of[lists]
+                    rows += [(b, key, bound, lists[bundles == b].tobytes(), vector.tobytes()) for b in np.unique(bundles).tolist() if b >= 0]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_PROBE)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PROBE, strict=True)], schema=_PROBE)
 
     return run
 
 
+def bundles_of(sizes: dict[int, int], index: Index) -> tuple[np.ndarray, dict[int, int]]:
+    """A bundle for each list (-1 for an empty one), and each bundle's number of vectors.
+
+    Lists along the main direction of the centroids share a bundle up to ``CHUNK`` vectors; a larger list has its own.
+    """
+    centred = index.centroids - index.centroids.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    bundle_of, total, bundle = np.full(len(along), -1), {}, -1
+    for i in np.argsort(along, kind="stable").tolist():
+        if n := sizes.get(i, 0):
+            if bundle < 0 or total[bundle] + n > CHUNK:
+                bundle += 1
+            bundle_of[i] = bundle
+            total[bundle] = total.get(bundle, 0) + n
+    return bundle_of, total
+
+
 def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int):
     """Per query, candidates that may be among its ``k`` nearest: (query row, id, score).
 
@@ -190,11 +208,15 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.n
     for at in range(0, len(rows), 65536):
         part = slice(at, at + 65536)
         score[part] = (queries[rows[part]] * vectors[columns[part]]).sum(1)
-    order = np.lexsort((ids[columns], -score, rows))
-    rows, columns, score = rows[order], columns[order], score[order]
-    first = np.searchsorted(rows, np.arange(len(queries)))
-    near = np.arange(len(rows)) - first[rows] < k
-    return rows[near], ids[columns[near]], score[near]
+    return _first(rows, ids[columns], score, len(queries), k)
+
+
+def _first(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int, k: int):
+    """The ``k`` best of each of ``n`` query rows, ties by id."""
+    order = np.lexsort((ids, -score, rows))
+    rows, ids, score = rows[order], ids[order], score[order]
+    near = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows] < k
+    return rows[near], ids[near], score[near]
 
 
 def _search(index: Index, k: int):
@@ -204,9 +226,19 @@ def _search(index: Index, k: int):
         if not (candidates.num_rows and probes.num_rows):
             return _FOUND.empty_table()
         x, q = (np.frombuffer(b"".join(t["data"].to_pylist()), np.float64).reshape(-1, dims) for t in (candidates, probes))
-        keys = np.asarray(probes["key"].combine_chunks())
-        rows, ids, score = scan(q, x, np.asarray(candidates["vec_id"].combine_chunks()), np.asarray(probes["bound"].combine_chunks()), index.rotation, k)
-        return pa.Table.from_arrays([pa.array(keys[rows]), pa.array(ids), pa.array(score)], schema=_FOUND)
+        lists, ids = (np.asarray(candidates[c].combine_chunks()) for c in ("list", "vec_id"))
+        keys, bounds = (np.asarray(probes[c].combine_chunks()) for c in ("key", "bound"))
+        asks = [set(np.frombuffer(b, np.int32).tolist()) for b in probes["lists"].to_pylist()]
+        found = []
+        for one in np.unique(lists).tolist():
+            of_list, asking = np.flatnonzero(lists == one), np.array([i for i, a in enumerate(asks) if one in a], np.int64)
+            if len(asking):
+                rows, near, score = scan(q[asking], x[of_list], ids[of_list], bounds[asking], index.rotation, k)
+                found.append((asking[rows], near, score))
+        if not found:
+            return _FOUND.empty_table()
+        rows, near, score = _first(*(np.concatenate(c) for c in zip(*found, strict=True)), len(q), k)
+        return pa.Table.from_arrays([pa.array(keys[rows]), pa.array(near), pa.array(score)], schema=_FOUND)
 
     return run
 
@@ -225,18 +257,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding")
     few = fine.withColumn("n", F.row_number().over(smallest)).where(f"n <= {k + 1}")
     listed = few.select("vec_id", "vec").mapInArrow(_listed(index), "list int, vec_id long, data binary")
     queries = fine.where(is_query).select("key", F.col("vec_id").alias("query_id"), "vec")
-    asked = queries.dropDuplicates(["key"]).select("key", "vec").mapInArrow(_probing(index, k + 1), "list int, key long, bound double, data binary")
-    # A list's chunks and blocks of queries; a row per list.
-    chunks = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    cuts = F.broadcast(spark.createDataFrame(chunks.join(blocks, "list").collect(), "list int, chunks int, blocks int"))
-    left = listed.join(cuts, "list").select(
-        "list", F.expr("cast(pmod(xxhash64(vec_id), chunks) as int)").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "vec_id", "data"
+    # Bundles of lists and their blocks of queries; a row per list at most reaches the driver.
+    sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
+    bundle_of, total = bundles_of(sizes, index)
+    asked = queries.dropDuplicates(["key"]).select("key", "vec").mapInArrow(
+        _probing(index, k + 1, bundle_of), "bundle int, key long, bound double, lists binary, data binary"
+    )
+    asking = {r["bundle"]: r["count"] for r in asked.groupBy("bundle").count().collect()}
+    least = -(-GROUPS // max(1, len(asking)))
+    cuts = [(b, -(-total[b] // CHUNK), max(-(-n // QUERY_BLOCK), min(-(-n // 16), least))) for b, n in asking.items()]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "bundle int, chunks int, blocks int"))
+    in_bundle = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(bundle_of) if b >= 0], "list int, bundle int"))
+    left = listed.join(in_bundle, "list").join(cuts, "bundle").select(
+        "bundle", F.expr("cast(pmod(xxhash64(vec_id), chunks) as int)").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "list", "vec_id", "data"
     )
-    right = asked.join(cuts, "list").select(
-        "list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("block"), "key", "bound", "data"
+    right = asked.join(cuts, "bundle").select(
+        "bundle", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("block"), "key", "bound", "lists", "data"
     )
-    by = ["list", "chunk", "block"]
+    by = ["bundle", "chunk", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(index, k + 1), "key long, vec_id long, score double")
     nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("n", F.row_number().over(nearest)).where(f"n <= {k + 1}").drop("n")
