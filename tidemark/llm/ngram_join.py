@@ -264,7 +264,8 @@ def _candidate_pass(like: Likeness, bands: np.ndarray, n_buckets: int):
             for of_band, least in own:
                 shared = of_band[again[np.searchsorted(found, of_band)]]
                 if len(shared) >= least:  # else there is no set in this band that it could link with
-                    kept_cells.append(shared)
+                    # Two sets that share so many cells share one of their smallest ones, but for the last least - 1.
+                    kept_cells.append(np.sort(shared)[: len(shared) - least + 1])
             if kept_cells:
                 rows.append((node, len(hashes), np.concatenate(kept_cells).view(np.int64), hashes.tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -404,7 +405,7 @@ def clusters(docs: DataFrame, like: Likeness | None = None) -> tuple[DataFrame,
     if not amount["cells"]:
         return named, spark.createDataFrame([], "node long, label long")
     points_of = _with_points(candidates)
-    n_bins = max(wide, amount["cells"] // BIN_CELLS + 1)
+    n_bins = amount["cells"] // BIN_CELLS + 1
     met = points_of.select(F.explode("cells").alias("cell"), "node", "size", "point")
     near = met.groupBy(F.pmod(F.xxhash64("cell"), F.lit(n_bins)).alias("bin")).applyInArrow(_cell_edges(like), "a long, b long")
     labels = components(near)
