@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import nearest
@@ -69,3 +70,53 @@ def test_scan_abandons_only_what_can_hardly_be_near():
     rows, ids, score = nearest.scan(q, x, np.arange(3000), true[:, 39], rotation, 20)
     hits = sum(len(set(ids[rows == r]) & set(np.argsort(-(q[r] @ x.T))[:20])) for r in range(20))
     assert hits > 0.97 * 400
+
+
+def test_groups_of_equal_vectors_keep_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    for group in range(10):
+        x[60 * group : 60 * group + 60] = x[60 * group]
+    ids = rng.permutation(900)
+    got, want = found(nearest.search(table(spark, ids, x), F.col("vec_id") % 20 == 0)), brute(ids, x, ids[ids % 20 == 0], 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    copies = [q for q in want if np.flatnonzero(ids == q)[0] < 600]
+    assert copies and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in copies)
+
+
+def test_one_vector_of_nearly_all_rows_leaves_nobody_short(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 16)).astype(np.float32).astype(float)
+    x[:1900] = x[0]
+    ids = rng.permutation(2000)
+    got = found(nearest.search(table(spark, ids, x), F.col("vec_id") % 10 == 0))
+    assert set(got) == {int(i) for i in ids if i % 10 == 0} and all(len(v) == 20 for v in got.values())
+
+
+def test_scan_keeps_copies_at_the_bound_itself():
+    rng = np.random.default_rng(6)
+    rotation = np.linalg.qr(rng.standard_normal((128, 128)))[0]
+    q = rng.standard_normal((30, 128))
+    q = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32).astype(float)
+    x = np.vstack([np.repeat(q, 21, axis=0), rng.standard_normal((2000, 128)) / np.sqrt(128)])
+    bounds = np.partition(q @ np.repeat(q, 60, axis=0).T, -42, axis=1)[:, -42]
+    rows, ids, _ = nearest.scan(q, x, np.arange(len(x)), bounds, rotation, 21)
+    assert all(ids[rows == i].tolist() == list(range(21 * i, 21 * i + 21)) for i in range(30))
+
+
+def test_bounds_come_from_different_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 16)).astype(np.float32).astype(float)
+    x[:300] = x[0]
+    rows = nearest.usable(table(spark, np.arange(600), x), "embedding")
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where("n <= 21")
+    index = nearest.fit(numbered, 20)
+    assert len(np.unique(index.seeds, axis=0)) == len(index.seeds) == 301
+    assert index.bounds(x[:1], 21)[0] < (x[0] ** 2).sum() - 1e-3
+
+
+def test_scan_all_abandons_nobody_and_breaks_ties_by_id():
+    x = np.array([[1.0, 0], [0, 1], [1, 0], [-1, 0]])
+    rows, ids, score = nearest.scan_all(np.array([[1.0, 0], [0, 2]]), x, np.array([9, 5, 3, 4]), 3)
+    assert list(zip(rows.tolist(), ids.tolist(), score.tolist(), strict=True)) == [(0, 3, 1), (0, 9, 1), (0, 5, 0), (1, 5, 2), (1, 3, 0), (1, 4, 0)]

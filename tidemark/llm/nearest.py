@@ -8,8 +8,11 @@ hardly reach the query's present bound, and these are abandoned. Survivors get
 the exact inner product of the original vectors in double precision.
 
 The number of lists probed is the smallest that finds ``TARGET`` of the
-neighbours within the sample, so data without clusters are probed widely. The
-bound starts from the sample's members in the probed lists.
+neighbours within the sample, so data without clusters are probed widely; a
+query probes further lists until these hold as many vectors as are wanted. The
+bound starts from the sample's members in the probed lists; the sample holds
+each vector once. A query for which fewer vectors come back than are wanted is
+searched again in its lists, exactly and without a bound.
 
 Of equal vectors only the ``k + 1`` with the smallest ids can be among a
 query's ``k`` nearest, so no more are searched, and equal queries are searched
@@ -31,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import written
+
 # Bounds of the sample that centroids, probes and first bounds are made from.
 SAMPLE_ROWS = 8192
 SEEDS = 4096
@@ -55,14 +60,14 @@ class Index:
         """Lists by rising distance of their centroids."""
         return np.argsort((self.centroids**2).sum(1) - 2 * vectors @ self.centroids.T, axis=1, kind="stable")
 
-    def probed(self, vectors: np.ndarray) -> np.ndarray:
-        """Lists by falling inner product with their centroids, as many as are probed."""
-        return np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """Lists by falling inner product with their centroids."""
+        return np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")
 
     def bounds(self, vectors: np.ndarray, k: int) -> np.ndarray:
-        """For each query a value that ``2 * k`` candidates in its probed lists reach, or minus infinity."""
+        """For each query a value that ``2 * k`` different vectors in its probed lists reach, or minus infinity."""
         open_ = np.zeros((len(vectors), len(self.centroids)), bool)
-        np.put_along_axis(open_, self.probed(vectors), True, axis=1)
+        np.put_along_axis(open_, self.order(vectors)[:, : self.probes], True, axis=1)
         score = np.where(open_[:, self.seed_list], vectors @ self.seeds.T, -np.inf)
         if score.shape[1] < 2 * k:
             return np.full(len(vectors), -np.inf)
@@ -83,11 +88,15 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
 
 
 def fit(vectors: DataFrame, k: int, seed: int = 5) -> Index | None:
-    """An index from the ``SAMPLE_ROWS`` vectors with the smallest hashes of their ids; None without vectors."""
+    """An index from the ``SAMPLE_ROWS`` vectors with the smallest hashes, of rows numbered by ``n`` among equal vectors.
+
+    None without vectors. Equal vectors count once in the sample: copies would be centroids of empty lists, and bounds
+    that nothing but the copies reaches.
+    """
     total = vectors.count()
     if not total:
         return None
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec").collect()
+    sample = vectors.where("n = 1").orderBy("key", "vec_id").limit(SAMPLE_ROWS).select("vec").collect()
     x = np.array([r["vec"] for r in sample])
     rng = np.random.default_rng(seed)
     n_lists = int(min(max(1, np.sqrt(total) / 2), 1024, max(1, len(x) // 8)))
@@ -132,13 +141,17 @@ def _listed(index: Index):
     return run
 
 
-def _probing(index: Index, k: int, bundle_of: np.ndarray):
+def _probing(index: Index, k: int, bundle_of: np.ndarray, sizes: np.ndarray):
+    """The probed lists of each query, at least so many that they hold ``k`` vectors if there are as many."""
+
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 x = _matrix(part, index.centroids.shape[1])
-                rows = []
-                for key, vector, bound, lists in zip(part["key"].to_pylist(), x, index.bounds(x, k), index.probed(x).astype(np.int32), strict=True):
+                rows, order = [], index.order(x).astype(np.int32)
+                probes = np.maximum(index.probes, (sizes[order].cumsum(1) < k).sum(1) + 1)
+                for key, vector, bound, lists, n in zip(part["key"].to_pylist(), x, index.bounds(x, k), order, probes.tolist(), strict=True):
+                    lists = lists[:n]
                     bundles = bundle_of[lists]
                     rows += [(b, key, bound, lists[bundles == b].tobytes(), vector.tobytes()) for b in np.unique(bundles).tolist() if b >= 0]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_PROBE)
@@ -175,6 +188,8 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.n
     q, x = queries @ rotation, vectors @ rotation
     q_all, x_all = (q**2).sum(1) - 2 * np.maximum(bounds, -1e30), (x**2).sum(1)
     rows = columns = product = None
+    # Sums in single precision may differ by so much; candidates at the limit itself must not be lost by it.
+    slack = 1e-4 * (1 + np.sqrt(np.abs(x_all).max(initial=0)) * np.sqrt((q**2).sum(1)))
     dense = np.zeros((len(q), len(x)), np.float32)
     q32, x32 = q.astype(np.float32), x.astype(np.float32)
     for start in range(0, dims, BLOCK):
@@ -187,7 +202,7 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.n
             break
         chance = (1 + EPSILON * np.sqrt((1 - end / dims) / end)) ** 2 * end / dims
         a = (((x[:, :end] ** 2).sum(1) - chance * x_all) / 2).astype(np.float32)
-        b = (((q[:, :end] ** 2).sum(1) - chance * q_all) / 2).astype(np.float32)
+        b = (((q[:, :end] ** 2).sum(1) - chance * q_all) / 2 - slack).astype(np.float32)
         if rows is None:
             alive = dense >= b[:, None] + a[None]
             if np.count_nonzero(alive) < 0.15 * alive.size:  # from here on pair by pair
@@ -197,7 +212,6 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.n
             alive = product >= b[rows] + a[columns]
             rows, columns, product = rows[alive], columns[alive], product[alive]
     # What is left must come near the bound in single precision before it is computed in double precision.
-    slack = 1e-4 * (1 + np.sqrt(np.abs(x_all).max(initial=0)) * np.sqrt((q**2).sum(1)))
     least = (bounds - slack).astype(np.float32)
     if rows is None:
         rows, columns = np.nonzero(dense >= least[:, None])
@@ -211,6 +225,16 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, bounds: np.n
     return _first(rows, ids[columns], score, len(queries), k)
 
 
+def scan_all(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
+    """Per query, its ``k`` nearest of all candidates, none abandoned: (query row, id, score)."""
+    found = []
+    for row, query in enumerate(queries):
+        score = (query * vectors).sum(1)
+        best = np.lexsort((ids, -score))[:k]
+        found.append((np.full(len(best), row), ids[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _first(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int, k: int):
     """The ``k`` best of each of ``n`` query rows, ties by id."""
     order = np.lexsort((ids, -score, rows))
@@ -232,9 +256,13 @@ def _search(index: Index, k: int):
         found = []
         for one in np.unique(lists).tolist():
             of_list, asking = np.flatnonzero(lists == one), np.array([i for i, a in enumerate(asks) if one in a], np.int64)
-            if len(asking):
-                rows, near, score = scan(q[asking], x[of_list], ids[of_list], bounds[asking], index.rotation, k)
-                found.append((asking[rows], near, score))
+            free = np.isneginf(bounds[asking])
+            if len(bound := asking[~free]):
+                rows, near, score = scan(q[bound], x[of_list], ids[of_list], bounds[bound], index.rotation, k)
+                found.append((bound[rows], near, score))
+            if len(free := asking[free]):
+                rows, near, score = scan_all(q[free], x[of_list], ids[of_list], k)
+                found.append((free[rows], near, score))
         if not found:
             return _FOUND.empty_table()
         rows, near, score = _first(*(np.concatenate(c) for c in zip(*found, strict=True)), len(q), k)
@@ -250,18 +278,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding")
     """
     spark = vectors.sparkSession
     fine = usable(vectors, vector)
-    index = fit(fine, k)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     smallest = Window.partitionBy("key").orderBy("vec_id")
     few = fine.withColumn("n", F.row_number().over(smallest)).where(f"n <= {k + 1}")
+    index = fit(few, k)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = few.select("vec_id", "vec").mapInArrow(_listed(index), "list int, vec_id long, data binary")
     queries = fine.where(is_query).select("key", F.col("vec_id").alias("query_id"), "vec")
     # Bundles of lists and their blocks of queries; a row per list at most reaches the driver.
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     bundle_of, total = bundles_of(sizes, index)
+    held = np.array([sizes.get(i, 0) for i in range(len(bundle_of))])
     asked = queries.dropDuplicates(["key"]).select("key", "vec").mapInArrow(
-        _probing(index, k + 1, bundle_of), "bundle int, key long, bound double, lists binary, data binary"
+        _probing(index, k + 1, bundle_of, held), "bundle int, key long, bound double, lists binary, data binary"
     )
     asking = {r["bundle"]: r["count"] for r in asked.groupBy("bundle").count().collect()}
     least = -(-GROUPS // max(1, len(asking)))
@@ -271,13 +300,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding")
     left = listed.join(in_bundle, "list").join(cuts, "bundle").select(
         "bundle", F.expr("cast(pmod(xxhash64(vec_id), chunks) as int)").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "list", "vec_id", "data"
     )
-    right = asked.join(cuts, "bundle").select(
-        "bundle", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("block"), "key", "bound", "lists", "data"
-    )
     by = ["bundle", "chunk", "block"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(index, k + 1), "key long, vec_id long, score double")
     nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(nearest)).where(f"n <= {k + 1}").drop("n")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        right = asked.join(cuts, "bundle").select(
+            "bundle", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("block"), "key", "bound", "lists", "data"
+        )
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(index, k + 1), "key long, vec_id long, score double")
+        return found.withColumn("n", F.row_number().over(nearest)).where(f"n <= {k + 1}").drop("n")
+
+    found = written(searched(asked), "nearest")
+    # Queries for which less came back than their lists hold are searched again without a bound.
+    wanted = min(k + 1, int(held.sum()))
+    enough = found.groupBy("key").count().where(f"count >= {wanted}").select("key")
+    short = written(queries.select("key").distinct().join(enough, "key", "left_anti"), "short")
+    if short.head(1):
+        again = searched(asked.join(short, "key", "left_semi").withColumn("bound", F.lit(float("-inf"))))
+        found = found.join(short, "key", "left_anti").unionByName(again)
     others = queries.select("key", "query_id").join(found, "key").where("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return others.withColumn("rank", F.row_number().over(ranked)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
