@@ -81,3 +81,27 @@ def test_search_empties_bins_that_best_fit_leaves():
 
 def test_empty_table(spark):
     assert packing.pack_documents(edge_cases.empty(spark), PATH).collect() == []
+
+
+def test_search_goes_on_while_bins_give_way():
+    rng = random.Random(1)
+    lengths = [rng.randint(400, 900) for _ in range(5000)]
+    fit = packing.best_fit(lengths, 2048)
+    bins = packing.local_search([list(b) for b in fit], lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(5000)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+    assert len(fit) == 1697 and len(bins) < 1640
+
+
+def test_search_ends_without_an_exchange_left():
+    rng = random.Random(3)
+    for _ in range(60):
+        lengths = [rng.randint(20, 45) for _ in range(rng.randint(5, 40))]
+        bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        if len(bins) == packing.least_bins(lengths, 100):
+            continue
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        parts = [set(packing._parts(b, lengths)) for b in bins]
+        for a in range(len(bins)):
+            for b in range(len(bins)):
+                if a != b and fill[a] <= fill[b] < 100:
+                    assert not any(0 < out - back <= 100 - fill[b] for out in parts[a] for back in parts[b])

@@ -3,12 +3,12 @@
 Documents are tokenized (word BPE, then id 0), and only those longer than a
 bin are cut. Pieces are dealt at random into blocks of bounded size, and each
 block is packed by itself: best fit on falling lengths, then a local search
-that empties bins. The search takes the least full bin and moves its tokens
-into fuller bins that are not full, by moving a piece, exchanging one piece
-for a shorter one, two for one, or one for two; each step raises the sum of
-squared fills. It ends at the least possible number of bins, or when no bin
-can be emptied any further. A block costs at most a part of a bin more than
-packing all at once.
+that empties bins. The search goes through the bins by rising fill and moves
+tokens into bins that are at least as full, by giving one or two pieces for
+none, one or two shorter ones; each step raises the sum of squared fills. The
+roomiest bin for each length that may come back is kept at hand, so no bins
+are scanned. It ends at the least possible number of bins, or when no bin has
+such an exchange left.
 
 Defined results: a null text counts as empty; an empty text is id 0 alone.
 Repeated rows are packed as often as they occur.
@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,6 @@ from tidemark.llm.components import written
 
 CAPACITY = 2048
 BLOCK_PIECES = 50_000
-TRIES = 400  # bins looked at for one exchange
-PATIENCE = 200  # bins tried in vain, one after another
-EFFORT = 300_000  # pairs of bins looked at in a block, after which the search ends with what it has
 CACHED_WORDS = 250_000  # per worker
 
 # The pre-tokenizer's pattern, and its byte-to-character table by rule: fixed by the vocabulary.
@@ -137,25 +135,58 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], room: int, length: list[int]):
-    """The exchange between a bin that gives and one that takes which moves most tokens: (tokens, out, back)."""
-    best = (0, (), ())
-    for i, a in enumerate(give):
-        n = length[a]
-        if best[0] < n <= room:
-            best = (n, (a,), ())
-        for j, b in enumerate(take):
-            if best[0] < n - length[b] <= room:
-                best = (n - length[b], (a,), (b,))
-            for c in take[j + 1 :]:  # one for two
-                if best[0] < n - length[b] - length[c] <= room:
-                    best = (n - length[b] - length[c], (a,), (b, c))
-        for other in give[i + 1 :]:  # two for one
-            both = n + length[other]
-            for b in take:
-                if best[0] < both - length[b] <= room:
-                    best = (both - length[b], (a, other), (b,))
-    return best
+def _parts(items: list[int], length: list[int]) -> dict[int, tuple[int, ...]]:
+    """For each number of tokens that none, one or two of the items have together, such items; the fewest possible."""
+    by: dict[int, list[int]] = {}
+    for i in items:
+        by.setdefault(length[i], []).append(i)
+    parts, sizes = {}, sorted(by)
+    for at, a in enumerate(sizes):
+        for b in sizes[at:]:
+            if a != b or len(by[a]) > 1:
+                parts[a + b] = (by[a][0], by[b][-1])
+    return parts | {a: (by[a][0],) for a in sizes} | {0: ()}
+
+
+class _Rooms:
+    """The roomiest bin among those that could give back ``v`` tokens, for each ``v``."""
+
+    def __init__(self, capacity: int):
+        self.most = np.full(capacity + 1, -1)
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.held: dict[int, tuple[int, int]] = {}  # room and turn of a bin that is in
+        self.turn, self.sizes = 0, np.arange(capacity + 1)
+        self.reach: np.ndarray | None = None
+
+    def add(self, k: int, room: int, parts: dict[int, tuple[int, ...]]) -> None:
+        self.turn += 1
+        self.held[k] = (room, self.turn)
+        for v in parts:
+            heappush(self.heaps[v], (-room, k, self.turn))
+            if room > self.most[v]:
+                self.most[v], self.reach = room, None
+
+    def drop(self, k: int, parts: dict[int, tuple[int, ...]]) -> None:
+        room = self.held.pop(k)[0]
+        for v in parts:
+            if room == self.most[v]:
+                heap = self.heaps[v]
+                while heap and self.held.get(heap[0][1], (0, 0))[1] != heap[0][2]:
+                    heappop(heap)
+                if (now := -heap[0][0] if heap else -1) != room:
+                    self.most[v], self.reach = now, None
+
+    def best(self, sizes: np.ndarray) -> tuple[int, int, int]:
+        """The exchange that moves most tokens, by tokens given out of ``sizes``, tokens back and bin (-1 for none)."""
+        if self.reach is None:  # the least v such that a bin takes n for it
+            self.reach = np.searchsorted(np.maximum.accumulate(np.where(self.most < 0, 0, self.sizes + self.most)), self.sizes)
+        possible = sizes[sizes < len(self.reach)]
+        gain = possible - self.reach[possible]
+        at = int(gain.argmax()) if len(gain) else -1
+        if at < 0 or gain[at] <= 0:
+            return 0, 0, -1
+        back = int(self.reach[possible[at]])
+        return int(possible[at]), back, self.heaps[back][0][1]
 
 
 def least_bins(length: list[int], capacity: int) -> int:
@@ -164,43 +195,46 @@ def least_bins(length: list[int], capacity: int) -> int:
 
 
 def local_search(bins: list[list[int]], length: list[int], capacity: int) -> list[list[int]]:
-    """Empty bins by moves and exchanges into fuller ones, until the fewest possible are left or none gives way.
+    """Empty bins by exchanges with bins at least as full, until the fewest possible are left or no exchange is.
 
-    A bin that can't be emptied is tried again once others have changed; each step raises the sum of squared fills, and
-    the search ends when ``PATIENCE`` bins in a row have not given way.
+    Of equally full bins either gives in turn, by the order of the sweep; the search ends after two sweeps in vain.
     """
-    least = least_bins(length, capacity)
+    least, alive, quiet, order = least_bins(length, capacity), len(bins), 0, 1
+    if alive <= least:
+        return bins
     fill = [sum(length[i] for i in b) for b in bins]
-    stuck: set[int] = set()
-    alive, looks = len(bins), 0
-    while alive > least and len(stuck) < PATIENCE and looks < EFFORT:
-        donor = min((k for k, f in enumerate(fill) if 0 < f < capacity and k not in stuck), key=lambda k: (fill[k], k), default=-1)
-        if donor < 0:
-            break
-        takers = sorted((k for k, f in enumerate(fill) if fill[donor] <= f < capacity and k != donor), key=lambda k: (fill[k], k))
-        moved, changed = True, False
-        while fill[donor] and moved and looks < EFFORT:
-            moved = False
-            for k in takers[:TRIES]:
-                room = capacity - fill[k]
-                if not room:
-                    continue
-                looks += 1
-                tokens, out, back = _exchange(bins[donor], bins[k], room, length)
-                if tokens and fill[k] + tokens > fill[donor] - tokens:
-                    bins[donor] = [i for i in bins[donor] if i not in out] + list(back)
-                    bins[k] = [i for i in bins[k] if i not in back] + list(out)
-                    fill[donor] -= tokens
+    parts = [_parts(b, length) for b in bins]
+    while alive > least and quiet < 2:
+        rooms, order, quiet = _Rooms(capacity), -order, quiet + 1
+        for k, f in enumerate(fill):
+            if 0 < f < capacity:
+                rooms.add(k, capacity - f, parts[k])
+        donors = [(fill[k], order * k) for k in rooms.held]
+        heapify(donors)
+        while donors:
+            f, donor = heappop(donors)
+            donor *= order
+            if donor not in rooms.held or f != fill[donor]:  # it has taken tokens meanwhile
+                continue
+            rooms.drop(donor, parts[donor])
+            while fill[donor]:
+                given, got, taker = rooms.best(np.array([n for n in parts[donor] if n]))
+                if taker < 0:
+                    break
+                out, back = parts[donor][given], parts[taker][got]
+                rooms.drop(taker, parts[taker])
+                for k, gone, new, tokens in ((donor, out, back, got - given), (taker, back, out, given - got)):
+                    bins[k] = [i for i in bins[k] if i not in gone] + list(new)
                     fill[k] += tokens
-                    moved = changed = True
-                    if not fill[donor]:
-                        break
-        if changed:
-            stuck.clear()
-        if fill[donor]:
-            stuck.add(donor)
-        else:
-            alive -= 1
+                    parts[k] = _parts(bins[k], length)
+                if fill[taker] < capacity:
+                    rooms.add(taker, capacity - fill[taker], parts[taker])
+                    heappush(donors, (fill[taker], order * taker))
+                quiet = 0
+            if not fill[donor]:
+                alive -= 1
+                if alive <= least:
+                    break
     return [b for b in bins if b]
 
 
