@@ -45,8 +45,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids, by a row per piece of a document."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token sequences of at most 2048 ids, by a row per sequence: its ids, and the pieces of documents they come from."""
+    return packing.sequences(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:

@@ -105,3 +105,20 @@ def test_search_ends_without_an_exchange_left():
             for b in range(len(bins)):
                 if a != b and fill[a] <= fill[b] < 100:
                     assert not any(0 < out - back <= 100 - fill[b] for out in parts[a] for back in parts[b])
+
+
+def test_ids_of_sequences_are_those_of_the_documents(spark, tokenizer):
+    docs = edge_cases.documents(spark)
+    got = packing.sequences(packing.pack_documents(docs, PATH, 64)).collect()
+    found, sizes = [], []
+    for r in got:
+        assert 0 < len(r["ids"]) <= 64 and [p["offset"] for p in r["pieces"]] == list(np.cumsum([0, *(p["length"] for p in r["pieces"])])[:-1])
+        assert sum(p["length"] for p in r["pieces"]) == len(r["ids"])
+        found += [(p["doc_id"], p["piece"], p["start"], tuple(r["ids"][p["offset"] : p["offset"] + p["length"]])) for p in r["pieces"]]
+        sizes.append(r["sequence_id"])
+    want = []
+    for r in edge_cases.rows():
+        ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want += [(r[0], n, at, tuple(ids[at : at + 64])) for n, at in enumerate(range(0, len(ids), 64))]
+    assert sorted(found, key=repr) == sorted(want, key=repr) and len(set(sizes)) == len(sizes)
+    assert packing.sequences(packing.pack_documents(edge_cases.empty(spark), PATH)).collect() == []

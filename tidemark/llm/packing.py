@@ -10,6 +10,9 @@ roomiest bin for each length that may come back is kept at hand, so no bins
 are scanned. It ends at the least possible number of bins, or when no bin has
 such an exchange left.
 
+Ids stay with their pieces; ``sequences`` gives what a model is trained on, the
+ids of whole bins.
+
 Defined results: a null text counts as empty; an empty text is id 0 alone.
 Repeated rows are packed as often as they occur.
 """
@@ -18,7 +21,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -28,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from tidemark.llm.arrow import map_texts
@@ -90,21 +93,24 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-_PIECE = "piece int, start long, length long, ids_crc32 long, salt int"
+_PIECE = "piece int, start long, length long, ids binary, salt int"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``salt`` (any number) of each piece of each text."""
+    """``doc_id``, ``piece``, ``start``, ``length``, ``ids`` and ``salt`` (any number) of each piece of each text.
+
+    ``ids`` are little-endian unsigned 32-bit numbers.
+    """
     last = array("I", [end]).tobytes()
 
     def work(ids, texts):
         encode = word_ids(tokenizer).text
-        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "salt")}
+        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "salt")}
         for doc_id, text in zip(ids, texts, strict=True):
             data = encode(text or "") + last
             for n, at in enumerate(range(0, len(data), 4 * capacity)):
                 cut = data[at : at + 4 * capacity]
-                row = (doc_id, n, at // 4, len(cut) // 4, zlib.crc32(cut), len(out["salt"]))
+                row = (doc_id, n, at // 4, len(cut) // 4, cut, len(out["salt"]))
                 for column, value in zip(out.values(), row, strict=True):
                     column.append(value)
         return out
@@ -270,5 +276,30 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack: a row per piece."""
-    return pack(written(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    """Tokenize, cut and pack: a row per piece, with its ``ids`` and their CRC.
+
+    Pieces are numbered as they are written, packed by their lengths alone, and joined to their ids by that number.
+    """
+    made = written(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(made.drop("ids"), capacity)
+    return packed.join(made.select("row", "ids"), "row").drop("row").withColumn("ids_crc32", F.crc32("ids"))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """``sequence_id``, the token ``ids`` of the whole sequence, and its ``pieces`` (without their ids) in order.
+
+    ``packed`` has a row per piece, as ``pack_documents`` gives it.
+    """
+    of_piece = ["offset", "doc_id", "piece", "start", "length"]
+    kinds = ", ".join(f"`{c}`: {packed.schema[c].dataType.simpleString()}" for c in of_piece)
+    fields = to_arrow_schema(packed.sparkSession.createDataFrame([], f"sequence_id long, ids array<int>, pieces array<struct<{kinds}>>").schema)
+    gathered = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct(*of_piece, "ids"))).alias("parts"))
+    gathered = gathered.select("sequence_id", "parts.ids", F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in of_piece])).alias("pieces"))
+
+    def join(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                ids = [np.frombuffer(b"".join(cuts), "<i4") for cuts in part["ids"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["sequence_id"], pa.array(ids, fields.field("ids").type), part["pieces"].cast(fields.field("pieces").type)], schema=fields)
+
+    return gathered.mapInArrow(join, f"sequence_id long, ids array<int>, pieces array<struct<{kinds}>>")
