@@ -131,3 +131,24 @@ def test_boosted_trees_learn_and_thresholds_hold():
     cut = threshold_for(p, y[400:], 0.99)
     assert y[400:][p >= cut].mean() >= 0.99
     assert threshold_for(p, np.zeros(200), 0.5) == 2.0 and threshold_for(np.empty(0), np.empty(0), 0.9) == 2.0
+
+
+def test_planted_short_ipv6_and_emails_in_words_are_found():
+    model = pii.fit()
+    planted = ["2001:db8::1", "fe80::1", "jane.doe at example dot com", "bob42 at mail dot example dot org", "jane.doe@example dot com"]
+    for span in planted:
+        lead = "the server" if ":" in span else "contact"
+        text = f"see {lead} {span} and more"
+        (base, added), = pii.all_spans([text], model)
+        assert [text[s:e] for _, s, e in added] == [span]
+        assert span not in pii.redact_text(text, base + added)
+    text = "look at the dot on the page, std::add and face::dead, 12::30"
+    assert pii.all_spans([text], model) == [([], [])]
+
+
+def test_candidates_may_reach_beyond_a_base_span():
+    text = "contact jane@mail.example dot com now"
+    base = [("email", *s) for s in pii.base_spans(text)["email"]]
+    assert [text[s:e] for _, s, e in base] == ["jane@mail.example"]
+    assert [text[s:e] for _, s, e in pii.candidates(text, [b[1:] for b in base])] == ["jane@mail.example dot com"]
+    assert pii.candidates("4111 1111 1111 1111", [(0, 19)]) == []

@@ -2,12 +2,12 @@
 
 Base spans (emails, addresses, cards, phones) are found by fixed patterns and
 always stay. High-recall generators then propose further, overlapping spans
-(obfuscated emails, phones without a plus sign, cards with other separators,
+(obfuscated emails, IPv6 addresses, phones without a plus sign, cards with other separators,
 addresses of the longer kind). Boosted trees score each candidate by its
 format and the words around it; a candidate is taken if its score reaches the
 threshold of its kind, calibrated on held-out examples for a wanted precision.
-Where taken candidates overlap, the likelier one stays; none that overlaps a
-base span is taken.
+Where taken candidates overlap, the likelier one stays; one that reaches beyond
+a base span may be taken beside it, one within a base span is not.
 
 The trees are trained on examples made from written-down formats with a fixed
 seed, so the result for a text depends on the text alone.
@@ -45,10 +45,15 @@ _DIGIT = re.compile(r"[0-9]")
 _GENERATORS = {
     "email": re.compile(
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\}|@\x20|\x20@)\x20?[A-Za-z0-9-]{1,63}"
-        r"(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]{1,63}){1,5}",
+        r"(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]{1,63}){1,5}"
+        r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20at\x20|\x20?(?:@|\[at\]|\(at\)|\{at\})\x20?)[A-Za-z0-9-]{1,63}"
+        r"(?:\.[A-Za-z0-9-]{1,63}){0,4}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,5}",  # words alone, if a dot is among them
         re.A | re.I,
     ),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])"),
+    "ip": re.compile(
+        r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])"
+        r"|(?<![\w:.])(?=[0-9A-Fa-f:]*::)[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?![\w:])"
+    ),
     "card": re.compile(r"(?<![0-9])[0-9]{4,6}(?:[\x20._/-]{1,3}[0-9]{2,6}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
 }
@@ -58,6 +63,7 @@ _CUES = {
     "card": re.compile(r"card|visa|master|amex|credit|debit|payment|paid", re.A | re.I),
     "phone": re.compile(r"phone|\btel\b|call|fax|mobile|cell|contact|whatsapp", re.A | re.I),
 }
+_TLD = re.compile(r"\b(?:com|org|net|edu|gov|info|io|co|de|fr|uk|us|eu|nl|ch|it|es|pl|br|in|au|ca|jp|ru)$", re.A | re.I)
 _AGAINST = re.compile(r"version|\bv\b|isbn|date|serial|order|invoice|page|ratio|score|room|part\b|no\.|sku|mac\b|hash", re.A | re.I)
 CONTEXT = 40
 
@@ -108,18 +114,18 @@ def _small(part: str) -> bool:
 
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Further spans that the generators propose, but for those that overlap a base span."""
+    """Further spans that the generators propose, but for those that lie within a base span."""
     has_digit = _DIGIT.search(text) is not None
     out = []
     for kind, pattern in _GENERATORS.items():
         if kind == "email":
             low = text.lower()
-            if not ("[at]" in low or "(at)" in low or "{at}" in low or "@ " in text or " @" in text):
+            if not ("[at]" in low or "(at)" in low or "{at}" in low or "@ " in text or " @" in text or " dot " in low and (" at " in low or "@" in low)):
                 continue
-        elif kind == "ip" and text.count(":") < 3 or not has_digit:
+        elif text.count(":") < 3 and "::" not in text if kind == "ip" else not has_digit:
             continue
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return [c for c in out if not any(c[1] < end and start < c[2] for start, end in taken)]
+    return [c for c in out if not any(start <= c[1] and c[2] <= end for start, end in taken)]
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -152,19 +158,22 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(near in "$#%/"),
         float(after[:1] in "%:/-" and after[:1] != ""),
         float(len(set(digits))),
+        float("::" in span),
+        float(" at " in span.lower()),
+        float(bool(_TLD.search(span))),
     ]
 
 
 # Formats of training examples: 9 stands for a digit, h for a hexadecimal digit, w for a word.
 _POSITIVE = {
-    "email": ["w.99 [at] w.com", "w(at)w.org", "w [at] w [dot] net", "w.w {at} w {dot} com", "w99 @ w.com", "w@ w.org"],
-    "ip": ["hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh", "hhhh:hhhh::hhhh:hhhh", "hhhh:hhh:hhhh:hh::hhhh"],
+    "email": ["w.99 [at] w.com", "w(at)w.org", "w [at] w [dot] net", "w.w {at} w {dot} com", "w99 @ w.com", "w@ w.org", "w.w at w dot com", "w99 at w dot org", "w at w dot w dot net", "w.w@w dot com"],
+    "ip": ["hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh", "hhhh:hhhh::hhhh:hhhh", "hhhh:hhh:hhhh:hh::hhhh", "h999:hh9::h", "hh99::9", "h99h:hhhh:hh::hhhh"],
     "card": ["9999.9999.9999.9999", "9999 - 9999 - 9999 - 9999", "9999/9999/9999/9999", "9999_9999_9999_9999", "9999.999999.99999"],
     "phone": ["(999) 999-9999", "999-999-9999", "999.999.9999", "0999 999 9999", "0099 999 999 9999", "09999/999 999"],
 }
 _NEGATIVE = {
-    "email": ["w @ w.9", "w (at) w.w", "99 @ 9.99", "w @ 99.99"],
-    "ip": ["99:99:99:99", "9:9:9:9", "99:99:99:99:99", "hh:hh:hh:hh:hh:hh"],
+    "email": ["w @ w.9", "w (at) w.w", "99 @ 9.99", "w @ 99.99", "w at w dot w", "w at the dot w"],
+    "ip": ["99:99:99:99", "9:9:9:9", "99:99:99:99:99", "hh:hh:hh:hh:hh:hh", "99::99", "9::9", "add::bad", "face::dead::be"],
     "card": ["9999-99-99", "9999.99.99", "9999-9999-99", "9999 99 99 99", "99999-9999-9999", "9999/99/99 99"],
     "phone": ["999-9999-9999", "99.999.999", "99 999 999", "999 999 999", "99-999-9999", "99/999.999"],
 }
