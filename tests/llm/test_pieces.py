@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -68,3 +69,14 @@ def test_tables(spark, model):
     back = piece_codec.decode(piece_codec.encode(docs, PATH, ["doc_id"]), PATH, ["doc_id"]).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in back) == sorted((r[0] or -1, r[1] or "") for r in rows)
     assert piece_codec.encode(edge_cases.empty(spark), PATH, ["doc_id"]).collect() == []
+
+
+def test_long_runs_of_spaces(model):
+    """Runs are merged in about linear time; the library is asked on what it can do in reasonable time."""
+    own = piece_codec.codec(PATH)
+    for text in (" " * 5001, "a" + " " * 3000 + "b", ("  " * 700 + "x") * 3):
+        assert own.encode(text).tolist() == model.encode(text)
+    start = time.perf_counter()
+    ids = own.encode("x" + " " * 1_000_000 + "y").tolist()
+    assert time.perf_counter() - start < 60
+    assert own.decode(ids) == "x" + " " * 1_000_000 + "y"

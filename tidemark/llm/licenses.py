@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.arrow import map_texts
+from tidemark.llm.columns import carry, types_of
 
 PERCENT = 80
 
@@ -128,10 +129,13 @@ class Matcher:
 
 
 def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
-    """``keep`` columns and, for every whole ``text``, ``license``, ``dice`` and ``line`` of the best match, the names of
+    """``keep`` columns (clashes: see ``columns``) and, for every whole ``text``, ``license``, ``dice`` and ``line`` of the best match, the names of
     all templates matched (``licenses``, sorted) and the number of matching units and templates (``n_matches``)."""
     matcher = Matcher(templates or TEMPLATES, percent)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    own = ["license", "dice", "line", "licenses", "n_matches"]
+    kept, inner, back = carry(keep, own)
+    moved = docs.select(*kept, F.col("text").alias("text_to_scan"))
+    types = ", ".join([types_of(moved.select(*inner))] * bool(inner) + ["license string, dice double, line int, licenses array<string>, n_matches long"])
 
     def work(*columns):
         out = {"license": [], "dice": [], "line": [], "licenses": [], "n_matches": []}
@@ -140,6 +144,6 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = No
             row = (name, dice, line, sorted({m[2] for m in found}), len(found))
             for column, value in zip(out.values(), row, strict=True):
                 column.append(value)
-        return dict(zip(keep, columns, strict=False)) | out
+        return dict(zip(inner, columns, strict=False)) | out
 
-    return map_texts(docs.select(*keep, F.col("text").alias("text_to_scan")), f"{types}, license string, dice double, line int, licenses array<string>, n_matches long", work)
+    return back(map_texts(moved, types, work))

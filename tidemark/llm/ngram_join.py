@@ -467,8 +467,28 @@ def keep_first(docs: DataFrame, like: Likeness | None = None) -> DataFrame:
     those without words; rows without id stay unless they are linked with a document that has one. Of repeated rows
     (same id and text) one stays. All columns stay as they are.
     """
+    if docs.where("doc_id is null").head(1):
+        return _keep_first_unnamed(docs, like)
     found = join(docs, like)
-    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    repeated = found.groupBy("doc_id").count().where("count > 1").head(1)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def _keep_first_unnamed(docs: DataFrame, like: Likeness | None) -> DataFrame:
+    """``keep_first`` where rows without id occur: these are numbered behind all ids, and the table is written with the
+    numbers. Ids and the number of rows must stay below 2**62."""
+    name = "number"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    number = F.col("doc_id").cast("long")
+    last = docs.agg(F.max(number)).first()[0]
+    last = -1 if last is None else last
+    after = F.lit(last + 1).cast("long") + F.monotonically_increasing_id()
+    numbered = written(docs.withColumn(name, F.coalesce(number, after)), "numbered")
+    found = join(numbered.select(F.col(name).alias("doc_id"), "text"), like)
+    kept = found.where((F.col("doc_id") == F.col("component_id")) | (F.least("doc_id", "component_id") > last))
+    kept = kept.select(F.col("doc_id").alias(name)).distinct()
+    one = numbered.join(kept, name, "left_semi").withColumn(name, F.when(F.col("doc_id").isNull(), F.col(name)))
+    return one.dropDuplicates(["doc_id", "text", name]).select(*docs.columns)

@@ -34,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from tidemark.llm.arrow import map_texts
+from tidemark.llm.columns import carry
 from tidemark.llm.components import written
 
 CAPACITY = 2048
@@ -256,23 +257,28 @@ def pack_block(length: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` (1 to ``capacity``) and a ``salt``; any other columns stay.
+    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` (1 to ``capacity``) and a ``salt``; any other columns stay
+    (clashes: see ``columns``).
 
     ``items`` should be a written table: blocks are dealt by its columns, and a lost task reads it again.
     """
     n_blocks = max(1, -(-items.count() // block_pieces))
-    others = [c for c in items.columns if c != "salt"]
-    simple = [c for c in others if items.schema[c].dataType.typeName() in ("long", "integer", "string")]
+    others = [c for c in items.columns if c not in ("length", "salt")]
+    kept, inner, back = carry(others, ["length", "sequence_id", "offset"])
+    inner_of = dict(zip(others, inner, strict=True)) | {"length": "length"}
+    simple = [inner_of[c] for c in items.columns if c != "salt" and items.schema[c].dataType.typeName() in ("long", "integer", "string")]
+    items = items.select(*kept, "length", "salt")
     block = F.pmod(F.xxhash64(*simple, "salt"), F.lit(n_blocks)).alias("block_of_pieces")
-    types = items.select(*others, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    inner = [*inner, "length"]
+    types = items.select(*inner, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def run(table: pa.Table) -> pa.Table:
         number = table["block_of_pieces"][0].as_py()
-        table = table.select(others).sort_by([(c, "ascending") for c in simple])
+        table = table.select(inner).sort_by([(c, "ascending") for c in simple])
         which, offset = pack_block(table["length"].to_pylist(), capacity)
         return table.append_column("sequence_id", pa.array(which + (number << 32))).append_column("offset", pa.array(offset))
 
-    return items.select(*others, block).groupBy("block_of_pieces").applyInArrow(run, types)
+    return back(items.select(*inner, block).groupBy("block_of_pieces").applyInArrow(run, types))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

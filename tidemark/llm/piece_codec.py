@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts
+from tidemark.llm.columns import carry, types_of
 
 MARK = "▁"
 REMEMBERED = 500_000  # words, and parts of words, per worker
@@ -145,17 +147,29 @@ class Codec(dict):
 
     def merged(self, text: str) -> list[int]:
         """Ids by the model's merges: the adjacent pair whose joined piece scores best, the leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and self.score[i] > best:
-                    best, at = self.score[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [x for p in parts for x in ([self.ids[p]] if p in self.ids else [self.byte.get(b, self.unknown) for b in p.encode()])]
+        parts, n = list(text), len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # neighbours of the parts that are left
+        waiting: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int, b: int) -> None:
+            i = self.ids.get(parts[a] + parts[b])
+            if i is not None:
+                heappush(waiting, (-self.score[i], a, len(parts[a]), len(parts[b])))
+
+        for k in range(n - 1):
+            offer(k, k + 1)
+        while waiting:
+            _, a, long, next_long = heappop(waiting)
+            b = after[a]
+            if len(parts[a]) != long or b >= n or len(parts[b]) != next_long:  # one of the two has been merged meanwhile
+                continue
+            parts[a], parts[b], after[a] = parts[a] + parts[b], "", after[b]
+            if after[a] < n:
+                before[after[a]] = a
+                offer(a, after[a])
+            if before[a] >= 0:
+                offer(before[a], a)
+        return [x for p in filter(None, parts) for x in ([self.ids[p]] if p in self.ids else [self.byte.get(b, self.unknown) for b in p.encode()])]
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -182,44 +196,46 @@ def codec(path: str) -> Codec:
     return Codec([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type)
 
 
-def _types(docs: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-
-
 def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``ids`` of every whole ``text``."""
+    """``keep`` columns (clashes: see ``columns``) and ``ids`` of every whole ``text``."""
+    kept, inner, back = carry(keep, ["ids"])
+    moved = docs.select(*kept, F.col("text").alias("text_to_encode"))
 
     def work(*columns):
         own = codec(path)
-        return dict(zip(keep, columns, strict=False)) | {"ids": [own.encode(t or "") for t in columns[-1]]}
+        return dict(zip(inner, columns, strict=False)) | {"ids": [own.encode(t or "") for t in columns[-1]]}
 
-    return map_texts(docs.select(*keep, F.col("text").alias("text_to_encode")), f"{_types(docs, keep)}, ids array<int>", work)
+    return back(map_texts(moved, types_of(moved.select(*inner, F.expr("cast(null as array<int>) as ids"))), work))
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the ``text`` of ``ids``; null ids have a null text."""
+    """``keep`` columns (clashes: see ``columns``) and the ``text`` of ``ids``; null ids have a null text."""
+    kept, inner, back = carry(keep, ["text"])
+    moved = encoded.select(*kept, F.col("ids").alias("ids_to_decode"))
 
     def run(batches):
         import pyarrow as pa
 
         own = codec(path)
         for batch in batches:
-            texts = [None if ids is None else own.decode(ids) for ids in batch["ids"].to_pylist()]
-            columns = [batch[c] for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*keep, "text"])
+            texts = [None if ids is None else own.decode(ids) for ids in batch["ids_to_decode"].to_pylist()]
+            columns = [batch[c] for c in inner]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*inner, "text"])
 
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{_types(encoded, keep)}, text string")
+    return back(moved.mapInArrow(run, types_of(moved.select(*inner, F.lit("").alias("text")))))
 
 
 def encode_and_check(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """As ``encode``, with ``round_trip``: does decoding the ids give the text again? A text that itself holds the piece
     mark does not."""
+    kept, inner, back = carry(keep, ["ids", "round_trip"])
+    moved = docs.select(*kept, F.col("text").alias("text_to_encode"))
 
     def work(*columns):
         own, ids, same = codec(path), [], []
         for text in columns[-1]:
             ids.append(own.encode(text or ""))
             same.append(own.decode(ids[-1].tolist()) == (text or ""))
-        return dict(zip(keep, columns, strict=False)) | {"ids": ids, "round_trip": same}
+        return dict(zip(inner, columns, strict=False)) | {"ids": ids, "round_trip": same}
 
-    return map_texts(docs.select(*keep, F.col("text").alias("text_to_encode")), f"{_types(docs, keep)}, ids array<int>, round_trip boolean", work)
+    return back(map_texts(moved, types_of(moved.select(*inner, F.expr("cast(null as array<int>) as ids"), F.lit(True).alias("round_trip"))), work))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts, rewrite_texts
 from tidemark.llm.boosting import BoostedTrees, threshold_for
+from tidemark.llm.columns import carry, types_of
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.995
@@ -275,16 +276,18 @@ SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 
 def find(docs: DataFrame, keep: list[str], model: PiiModel | None = None) -> DataFrame:
-    """``keep`` columns, ``base`` and ``added`` spans of every whole ``text``."""
+    """``keep`` columns (clashes: see ``columns``), ``base`` and ``added`` spans of every whole ``text``."""
     model = model or fit()
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    kept, inner, back = carry(keep, ["base", "added"])
+    moved = docs.select(*kept, F.col("text").alias("text_to_scan"))
+    types = types_of(moved.select(*inner, F.expr(f"cast(null as {SPAN}) as base"), F.expr(f"cast(null as {SPAN}) as added")))
 
     def work(*columns):
         spans = all_spans(columns[-1], model)
         as_rows = [[[{"kind": k, "start": s, "end": e} for k, s, e in part] for part in pair] for pair in spans]
-        return dict(zip(keep, columns, strict=False)) | {"base": [r[0] for r in as_rows], "added": [r[1] for r in as_rows]}
+        return dict(zip(inner, columns, strict=False)) | {"base": [r[0] for r in as_rows], "added": [r[1] for r in as_rows]}
 
-    return map_texts(docs.select(*keep, F.col("text").alias("text_to_scan")), f"{types}, base {SPAN}, added {SPAN}", work)
+    return back(map_texts(moved, types, work))
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sampling
 from tidemark.llm.arrow import filter_texts, map_texts
+from tidemark.llm.columns import carry, types_of
 
 # Bounds of the labelled sample the model is fitted on, per class: rows, and characters of a row (one stretch of
 # its text, at a place the row's hash picks). They do not grow with the tables.
@@ -131,13 +132,16 @@ def score_text(text: str | None, model: QualityModel) -> float:
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``score``: the estimated chance that the text is good. ``text`` is read whole."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    """``keep`` columns of ``docs`` (clashes: see ``columns``) and ``score``: the estimated chance that the text is good.
+    ``text`` is read whole."""
+    kept, inner, back = carry(keep, ["score"])
+    moved = docs.select(*kept, F.col("text").alias("text_to_score"))
+    types = types_of(moved.select(*inner, F.lit(0.0).alias("score")))
 
     def work(*columns):
-        return dict(zip(keep, columns, strict=False)) | {"score": [score_text(t, model) for t in columns[-1]]}
+        return dict(zip(inner, columns, strict=False)) | {"score": [score_text(t, model) for t in columns[-1]]}
 
-    return map_texts(docs.select(*keep, F.col("text").alias("text_to_score")), f"{types}, score double", work)
+    return back(map_texts(moved, types, work))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:

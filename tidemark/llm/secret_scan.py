@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sampling
 from tidemark.llm.arrow import map_texts
+from tidemark.llm.columns import carry, types_of
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
@@ -143,8 +144,10 @@ SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 
 def find(docs: DataFrame, keep: list[str], model: SecretModel) -> DataFrame:
-    """``keep`` columns, ``base`` and ``added`` spans of every whole ``text``."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    """``keep`` columns (clashes: see ``columns``), ``base`` and ``added`` spans of every whole ``text``."""
+    kept, inner, back = carry(keep, ["base", "added"])
+    moved = docs.select(*kept, F.col("text").alias("text_to_scan"))
+    types = types_of(moved.select(*inner, F.expr(f"cast(null as {SPAN}) as base"), F.expr(f"cast(null as {SPAN}) as added")))
 
     def work(*columns):
         base, added = [], []
@@ -153,6 +156,6 @@ def find(docs: DataFrame, keep: list[str], model: SecretModel) -> DataFrame:
             more = added_spans(text or "", spans, model)
             for out, part in ((base, spans), (added, more)):
                 out.append([{"kind": k, "start": s, "end": e} for k, s, e in part])
-        return dict(zip(keep, columns, strict=False)) | {"base": base, "added": added}
+        return dict(zip(inner, columns, strict=False)) | {"base": base, "added": added}
 
-    return map_texts(docs.select(*keep, F.col("text").alias("text_to_scan")), f"{types}, base {SPAN}, added {SPAN}", work)
+    return back(map_texts(moved, types, work))

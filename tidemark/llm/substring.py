@@ -34,9 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm import repeats as R
 from tidemark.llm import words as W
+from tidemark.llm.columns import carry, types_of
 from tidemark.session import parallelism
 
 WINDOW = 20
@@ -193,16 +195,15 @@ def _kept(docs: pa.Table, batch: _Batch, removed: np.ndarray, schema: pa.Schema,
 
 
 def dedup(docs: DataFrame, keep: list[str] = (), window: int = WINDOW, edge: int = EDGE, texts: bool = False) -> DataFrame:
-    """``doc_id``, the ``keep`` columns, ``n_words``, ``n_removed``, ``kept_sha256``, ``spans`` (word numbers cut, ends
+    """``doc_id``, the ``keep`` columns (clashes: see ``columns``), ``n_words``, ``n_removed``, ``kept_sha256``, ``spans`` (word numbers cut, ends
     exclusive) of every row; with ``texts``, ``kept_text`` too: the kept words joined by one space, or the text as it
     was where nothing is cut (``kept_sha256`` is then of that text).
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     if not 1 <= edge <= window:
         raise ValueError("an edge is at most as long as a window")
     spark = docs.sparkSession
-    keep = [c for c in keep if c != "doc_id"]
+    own = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts + ["spans"]
+    kept, inner, back = carry([c for c in keep if c != "doc_id"], ["doc_id", *own])
     size = docs.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
     chars = size["chars"] or 0
     wide = parallelism(spark)
@@ -212,15 +213,15 @@ def dedup(docs: DataFrame, keep: list[str] = (), window: int = WINDOW, edge: int
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(n_batches)).alias("batch"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        *keep,
-        F.col("text"),
+        *kept,
+        F.col("text").cast("string").alias("text"),
     )
-    names = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    types = ", ".join(["doc_id long", *names, "n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * texts + ["spans array<struct<start: int, end: int>>"])
+    types = ", ".join(["doc_id long"] + [types_of(dealt.select(*inner))] * bool(inner) + ["n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * texts + ["spans array<struct<start: int, end: int>>"])
     schema = to_arrow_schema(spark.createDataFrame([], types).schema)
     by_batch = dealt.groupBy("batch")
     sent = by_batch.applyInArrow(_anchor_pass(n_buckets, window, edge), R.SENT)
     said = sent.groupBy("bucket").applyInArrow(R.repeated, R.SAID)
     sent = by_batch.cogroup(said.groupBy("batch")).applyInArrow(_window_pass(n_buckets, window, edge), R.SENT)
     said = sent.groupBy("bucket").applyInArrow(_later_windows, R.SAID)
-    return by_batch.cogroup(said.groupBy("batch")).applyInArrow(_cut_pass(n_buckets, window, edge, schema, texts), types)
+    cut = by_batch.cogroup(said.groupBy("batch")).applyInArrow(_cut_pass(n_buckets, window, edge, schema, texts), types)
+    return back(cut)
