@@ -163,7 +163,7 @@ def test_text_lines_drop_one_cr(spark, tmp_path):
     assert got == ["one", "two", "thr\ree\r", "four"]
     path.write_bytes(b"one\r;two;three")
     assert [r["value"] for r in text_lines(spark, str(path), ";").collect()] == [
-        "one\r", "two", "three",
+        "one", "two", "three",
     ]
 
 
@@ -179,5 +179,6 @@ def test_kafka_options():
         "kafka.bootstrap.servers": "localhost:9092",
         "subscribe": "defaultTopic",
         "kafka.group.id": "defaultGroupID",
+        "failOnDataLoss": "true",
     }
     assert kafka_options("t", "h:1", "g", 5)["maxOffsetsPerTrigger"] == "5"
