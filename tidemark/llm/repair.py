@@ -132,6 +132,16 @@ def matrix(letters: str) -> np.ndarray:
     return out
 
 
+def _relative(costs: np.ndarray) -> tuple[int, ...]:
+    return tuple(np.minimum(costs - costs.min(), FAR).tolist())
+
+
+@lru_cache(maxsize=100_000)
+def _before(symbol: str, length: int, after: tuple[int, ...]) -> tuple[int, ...]:
+    """Costs before a run, relative to the least, from those after it."""
+    return _relative(through(symbol, length, np.array(after, np.int64)))
+
+
 @lru_cache(maxsize=100_000)
 def _best(symbol: str, after: tuple[int, ...]) -> tuple[tuple[str, str, str, int], ...]:
     """For each state before a row: initials of rows put in, edit, new role's initial, and the state after it."""
@@ -155,19 +165,19 @@ def _best(symbol: str, after: tuple[int, ...]) -> tuple[tuple[str, str, str, int
 def unroll(letters: str, after: Iterable[int], entry: int) -> tuple[list[tuple[str, str, str]], int]:
     """Per row the initials of rows put in before it, its edit, and its new role's initial; and the last state.
 
-    The costs to go are advanced run by run; within a run row by row, on costs relative to the least.
+    The costs to go are advanced run by run; within a run row by row. They are relative to the least, so that there
+    are few of them and what follows from each is remembered.
     """
-    ends = [np.array(list(after), np.int64)]
+    ends = [_relative(np.array(list(after), np.int64))]
     cut = runs(letters)
     for symbol, length in reversed(cut[1:]):
-        ends.append(through(symbol, length, ends[-1]))
+        ends.append(_before(symbol, length, ends[-1]))
     out, state = [], entry
     for (symbol, length), costs in zip(cut, reversed(ends), strict=True):
         ways = []
         for _ in range(length):
-            relative = tuple(np.minimum(costs - costs.min(), FAR).tolist())
-            ways.append(_best(symbol, relative))
-            costs = times(transition(symbol), np.array(relative, np.int64))
+            ways.append(_best(symbol, costs))
+            costs = _before(symbol, 1, costs)
         for way in reversed(ways):
             put, edit, role, state = way[state]
             out.append((put, edit, role))
