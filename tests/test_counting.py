@@ -13,6 +13,7 @@ from tidemark.operators.counting import (
     counted_text,
     every_nth,
     running_count,
+    running_count_of_equals,
 )
 
 
@@ -166,3 +167,40 @@ def test_text_orders_are_cut_too(spark):
     got = running_count(df, "shard", "line", rows_per_bucket=7).collect()
     order = sorted((line for _, line in rows), key=lambda x: x.encode())
     assert {r["line"]: r["seq"] for r in got} == {line: i + 1 for i, line in enumerate(order)}
+
+
+def _numbered(rows):
+    return sorted((r["shard"] or "", r["value"] or "", r["seq"]) for r in rows)
+
+
+@pytest.mark.parametrize(("rows_per_bucket", "stretch"), [(1, 1), (1, 7), (1_000_000, 50), (1_000_000, 1_000_000)])
+def test_equal_rows_are_numbered_as_rows_are(spark, rows_per_bucket, stretch):
+    values = ["hot"] * 300 + [f"v{i % 40}" for i in range(200)] + [None] * 30 + ["", "x"]
+    rows = [(v, None if i % 9 == 0 else str(i % 3)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "value string, shard string").repartition(5)
+    got = running_count_of_equals(df, "shard", "value", rows_per_bucket=rows_per_bucket, stretch=stretch)
+    assert got.columns == ["value", "shard", "seq"]
+    assert _numbered(got.collect()) == _numbered(running_count(df, "shard", "value").collect())
+
+
+def test_equal_rows_go_on_from_a_start(spark):
+    start = spark.createDataFrame([("a", 10), ("b", 5)], "shard string, seq long")
+    df = spark.createDataFrame([("x", "a")] * 4 + [("y", "a"), ("x", "c")], "value string, shard string")
+    got = running_count_of_equals(df, "shard", "value", start=start, stretch=2).collect()
+    assert _numbered(got) == [("a", "x", n) for n in (11, 12, 13, 14)] + [("a", "y", 15), ("c", "x", 1)]
+
+
+def test_one_line_with_half_of_the_rows_is_numbered_by_many_tasks(spark):
+    lines = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("value"))
+    df = lines.withColumn("shard", F.lit("0"))
+    got = running_count_of_equals(df, "shard", "value", stretch=1000)
+    hot = got.where("value = 'hot'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(hot) == 4 and max(r["count"] for r in hot) < 60_000
+    assert got.agg(F.countDistinct("seq"), F.min("seq"), F.max("seq")).first() == (200_000, 1, 200_000)
+
+
+def test_equal_rows_have_no_other_columns(spark):
+    with pytest.raises(ValueError):
+        running_count_of_equals(spark.createDataFrame([("x", "a", 1)], "value string, shard string, more int"), "shard", "value")
+    empty = spark.createDataFrame([], "value string, shard string")
+    assert running_count_of_equals(empty, "shard", "value").collect() == []

@@ -29,9 +29,11 @@ TIE = "_tie"
 # Below this many rows in all, a shard is one bucket.
 ROWS_PER_BUCKET = 1_000_000
 
-# Most cuts one column is given, and how many are looked for in the pass that counts the rows.
+# Most cuts one column is given.
 MAX_BUCKETS = 20_000
-FIRST_CUTS = 1_000
+
+# Numbers of equal rows that are given out in one go.
+STRETCH = 1_000_000
 
 
 def _position(df: DataFrame, column: str) -> Column:
@@ -61,16 +63,8 @@ def _crowded(cuts: Sequence[float], kind: T.DataType) -> list[float]:
     return [cut for cut, times in Counter(cuts).items() if times > 1 and abs(cut) < 2**53]
 
 
-def _quantiles(placed: DataFrame, position: str, n: int) -> tuple[int, list[float]]:
-    """The number of rows and ``n`` quantiles of their position, in one pass that combines before its shuffle."""
-    shares = [i / n for i in range(n)]
-    cuts = F.percentile_approx(position, shares, max(10_000, 10 * n)).alias("cuts")
-    row = placed.agg(F.count("*").alias("rows"), cuts).first()
-    return row["rows"], row["cuts"] or []
-
-
 def _cut(
-    df: DataFrame, order: Sequence[str], rows_per_bucket: int, depth: int = 0
+    df: DataFrame, order: Sequence[str], rows_per_bucket: int, depth: int = 0, total: int | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Add bucket columns that rise with ``order``; returns their names too.
 
@@ -83,13 +77,11 @@ def _cut(
     position, bucket, crowd = f"_pos{depth}", f"_cut{depth}", f"_crowd{depth}"
     placed = df.withColumn(position, _position(df, column))
 
-    total, grid = _quantiles(placed, position, FIRST_CUTS)
-    wanted = min(ceil(total / rows_per_bucket), MAX_BUCKETS)
+    wanted = min(ceil((df.count() if total is None else total) / rows_per_bucket), MAX_BUCKETS)
     if wanted <= 1:
         return df, []
-    if wanted > FIRST_CUTS:
-        grid = _quantiles(placed, position, wanted)[1]
-    chosen = [grid[i * len(grid) // wanted] for i in range(1, wanted)] if grid else []
+    shares = [i / wanted for i in range(1, wanted)]
+    chosen = placed.agg(F.percentile_approx(position, shares, max(10_000, 10 * wanted))).first()[0] or []
     cuts = [cut for cut in chosen if isfinite(cut)]
     if not cuts:
         return df, []
@@ -132,19 +124,68 @@ def running_count(
     numbered in any order among themselves. ``start``, if given, holds shards
     and the count (column ``name``) theirs go on from.
 
-    Every row is shuffled once, by shard and bucket. Before that the order is
-    read once for the cuts, and shard and order once for the rows per bucket
-    (and once more where single values hold whole buckets); the input must give
-    the same rows each time.
+    Every row is shuffled once, by shard and bucket. Before that the rows are
+    counted; if they are more than a bucket holds, the order is read once for
+    the cuts, and shard and order once for the rows per bucket (and once more
+    where single values hold whole buckets). The input must give the same rows
+    each time.
+    """
+    return _running_sum(df, shard, order, F.lit(1).cast("bigint"), name, start, rows_per_bucket)
+
+
+def running_count_of_equals(
+    df: DataFrame,
+    shard: str,
+    order: str | Sequence[str],
+    name: str = "seq",
+    start: DataFrame | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """``running_count`` of rows that are nothing but ``shard`` and ``order``, however often each of them comes.
+
+    Rows with equal order are equal then, so they are counted before they are
+    numbered: one row per shard and value meets the others, with how often it
+    comes, and takes up that many numbers. These are given out in stretches,
+    which are dealt over all tasks if a value has more than one. So a value
+    with a third of all rows costs a row per task, and no task holds its rows.
     """
     order = [order] if isinstance(order, str) else list(order)
-    rows, buckets = _cut(df, order, rows_per_bucket)
+    if set(df.columns) != {shard, *order}:
+        raise ValueError(f"rows must be {shard} and {order}, not {df.columns}")
+    counted = df.groupBy(shard, *order).agg(F.count("*").alias("_times"))
+    size = counted.agg(F.count("*").alias("values"), F.max("_times").alias("most")).first()
+    if start is not None:
+        start = start.select(shard, F.col(name).alias("_upto"))
+    upto = _running_sum(counted, shard, order, F.col("_times"), "_upto", start, rows_per_bucket, size["values"])
+    parts = upto.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_times - 1) div {stretch})")))
+    if (size["most"] or 0) > stretch:
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts.repartition(width, shard, *order, "_part")
+    first = F.col("_upto") - F.col("_times") + 1 + F.col("_part") * stretch
+    last = F.least(F.col("_upto"), first + stretch - 1)
+    return parts.select(*df.columns, F.explode(F.sequence(first, last)).alias(name))
+
+
+def _running_sum(
+    df: DataFrame,
+    shard: str,
+    order: str | Sequence[str],
+    step: Column,
+    name: str,
+    start: DataFrame | None,
+    rows_per_bucket: int,
+    total: int | None = None,
+) -> DataFrame:
+    """The sum of ``step`` over the rows of a shard up to each of them; see ``running_count``."""
+    order = [order] if isinstance(order, str) else list(order)
+    rows, buckets = _cut(df, order, rows_per_bucket, total=total)
     if not buckets and start is None:
-        numbered = F.row_number().over(Window.partitionBy(shard).orderBy(*order))
-        return df.withColumn(name, numbered.cast("bigint"))
+        upto = Window.partitionBy(shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.sum(step).over(upto))
 
     # A shard's rows before each bucket. The bucket at -2 stands before all rows.
-    sizes = rows.groupBy(shard, *buckets).agg(F.count("*").alias("_rows"))
+    sizes = rows.groupBy(shard, *buckets).agg(F.sum(step).alias("_rows"))
     if start is not None:
         before_all = [F.lit(-2).alias(b) for b in buckets]
         sizes = start.select(shard, *before_all, F.col(name).alias("_rows")).unionByName(sizes)
@@ -152,14 +193,14 @@ def running_count(
         before = Window.partitionBy(shard).orderBy(*buckets).rowsBetween(
             Window.unboundedPreceding, -1
         )
-        step = F.coalesce(F.sum("_rows").over(before), F.lit(0))
-        carries = sizes.select(shard, *buckets, step.alias("_step"))
+        carried = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+        carries = sizes.select(shard, *buckets, carried.alias("_step"))
     else:
         carries = start.select(shard, F.col(name).alias("_step"))
 
     # Each bucket gets a row in front that carries the count so far. One running
     # sum then does it all, and a null shard is a shard like any other.
-    steps = rows.withColumns({"_step": F.lit(1).cast("bigint"), "_carry": F.lit(False)})
+    steps = rows.withColumns({"_step": step, "_carry": F.lit(False)})
     steps = steps.unionByName(
         carries.withColumn("_carry", F.lit(True)), allowMissingColumns=True
     )

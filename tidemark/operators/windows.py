@@ -16,16 +16,20 @@ CAMPAIGN_WINDOW = "10 seconds"
 NEW_USER_WINDOW = "30 seconds"
 REGION_WINDOW, REGION_SLIDE = "60 seconds", "30 seconds"
 
+# Session zones in which a zone-less time is read as UTC by a plain cast.
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def event_time(df: DataFrame, column: str, delay: str = "0 seconds") -> DataFrame:
-    """Make ``column`` the event time of a stream; zone-less times are read as UTC.
+    """Make ``column`` the event time of a stream; zone-less times are read as UTC in any session zone.
 
     With no delay, times are expected to rise. Spark follows the latest time
     over all input partitions, so a stream read from several unaligned
     partitions needs a delay as long as they drift apart.
     """
     time = F.col(column).cast("timestamp")
-    if isinstance(df.schema[column].dataType, TimestampNTZType):  # whatever zone the session is in
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if isinstance(df.schema[column].dataType, TimestampNTZType) and zone not in UTC_NAMES:
         days, seconds = F.unix_date(F.to_date(column)), F.expr(f"extract(SECOND FROM `{column}`)")
         minutes = (days * 24 + F.hour(column)) * 60 + F.minute(column)
         time = F.timestamp_micros(minutes.cast("long") * 60_000_000 + (seconds * 1_000_000).cast("long"))

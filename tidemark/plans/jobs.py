@@ -24,7 +24,7 @@ from tidemark.functions import (
     strict_long,
 )
 from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
-from tidemark.operators.counting import RUN_LENGTH, counted_text, run_id, running_count
+from tidemark.operators.counting import RUN_LENGTH, counted_text, run_id, running_count, running_count_of_equals
 from tidemark.operators.new_users import STREAM_SALTS, new_users_with_auctions
 from tidemark.operators.reports import (
     campaign_latency_report,
@@ -78,19 +78,22 @@ class Counting:
     """Rows to be numbered per ``shard`` along ``order``, and what is made of the numbered rows.
 
     A shard is a logical key: the same rows have the same shards in a batch and
-    in a stream, whatever files and partitions they come in.
+    in a stream, whatever files and partitions they come in. Where many rows
+    may be ``equal`` in all columns, they are counted before they are numbered.
     """
 
     rows: DataFrame
     order: list[str]
     finish: Callable[[DataFrame], DataFrame]
+    equal: bool = False
 
     def batch(self) -> DataFrame:
-        return self.finish(running_count(self.rows, "shard", self.order))
+        number = running_count_of_equals if self.equal else running_count
+        return self.finish(number(self.rows, "shard", self.order))
 
     def stream(self, path: str, config: StreamConfig, form: str = "parquet") -> StreamingQuery:
         """Number micro-batch by micro-batch, each along the order; results land in ``<path>/rows``."""
-        return count_stream(self.rows, "shard", self.order, path, config, then=self.finish, form=form)
+        return count_stream(self.rows, "shard", self.order, path, config, then=self.finish, form=form, equal=self.equal)
 
 
 def _shard(number: Column, shards: int) -> Column:
@@ -101,7 +104,7 @@ def counted_lines(lines: DataFrame, shards: int = SHARDS) -> Counting:
     """``value - shard - count`` of lines. Lines have no order of their own: they are dealt and ordered by their hash."""
     place = F.conv(F.substring(F.md5(F.encode("value", "UTF-8")), 1, 13), 16, 10).cast("long")
     rows = lines.select("value", place.alias("place"), _shard(place, shards).alias("shard"))
-    return Counting(rows, ["place", "value"], _as_text)
+    return Counting(rows, ["place", "value"], _as_text, equal=True)
 
 
 def _as_text(counted: DataFrame) -> DataFrame:

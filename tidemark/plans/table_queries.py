@@ -26,7 +26,7 @@ from tidemark.functions import (
     without_cr,
 )
 from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
-from tidemark.operators.counting import assign_runs, counted_text, every_nth, running_count
+from tidemark.operators.counting import assign_runs, counted_text, every_nth, running_count, running_count_of_equals
 from tidemark.operators.enrich import enrich
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.reports import (
@@ -358,9 +358,20 @@ def running_count_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_counted_sql())
 def running_count_cut(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with shards cut into buckets whatever their size, as large ones are."""
+    """The same with shards cut into buckets of about a hundred rows, as large ones are into larger ones."""
     numbers = _numbers(_events(spark, folder))
-    return _shown_count(running_count(numbers, "shard", "value", rows_per_bucket=1))
+    return _shown_count(running_count(numbers, "shard", "value", rows_per_bucket=100))
+
+
+@query(
+    f"""SELECT event_type AS kind, (event_id % {SHARDS})::VARCHAR AS shard, row_number() OVER
+    (PARTITION BY event_id % {SHARDS} ORDER BY event_type) AS seq FROM events"""
+)
+def running_count_equals(spark: SparkSession, folder: str) -> DataFrame:
+    """A few values that hold most rows each: counted before they are numbered, in stretches of a hundred."""
+    shard = F.pmod(F.col("event_id"), F.lit(SHARDS)).cast("string").alias("shard")
+    kinds = _events(spark, folder).select(F.col("event_type").alias("kind"), shard)
+    return running_count_of_equals(kinds, "shard", "kind", stretch=100)
 
 
 @query(_TEXT_SQL.format(_counted_sql()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.counting import ROWS_PER_BUCKET, running_count
+from tidemark.operators.counting import ROWS_PER_BUCKET, running_count, running_count_of_equals
 from tidemark.sinks.latest import drop_batches
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.owner import claim
@@ -50,12 +50,14 @@ def count_stream(
     then: Callable[[DataFrame], DataFrame] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     form: str = "parquet",
+    equal: bool = False,
 ) -> StreamingQuery:
     """Number the rows of each shard along ``order`` within a micro-batch, on from the last.
 
     Each micro-batch is numbered as a batch is, so no shard has to fit one
     task; it is read from its source once and kept, with spill to disk, until
-    it is stored. ``then`` is applied to the numbered rows before they are
+    it is stored. Rows that may be ``equal`` in all columns are counted first
+    (``running_count_of_equals``). ``then`` is applied to the numbered rows before they are
     stored as files of ``form``. Rows land in ``<path>/rows`` and the counts so
     far in ``<path>/counts``, in a folder per micro-batch that a replay writes
     over (counts older than the last two are removed): a row is stored once, and the number of shuffle partitions may change
@@ -76,7 +78,8 @@ def count_stream(
             start = spark.createDataFrame([], shards)
         batch = batch.persist()
         try:
-            rows = running_count(batch, shard, order, name, start, rows_per_bucket)
+            number = running_count_of_equals if equal else running_count
+            rows = number(batch, shard, order, name, start, rows_per_bucket)
             rows = then(rows) if then else rows
             rows.write.mode("overwrite").format(form).save(folder("rows", batch_id))
             added = batch.groupBy(shard).agg(F.count("*").alias(name))
