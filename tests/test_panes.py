@@ -1,0 +1,138 @@
+"""Panes that fire early and end once, windows by the clock, and the store of panes."""
+
+import glob
+import os
+import time
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators.folds import COUNT_AND_LATEST
+from tidemark.sinks.panes import read_panes, store_panes
+from tidemark.streaming.config import StreamConfig
+from tidemark.streaming.panes import clock_fold, fired_fold, nothing_open, quiet, run_until
+
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+SCHEMA = "k string, ts timestamp"
+CONFIG = dict(trigger_interval_ms=100)
+
+
+class Input:
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.rows = spark, str(folder), 0
+
+    def add(self, *rows):
+        """Rows of (key, seconds) as one file."""
+        frame = [(k, START + timedelta(seconds=s)) for k, s in rows]
+        self.spark.createDataFrame(frame, SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+        self.rows += len(rows)
+
+    def stream(self):
+        df = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(self.folder)
+        return df.withColumn("event_us", F.unix_micros("ts"))
+
+
+@pytest.fixture()
+def source(spark, tmp_path):
+    return Input(spark, tmp_path / "in")
+
+
+def start(df, seen, checkpoint):
+    def keep(batch, batch_id):
+        seen.extend((batch_id, *r) for r in batch.collect())
+
+    return StreamConfig(str(checkpoint), **CONFIG).writer(df).foreachBatch(keep).start()
+
+
+def wait_for(query, condition, seconds=90):
+    limit = time.monotonic() + seconds
+    while not condition():
+        assert query.isActive and time.monotonic() < limit, query.exception()
+        time.sleep(0.1)
+
+
+def seconds_of(rows):
+    return [((r[1] - START.replace(tzinfo=None)).total_seconds(), r[3], r[4], r[-1]) for r in rows]
+
+
+def test_unchanged_panes_fire_again_and_end_once(source, tmp_path):
+    source.add(("a", 1), ("a", 2), ("b", 3), (None, 4))
+    seen = []
+    query = start(fired_fold(source.stream(), "k", "ts", "10 seconds", COUNT_AND_LATEST, every_ms=300), seen, tmp_path / "c")
+    try:
+        # No input comes, and all three panes fire several times, unchanged.
+        wait_for(query, lambda: all(sum(r[3] == k for r in seen) >= 3 for k in ("a", "b", None)))
+        assert {(r[3], r[4], r[-1]) for r in seen} == {("a", 2, False), ("b", 1, False), (None, 1, False)}
+        source.add(("a", 5))
+        wait_for(query, lambda: any(r[3:5] == ("a", 3) for r in seen))
+        source.add(("a", 25))  # closes the first window
+        wait_for(query, lambda: sum(r[-1] for r in seen) == 3)
+        source.add(("b", 6))  # late: dropped
+        wait_for(query, lambda: sum(p["numInputRows"] for p in query.recentProgress) == source.rows)
+        n = len(seen)
+        wait_for(query, lambda: len(seen) >= n + 3)
+        final = [r for r in seen if r[-1]]
+        assert sorted(((r[3] or "", r[4]) for r in final)) == [("", 1), ("a", 3), ("b", 1)]
+        last = max(r[0] for r in final)
+        assert {r[3] for r in seen if r[0] > last} == {"a"}  # the pane of the second window alone is open
+        wait_for(query, lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1)
+    finally:
+        query.stop()
+
+
+def test_panes_go_on_after_a_restart(source, tmp_path):
+    source.add(("a", 1), ("b", 2))
+    seen, make = [], lambda: fired_fold(source.stream(), "k", "ts", "10 seconds", COUNT_AND_LATEST)
+    run_until(start(make(), seen, tmp_path / "c"), quiet(source.rows))
+    assert seen == []  # nothing fires early
+    source.add(("a", 3))
+    source.add(("c", 12))
+    run_until(start(make(), seen, tmp_path / "c"), lambda p: len(seen) == 2)
+    assert sorted(r[3:] for r in seen) == [
+        ("a", 3 - 1, 1704067203000000, True),
+        ("b", 1, 1704067202000000, True),
+    ]
+
+
+def test_windows_by_the_clock_close_without_input(source, tmp_path):
+    source.add(("a", 1), ("a", 2), ("b", 3))
+    seen = []
+    query = start(clock_fold(source.stream(), "k", "2 seconds", slide="1 seconds"), seen, tmp_path / "c")
+    run_until(query, nothing_open(source.rows))
+    # Each row is in two windows; each of them is given out once, with no further input.
+    assert sorted((r[3], r[4]) for r in seen) == [("a", 2), ("a", 2), ("b", 1), ("b", 1)]
+    assert all(r[-1] and r[2] - r[1] == timedelta(seconds=2) for r in seen)
+
+
+def test_store_by_window(spark, source, tmp_path):
+    """What a micro-batch writes does not grow, closed windows are left alone, and readers never fail."""
+    path, keys = str(tmp_path / "store"), ["window_start", "k"]
+    for i in range(8):
+        source.add(("a", 10 * i + 1), ("a", 10 * i + 2), ("b", 10 * i + 3))
+    df = fired_fold(source.stream(), "k", "ts", "10 seconds", COUNT_AND_LATEST, every_ms=1)
+    config = StreamConfig(str(tmp_path / "c"), **CONFIG)
+    query = store_panes(df, path, config, grace=3, grace_s=5)
+    read = lambda: read_panes(spark, path, keys, df.schema)
+    try:
+        wait_for(query, lambda: sum(p["numInputRows"] for p in query.recentProgress) == source.rows)
+        n = query.lastProgress["batchId"]
+        sizes = []
+        limit = time.monotonic() + 90
+        while query.lastProgress["batchId"] < n + 12 or len(glob.glob(f"{path}/open/window_us=*")) > 2:
+            assert time.monotonic() < limit
+            read().collect()
+            assert query.isActive
+            newest = query.lastProgress["batchId"]
+            sizes.append(len(glob.glob(f"{path}/open/window_us=*/batch_id={newest}/*.parquet")))
+        assert max(sizes) <= 4  # the open window's panes alone are written
+    finally:
+        query.stop()
+    rows = sorted((r["window_start"], r["k"], r["count"], r["final"]) for r in read().collect())
+    begin = START.replace(tzinfo=None)
+    assert rows == sorted((begin + timedelta(seconds=10 * i), k, n, i < 7) for i in range(8) for k, n in (("a", 2), ("b", 1)))
+    # Early rows of all windows but those just closed are gone.
+    assert len([d for d in os.listdir(f"{path}/open") if d.startswith("window_us=")]) <= 4
+    assert read().count() == 16
+    with pytest.raises(ValueError):
+        store_panes(df, path, StreamConfig(str(tmp_path / "other"), **CONFIG))

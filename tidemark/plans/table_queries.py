@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -28,6 +29,7 @@ from tidemark.functions import (
 from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
 from tidemark.operators.counting import assign_runs, counted_text, every_nth, running_count, running_count_of_equals
 from tidemark.operators.enrich import enrich
+from tidemark.operators.folds import COUNT_AND_LATEST, windowed_apply, windowed_cogroup, windowed_fold
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.reports import (
     campaign_latency_report,
@@ -52,9 +54,11 @@ from tidemark.sources.parse import (
 )
 from tidemark.sources.lines import text_lines
 from tidemark.sources.sequence import interval_sequence, interval_sequence_stream, run_to_end
+from tidemark.sinks.panes import read_panes, store_panes
 from tidemark.sources.tables import read_table, stream_table
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream, read_counted, stateful_count
+from tidemark.streaming.panes import clock_fold, fired_fold, nothing_open, quiet, run_until
 from tidemark.streaming.run import run_available_now
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,6 +294,125 @@ def new_user_auctions_pairs_stream(spark: SparkSession, folder: str) -> DataFram
     return run_available_now(new_user_auction_pairs(persons, auctions, f"{DAY} seconds"))
 
 
+# --- folds and functions of one's own ------------------------------------------------
+
+
+def _campaign_views(spark: SparkSession, folder: str) -> DataFrame:
+    views = enrich(_ad_views(_events(spark, folder)), _campaigns(spark, folder), "ad_id")
+    return views.withColumn("event_us", micros("event_time"))
+
+
+@query(_CAMPAIGN_SQL)
+def campaign_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """Campaign counts by a fold in Python: partial results per task, merged per window and campaign."""
+    counts = windowed_fold(_campaign_views(spark, folder), "campaign_id", "event_time", f"{HOUR} seconds", COUNT_AND_LATEST)
+    return counts.select(micros("window_start").alias("window_start_us"), "campaign_id", "count", "last_update_us")
+
+
+_MEDIAN_SQL = f"""SELECT epoch_us(ts) // {_DAY_US} * {_DAY_US} AS window_start_us, event_type,
+    median(user_id)::DOUBLE AS median_user, count(*) AS "count" FROM events GROUP BY 1, 2"""
+_MEDIAN = "window_start_us long, event_type string, median_user double, count long"
+
+
+def _median(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([(*at, float(rows["user_id"].median()), len(rows))], columns=["window_start_us", "event_type", "median_user", "count"])
+
+
+@query(_MEDIAN_SQL)
+def window_median(spark: SparkSession, folder: str) -> DataFrame:
+    """What can't be merged from partial results: a function over all rows of a day and kind."""
+    events = _events(spark, folder).select("ts", "event_type", "user_id")
+    return windowed_apply(events, "event_type", "ts", f"{DAY} seconds", _median, _MEDIAN)
+
+
+@query(f"SELECT * FROM ({_MEDIAN_SQL}) WHERE window_start_us + {_DAY_US} <= (SELECT max(epoch_us(ts)) FROM events)")
+def window_median_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Days the watermark has closed."""
+    events = _events(spark, folder, streaming=True).select("ts", "event_type", "user_id")
+    return run_available_now(windowed_apply(events, "event_type", "ts", f"{DAY} seconds", _median, _MEDIAN))
+
+
+_NEW_USER_ROWS = (
+    "window_evicting long, person_creation long, person_ingestion long, auction_creation long, auction_ingestion long, "
+    "person_id long, person_name string"
+)
+
+
+def _first_person(at: tuple, persons: pd.DataFrame, auctions: pd.DataFrame) -> pd.DataFrame:
+    """The auctions of a window and person, if there are any and the person is new in it."""
+    names = ["window_evicting", "person_creation", "person_ingestion", "auction_creation", "auction_ingestion", "person_id", "person_name"]
+    if persons.empty or auctions.empty:
+        return pd.DataFrame(columns=names)
+    person = persons.sort_values(["timestamp", "ingestion_timestamp", "name"]).iloc[0]
+    values = [(at[0] + _DAY_US) // 1000, person["timestamp"], person["ingestion_timestamp"], auctions["timestamp"], auctions["ingestion_timestamp"], at[1], person["name"]]
+    return pd.DataFrame(dict(zip(names, values, strict=True)), index=auctions.index)
+
+
+def _cogrouped(events: DataFrame) -> DataFrame:
+    return windowed_cogroup(_persons(events), _auctions(events), "person_id", "event_time", f"{DAY} seconds", _first_person, _NEW_USER_ROWS)
+
+
+@query(_FIRST_SQL)
+def new_user_auctions_cogroup(spark: SparkSession, folder: str) -> DataFrame:
+    """New users with auctions by a function over both sides of a window and person."""
+    return _cogrouped(_events(spark, folder))
+
+
+@query(f"SELECT * FROM ({_FIRST_SQL}) {_CLOSED_DAYS_SQL}")
+def new_user_auctions_cogroup_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for days the watermark has closed, with both sides in one state."""
+    persons = _persons(_events(spark, folder, streaming=True))
+    auctions = _auctions(_events(spark, folder, streaming=True))
+    both = windowed_cogroup(persons, auctions, "person_id", "event_time", f"{DAY} seconds", _first_person, _NEW_USER_ROWS)
+    return run_available_now(both)
+
+
+# --- panes: early rows by the clock, and a final one ---------------------------------
+
+PANE_FILES = 4
+
+
+def _landed_in_order(spark: SparkSession, rows: DataFrame, time: str) -> DataFrame:
+    """``rows`` as a stream of ``PANE_FILES`` files, cut along ``time``, one in each micro-batch."""
+    path, cuts = scratch_path(spark, "landed"), [i / PANE_FILES for i in range(1, PANE_FILES)]
+    placed = rows.withColumn("_us", micros(time))
+    ends = [None, *(placed.agg(F.percentile_approx("_us", cuts)).first()[0] or []), None]
+    for low, high in zip(ends, ends[1:], strict=False):
+        inside = F.lit(True) if low is None else F.col("_us") >= low
+        inside = inside if high is None else inside & (F.col("_us") < high)
+        placed.where(inside).drop("_us").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    f"""SELECT *, window_start_us + {HOUR}000000 <= (SELECT max(epoch_us(e.ts)) FROM events e JOIN customer ON
+    c_custkey = user_id WHERE event_type = 'view') AS final FROM ({_CAMPAIGN_SQL})"""
+)
+def campaign_panes_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Panes that fire four times a second until the watermark closes them, over several micro-batches, from their store."""
+    views = _campaign_views(spark, folder)
+    stream = _landed_in_order(spark, views, "event_time")
+    panes = fired_fold(stream, "campaign_id", "event_time", f"{HOUR} seconds", COUNT_AND_LATEST, every_ms=250)
+    path, config = scratch_path(spark, "panes"), StreamConfig(scratch_path(spark, "stream"), trigger_interval_ms=100)
+    run_until(store_panes(panes, path, config), quiet(views.count(), batches=6))
+    rows = read_panes(spark, path, ["window_start", "campaign_id"], panes.schema)
+    return rows.select(micros("window_start").alias("window_start_us"), "campaign_id", "count", "last_update_us", "final")
+
+
+@query(
+    """SELECT ((user_id * 31 + event_id) % 16)::INTEGER AS region, 2 * count(*) AS "count", true AS final
+    FROM events GROUP BY region"""
+)
+def region_clock_windows_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Sliding windows of two seconds over the time of processing, run until the clock has closed all of them."""
+    regions = _events(spark, folder).select("ts", assign_region(F.col("user_id"), F.col("event_id")).alias("region"))
+    counts = clock_fold(_landed_in_order(spark, regions, "ts"), "region", "2 seconds", slide="1 second")
+    path, config = scratch_path(spark, "panes"), StreamConfig(scratch_path(spark, "stream"), trigger_interval_ms=100)
+    run_until(store_panes(counts, path, config), nothing_open(regions.count()))
+    rows = read_panes(spark, path, ["window_start", "region"], counts.schema)
+    return rows.groupBy("region").agg(F.sum("count").alias("count"), F.min("final").alias("final"))
+
+
 # --- regions -------------------------------------------------------------------
 
 _REGION_SQL = f"""

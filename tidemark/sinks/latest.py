@@ -11,7 +11,7 @@ before it is removed, so the store grows with its keys and not with time.
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -85,13 +85,18 @@ def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def drop_batches(spark: SparkSession, path: str, before: int) -> None:
     """Remove the folders of micro-batches with smaller numbers."""
+    drop_folders(spark, path, lambda name: name.startswith(f"{BATCH}=") and int(name.removeprefix(f"{BATCH}=")) < before)
+
+
+def drop_folders(spark: SparkSession, path: str, which: Callable[[str], bool]) -> None:
+    """Remove the folders directly below ``path`` whose name is wanted gone."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(conf)
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith(f"{BATCH}=") and int(name.removeprefix(f"{BATCH}=")) < before:
-            files.delete(status.getPath(), True)
+    if files.exists(root):
+        for status in files.listStatus(root):
+            if which(status.getPath().getName()):
+                files.delete(status.getPath(), True)
 
 
 def read_latest(
