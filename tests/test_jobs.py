@@ -8,7 +8,8 @@ from pyspark.errors import PySparkException
 
 from tidemark.__main__ import build, main, parser
 from tidemark.plans.job import job
-from tidemark.sinks import print_rows, read_latest
+from tidemark.sinks import print_rows, read_latest, read_panes
+from tidemark.streaming.panes import nothing_open, quiet, run_until
 
 T0 = 1704067200000
 AS_OF = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -265,3 +266,30 @@ def test_eviction_by_the_clock(run):
 def test_trigger_interval_changes_no_batch_columns(run, campaigns, name):
     got = run(name, ADS, "--campaigns", campaigns, "--trigger-interval-ms", "100")
     assert sorted(line.split(",")[1] for line in got) == ["1", "1", "2"]
+
+
+def test_campaign_panes(spark, campaigns, tmp_path):
+    """A lasting stream: early rows without input, a final row per closed pane."""
+    out, lines = tmp_path / "panes", tmp_path / "in"
+    lines.mkdir()
+    (lines / "0.txt").write_text("".join(f"{line}\n" for line in ADS))
+    args = ["campaign-counts", "--path", str(out), "--input", str(lines), "--campaigns", campaigns, "--stream",
+            "--fire-every-ms", "200", "--checkpoint-interval-ms", "100", "--checkpoint", str(tmp_path / "c")]
+    run_until(build(parser().parse_args(args)).run(spark), quiet(len(ADS), batches=8))
+    schema = "window_start timestamp, campaign_id string, count long, last_update timestamp, final boolean"
+    panes = read_panes(spark, str(out), ["window_start", "campaign_id"], spark.createDataFrame([], schema).schema).collect()
+    assert sorted((r["count"], r["final"]) for r in panes) == [(1, False), (1, True), (2, True)]
+    with pytest.raises(SystemExit):
+        build(parser().parse_args([*args, "--available-now"]))
+
+
+def test_region_windows_by_the_clock(spark, tmp_path):
+    out, lines = tmp_path / "panes", tmp_path / "in"
+    lines.mkdir()
+    (lines / "0.txt").write_text("1,2,x,a\n1,2,x,b\n3,5,x,a\n")
+    args = ["region-counts", "--path", str(out), "--input", str(lines), "--stream", "--by-clock", "--window-seconds", "2",
+            "--slide-seconds", "2", "--checkpoint-interval-ms", "100", "--checkpoint", str(tmp_path / "c")]
+    run_until(build(parser().parse_args(args)).run(spark), nothing_open(3))
+    schema = "window_start timestamp, window_end timestamp, region int, count long, final boolean"
+    panes = read_panes(spark, str(out), ["window_start", "region"], spark.createDataFrame([], schema).schema).collect()
+    assert sorted((r["region"], r["count"], r["final"]) for r in panes) == sorted([((31 + 2) % 16, 2, True), ((93 + 5) % 16, 1, True)])

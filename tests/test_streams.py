@@ -394,3 +394,26 @@ def test_results_have_the_stated_schemas(spark):
         (new_users_with_auctions(people, sales), schemas.NEW_USER_AUCTION),
     ):
         assert {f.name: f.dataType for f in frame.schema} == {f.name: f.dataType for f in schema}
+
+
+@pytest.mark.parametrize(("before", "after"), [(12, 4), (4, 12), (6, 4)])
+def test_another_number_of_shards_after_a_restart(landing, slices, events, spark, tmp_path, before, after):
+    """Counts are summed by remainder: no number of a shard comes twice, and all rows are counted."""
+    path = str(tmp_path / "out")
+    schema = "value long, shard string, seq long"
+
+    def dealt(df, shards):
+        return df.select(F.col("event_id").alias("value"), F.pmod("event_id", F.lit(shards)).cast("string").alias("shard"))
+
+    for part, shards in ((slices[:2], before), (slices[2:], after)):
+        landing.add(*part)
+        count_stream(dealt(landing.stream(), shards), "shard", "value", path, config(tmp_path), shards=shards).awaitTermination()
+    got = read_counted(spark, path, spark.createDataFrame([], schema).schema)
+    assert got.count() == events.count() == got.select("shard", "seq").distinct().count()
+    counts = spark.read.parquet(f"{path}/counts/batch_id=3")
+    assert counts.agg(F.sum("seq")).first()[0] == events.count()
+    assert {int(r["shard"]) for r in counts.collect()} <= set(range(max(after, 4)))
+    if before % after == 0:  # then a shard's count is that of its rows
+        late = got.where(F.col("shard").cast("int") < after).groupBy("shard").agg(F.max("seq").alias("n"))
+        want = dealt(events, after).groupBy("shard").count()
+        assert rows(late) == rows(want)

@@ -15,7 +15,7 @@ from tidemark.operators.reports import campaign_latency_report
 from tidemark.plans import jobs
 from tidemark.plans.job import Job, job
 from tidemark.session import build_session
-from tidemark.sinks import upsert_latest, write_csv, write_text
+from tidemark.sinks import store_panes, upsert_latest, write_csv, write_text
 from tidemark.sources import interval_sequence, interval_sequence_stream, kafka_lines, run_to_end, text_lines
 from tidemark.sources.sequence import ROWS_PER_BATCH
 from tidemark.streaming.config import CHECKPOINT_INTERVAL_MS, STATE_BACKENDS, StreamConfig
@@ -67,6 +67,10 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--checkpoint-interval-ms", type=int, default=CHECKPOINT_INTERVAL_MS)
     stream.add_argument("--trigger-interval-ms", type=int, default=0,
                         help="campaign-counts as a stream: store running reports this often")
+    stream.add_argument("--fire-every-ms", type=int,
+                        help="campaign-counts: a store of panes that fire this often by the clock (0: not early) and end with a final row")
+    stream.add_argument("--by-clock", action="store_true",
+                        help="region-counts: a store of windows that the clock closes, with or without input")
     stream.add_argument("--backend", default="rocksdb", choices=STATE_BACKENDS)
     stream.add_argument("--full-snapshots", action="store_true")
     return p
@@ -138,6 +142,13 @@ def _run_campaigns_sink(args: argparse.Namespace, config: StreamConfig, width: s
     return go
 
 
+def _lasting(config: StreamConfig | None) -> StreamConfig:
+    """The settings of a query with timers, which must run until it is stopped."""
+    if config is None or config.available_now:
+        raise SystemExit("panes that timers close need --stream without --available-now")
+    return config
+
+
 def _width(args: argparse.Namespace, default: str) -> str:
     return f"{args.window_ms} milliseconds" if args.window_ms else default
 
@@ -168,6 +179,10 @@ def build(args: argparse.Namespace) -> Job:
             df, args.shards, not args.full, args.every, NUMBER_JOBS[name]
         )
         return job(_lines(args), sink=_count_sink(make, args, config, "csv"))
+    if name == "region-counts" and args.by_clock:
+        panes = lambda df: jobs.region_panes(df, args.window_seconds, args.slide_seconds)
+        lasting = _lasting(config)
+        return job(_lines(args), panes, sink=lambda df: store_panes(df, args.path, lasting))
     if name == "region-counts":
         report = lambda df: jobs.region_latencies(
             df, args.window_seconds, args.slide_seconds
@@ -186,6 +201,16 @@ def build(args: argparse.Namespace) -> Job:
         return job(_lines(args), report, sink=csv_sink)
 
     width = _width(args, CAMPAIGN_WINDOW)
+    if args.fire_every_ms is not None:
+        lasting = _lasting(config)
+        if not args.campaigns:
+            raise SystemExit("panes need --campaigns")
+
+        def panes(lines: DataFrame) -> DataFrame:
+            campaigns = lines.sparkSession.read.parquet(args.campaigns)
+            return jobs.campaign_panes(lines, campaigns, width, args.delay, args.missing, args.fire_every_ms)
+
+        return job(_lines(args), panes, sink=lambda df: store_panes(df, args.path, lasting))
     if config is not None and not args.campaigns:
         return job(_lines(args), sink=_run_campaigns_sink(args, config, width, csv_sink))
 

@@ -173,20 +173,12 @@ def windowed_cogroup(
 ) -> DataFrame:
     """What ``function((window_start_us, key), left rows, right rows)`` gives for each window and key; batch or stream.
 
-    Either side may be empty. ``key`` and ``time`` are columns of both. A stream is the union of both sides, kept as two
-    lists in one state until the watermark, which follows the slower side, closes the window.
+    Either side may be empty. ``key`` and ``time`` are columns of both. Both sides are united and grouped once, as two
+    lists per window and key, so that small groups cost no call of their own into Python. A stream keeps the lists in
+    one state until the watermark, which follows the slower side, closes the window.
     """
     if left.isStreaming != right.isStreaming:
         raise ValueError("both sides must be streams, or neither")
-    window = F.window(time, width)
-    if not left.isStreaming:
-        sides = [d.withColumn(START, F.unix_micros(window["start"])).groupBy(START, key) for d in (left, right)]
-        names = left.columns, right.columns
-
-        def both(at, a, b):
-            return function((int(at[0]), _plain(at[1])), a[names[0]], b[names[1]])
-
-        return sides[0].cogroup(sides[1]).applyInPandas(both, schema)
     tagged = [
         d.select(F.col(time).alias("_time"), F.col(key).alias("_key"), F.struct(*d.columns).alias(side))
         for d, side in ((left, "_left"), (right, "_right"))
@@ -201,9 +193,17 @@ def windowed_cogroup(
 def _applied(asked: DataFrame, key: str, sides: dict[str, StructType], function, schema: str) -> DataFrame:
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks:
+            given = []  # small results leave together
             for row in chunk.to_dict("records"):
-                rows = [pd.DataFrame([_values(r) for r in row[s]], columns=t.names) for s, t in sides.items()]
-                yield function((int(row[START]), _plain(row[key])), *rows)
+                rows = [pd.DataFrame.from_records([_values(r) for r in row[s]], columns=t.names) for s, t in sides.items()]
+                out = function((int(row[START]), _plain(row[key])), *rows)
+                if len(out):
+                    given.append(out)
+                if sum(map(len, given[-1:])) > HELD or len(given) >= 1000:
+                    yield pd.concat(given, ignore_index=True)
+                    given = []
+            if given:
+                yield pd.concat(given, ignore_index=True)
 
     return asked.mapInPandas(run, schema)
 

@@ -25,6 +25,8 @@ from tidemark.functions import (
 )
 from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
 from tidemark.operators.counting import RUN_LENGTH, counted_text, run_id, running_count, running_count_of_equals
+from tidemark.operators.enrich import enrich
+from tidemark.operators.folds import COUNT_AND_LATEST
 from tidemark.operators.new_users import STREAM_SALTS, new_users_with_auctions
 from tidemark.operators.reports import (
     campaign_latency_report,
@@ -50,6 +52,7 @@ from tidemark.sources.parse import (
 )
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream
+from tidemark.streaming.panes import clock_fold, fired_fold
 
 # Counters that rows are dealt to.
 SHARDS = 256
@@ -80,12 +83,14 @@ class Counting:
     A shard is a logical key: the same rows have the same shards in a batch and
     in a stream, whatever files and partitions they come in. Where many rows
     may be ``equal`` in all columns, they are counted before they are numbered.
+    With ``shards``, the number of shards, a stream may go on with another one.
     """
 
     rows: DataFrame
     order: list[str]
     finish: Callable[[DataFrame], DataFrame]
     equal: bool = False
+    shards: int | None = None
 
     def batch(self) -> DataFrame:
         number = running_count_of_equals if self.equal else running_count
@@ -93,7 +98,7 @@ class Counting:
 
     def stream(self, path: str, config: StreamConfig, form: str = "parquet") -> StreamingQuery:
         """Number micro-batch by micro-batch, each along the order; results land in ``<path>/rows``."""
-        return count_stream(self.rows, "shard", self.order, path, config, then=self.finish, form=form, equal=self.equal)
+        return count_stream(self.rows, "shard", self.order, path, config, then=self.finish, form=form, equal=self.equal, shards=self.shards)
 
 
 def _shard(number: Column, shards: int) -> Column:
@@ -104,7 +109,7 @@ def counted_lines(lines: DataFrame, shards: int = SHARDS) -> Counting:
     """``value - shard - count`` of lines. Lines have no order of their own: they are dealt and ordered by their hash."""
     place = F.conv(F.substring(F.md5(F.encode("value", "UTF-8")), 1, 13), 16, 10).cast("long")
     rows = lines.select("value", place.alias("place"), _shard(place, shards).alias("shard"))
-    return Counting(rows, ["place", "value"], _as_text, equal=True)
+    return Counting(rows, ["place", "value"], _as_text, equal=True, shards=shards)
 
 
 def _as_text(counted: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def number_latencies(
         kept = counted.where(F.col("seq") % F.lit(every) == 0) if every > 1 else counted
         return number_latency_report(kept, only_latency, as_of)
 
-    return Counting(numbers.withColumn("shard", _shard(F.col("value"), shards)), ["value", "event_time"], finish)
+    return Counting(numbers.withColumn("shard", _shard(F.col("value"), shards)), ["value", "event_time"], finish, shards=shards)
 
 
 def region_counts(
@@ -168,6 +173,13 @@ def region_latencies(
     return region_report(region_counts(lines, size_seconds, slide_seconds), as_of)
 
 
+def region_panes(lines: DataFrame, size_seconds: int = 60, slide_seconds: int = 30) -> DataFrame:
+    """Events per region in sliding windows over the time of processing, of a stream that runs until it is stopped: a
+    window comes when the clock has passed its end, with or without further input."""
+    events = parse_geo_events(lines).select(assign_region(F.col("lat"), F.col("lng")).alias("region"))
+    return clock_fold(events, "region", f"{size_seconds} seconds", slide=f"{slide_seconds} seconds")
+
+
 def new_user_latencies(
     person_lines: DataFrame,
     auction_lines: DataFrame,
@@ -207,6 +219,18 @@ def campaign_window_counts(
     return run_window_counts(campaign_runs(lines, shards).batch(), width, delay)
 
 
+def campaign_panes(
+    lines: DataFrame, campaigns: DataFrame, width: str = CAMPAIGN_WINDOW, delay: str = "0 seconds", missing: str = "error", every_ms: int = 0
+) -> DataFrame:
+    """Views per campaign and window of a stream that runs until it is stopped: early rows every ``every_ms``, whether
+    anything has changed or not, and a final one per pane (see ``streaming.panes``)."""
+    views = enrich(ad_views(parse_ad_events(lines)), campaigns.select("ad_id", "campaign_id"), "ad_id", missing)
+    timed = views.select("campaign_id", "event_time", F.unix_micros("event_time").alias("event_us"))
+    panes = fired_fold(timed, "campaign_id", "event_time", width, COUNT_AND_LATEST, every_ms, delay)
+    latest = F.timestamp_micros("last_update_us").alias("last_update")
+    return panes.select("window_start", "campaign_id", "count", latest, "final")
+
+
 def campaign_runs(lines: DataFrame, shards: int = SHARDS) -> Counting:
     """Numbered views with the run of ten successive ones of their shard as their campaign."""
     views = parse_ad_events(lines, numbered=True).where(F.col("event_type") == COUNTED_EVENT)

@@ -343,9 +343,9 @@ def _first_person(at: tuple, persons: pd.DataFrame, auctions: pd.DataFrame) -> p
     names = ["window_evicting", "person_creation", "person_ingestion", "auction_creation", "auction_ingestion", "person_id", "person_name"]
     if persons.empty or auctions.empty:
         return pd.DataFrame(columns=names)
-    person = persons.sort_values(["timestamp", "ingestion_timestamp", "name"]).iloc[0]
-    values = [(at[0] + _DAY_US) // 1000, person["timestamp"], person["ingestion_timestamp"], auctions["timestamp"], auctions["ingestion_timestamp"], at[1], person["name"]]
-    return pd.DataFrame(dict(zip(names, values, strict=True)), index=auctions.index)
+    created, ingested, name = min(zip(persons["timestamp"], persons["ingestion_timestamp"], persons["name"], strict=True))
+    evicting, times = (at[0] + _DAY_US) // 1000, zip(auctions["timestamp"], auctions["ingestion_timestamp"], strict=True)
+    return pd.DataFrame([(evicting, created, ingested, *of_auction, at[1], name) for of_auction in times], columns=names)
 
 
 def _cogrouped(events: DataFrame) -> DataFrame:

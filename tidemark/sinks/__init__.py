@@ -2,9 +2,10 @@
 
 from tidemark.sinks.files import write_csv, write_parquet, write_text
 from tidemark.sinks.latest import compact_latest, read_latest, upsert_latest
+from tidemark.sinks.panes import read_panes, store_panes
 from tidemark.sinks.show import print_rows
 
 __all__ = [
-    "compact_latest", "print_rows", "read_latest", "upsert_latest", "write_csv", "write_parquet",
+    "compact_latest", "print_rows", "read_latest", "read_panes", "store_panes", "upsert_latest", "write_csv", "write_parquet",
     "write_text",
 ]

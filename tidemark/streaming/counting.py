@@ -51,6 +51,7 @@ def count_stream(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     form: str = "parquet",
     equal: bool = False,
+    shards: int | None = None,
 ) -> StreamingQuery:
     """Number the rows of each shard along ``order`` within a micro-batch, on from the last.
 
@@ -63,6 +64,11 @@ def count_stream(
     over (counts older than the last two are removed): a row is stored once, and the number of shuffle partitions may change
     between restarts. A path belongs to the checkpoint it was first used with;
     another one is refused.
+
+    With ``shards``, shards are the numbers below it, as text, and it may
+    change between restarts too: a shard goes on from the sum of the counts of
+    all stored shards that have its remainder. That is at least its own count,
+    so no number of a shard is given twice, and the counts add up to all rows.
     """
     claim(df.sparkSession, path, config.checkpoint)
 
@@ -71,11 +77,12 @@ def count_stream(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        shards = StructType([batch.schema[shard], StructField(name, LongType())])
+        kept = StructType([batch.schema[shard], StructField(name, LongType())])
         if batch_id > 0:
-            start = spark.read.schema(shards).parquet(folder("counts", batch_id - 1))
+            start = spark.read.schema(kept).parquet(folder("counts", batch_id - 1))
+            start = redealt(start, shard, name, shards) if shards else start
         else:
-            start = spark.createDataFrame([], shards)
+            start = spark.createDataFrame([], kept)
         batch = batch.persist()
         try:
             number = running_count_of_equals if equal else running_count
@@ -92,6 +99,13 @@ def count_stream(
     return config.writer(df).foreachBatch(store).start()
 
 
+def redealt(counts: DataFrame, shard: str, name: str, shards: int) -> DataFrame:
+    """Counts per shard, summed to the shards below ``shards`` that have their remainders; counts as they are if there
+    are no others."""
+    number = F.pmod(F.col(shard).cast("long"), F.lit(shards)).cast(counts.schema[shard].dataType).alias(shard)
+    return counts.groupBy(number).agg(F.sum(name).alias(name))
+
+
 def read_counted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows a ``count_stream`` has stored at ``path``."""
     rows = spark.read.schema(schema).parquet(posixpath.join(path, "rows"))
