@@ -185,7 +185,11 @@ def windowed_cogroup(
     ]
     union = tagged[0].unionByName(tagged[1], allowMissingColumns=True)
     lists = [F.collect_list(side).alias(side) for side in ("_left", "_right")]  # nulls, the other side's rows, are left out
-    met = union.groupBy(F.window("_time", width).alias("_window"), "_key").agg(*lists)
+    placed = union.withColumn("_window", F.window("_time", width))
+    if not left.isStreaming:  # as many tasks as there are, however few bytes: what takes time is the function
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = placed.repartition(tasks, "_window", "_key")
+    met = placed.groupBy("_window", "_key").agg(*lists)
     asked = met.select(F.unix_micros("_window.start").alias(START), F.col("_key").alias(key), "_left", "_right")
     return _applied(asked, key, {"_left": left.schema, "_right": right.schema}, function, schema)
 
