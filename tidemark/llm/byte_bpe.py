@@ -44,7 +44,7 @@ WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 
 SHORT = 64
 SAMPLE_ROWS = 8_000
-TABLE_WORDS = 100_000
+TABLE_WORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def _let(value: Column, use) -> Column:
 
 
 def literal(values: dict[str, object], kind: str) -> Literal:
-    size = 1 << (2 * len(values)).bit_length()
+    size = 1 << len(values).bit_length()
     buckets: list[dict] = [{} for _ in range(size)]
     for key, value in values.items():
         buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) & (size - 1)][key] = value
