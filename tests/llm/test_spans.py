@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ import pytest
 from tests.llm import edge_cases
 from tidemark.llm import pii, secret_scan
 from tidemark.llm.boosting import BoostedTrees, threshold_for
+from tidemark.llm.spans import Spans
 
 
 def brute_pii(text):
@@ -150,5 +152,74 @@ def test_candidates_may_reach_beyond_a_base_span():
     text = "contact jane@mail.example dot com now"
     base = [("email", *s) for s in pii.base_spans(text)["email"]]
     assert [text[s:e] for _, s, e in base] == ["jane@mail.example"]
-    assert [text[s:e] for _, s, e in pii.candidates(text, [b[1:] for b in base])] == ["jane@mail.example dot com"]
-    assert pii.candidates("4111 1111 1111 1111", [(0, 19)]) == []
+    assert [text[s:e] for _, s, e in pii.candidates(text, base)] == ["jane@mail.example dot com"]
+    assert pii.candidates("4111 1111 1111 1111", [("card", 0, 19)]) == []
+
+
+def test_candidates_over_base_spans_of_another_kind_are_dropped():
+    text = "reach +1 (555) 201 4081 190.137.223.204 soon"
+    (base, added), = pii.all_spans([text], pii.fit())
+    assert [k for k, _, _ in base] == ["ip"] and [text[s:e] for _, s, e in added] == ["(555) 201 4081"]
+    taken = [("ip", 5, 9), ("ip", 0, 4), ("phone", 20, 30)]
+    for start in range(32):
+        for end in range(start + 1, 33):
+            spans = Spans(t[1:] for t in taken)
+            assert spans.overlap(start, end) == any(start < e and s < end for _, s, e in taken)
+            assert spans.cover(start, end) == any(s <= start and end <= e for _, s, e in taken)
+
+
+def test_many_spans_take_no_quadratic_time():
+    model, secrets = pii.fit(), secret_scan.SecretModel(np.zeros((68 * 68, 67)), 1.0)
+    (base, added), = pii.all_spans(["a.b@c.co (415) 555-0134, " * 20_000], model)
+    assert len(base) == 20_000 and len(added) == 20_000
+    text = "token=abcdefghijkl abcdefghijklmnopqrst " * 50_000
+    assert len(secret_scan.runs(text, secret_scan.base_spans(text))) == 50_000
+    secret_scan._labelled("-" * 300_000 + " token=" + "a." * 200_000)
+    assert secrets.scores(["abcdefghijkl" * 100_000]).shape == (1,)
+
+
+def plain_counts(strings):
+    """(Two before, character) of key-like runs, by a plain loop."""
+    counts = Counter()
+    for text in strings:
+        for run in re.findall(r"[A-Za-z0-9+/_=-]+", text):
+            padded = [67, 67, *(secret_scan.ALPHABET.index(c) for c in run)]
+            counts.update(zip(padded, padded[1:], padded[2:], strict=False))
+    return counts
+
+
+def test_models_count_all_documents(spark):
+    docs, _ = secret_documents(spark)
+    texts = [r["text"] for r in docs.collect()]
+    seen = [t for t in texts if not secret_scan._held_out(t)]
+    assert 0 < len(seen) < len(texts)
+    plain, joined, values = [], [], []
+    for text in seen:
+        data, found = secret_scan._labelled(text)
+        plain.append(data.decode())
+        joined.append(secret_scan._joined(" ".join(re.findall("[A-Za-z]{3,}", plain[-1])), secret_scan._style(text)))
+        values += found
+    for got, want in zip(secret_scan._counts(docs.repartition(5)), (plain_counts(plain + joined), plain_counts(values)), strict=True):
+        at = np.argwhere(got)
+        assert {(c // 68, c % 68, x): got[c, x] for c, x in at.tolist()} == want
+    assert secret_scan._labelled("é v2 abc123def456ghi x token = 'abcdefghijklm' international") == (
+        b"? v2" + b" " * 17 + b"x" + b" " * 23 + b" international".replace(b" i", b"' i"), ["abcdefghijklm"])
+
+
+def test_keys_from_twelve_characters_are_found_and_ordinary_runs_left(spark):
+    rng = random.Random(8)
+    words = ["deploy", "server", "value", "update", "configuration", "internationalisation", "request", "handler", "connection", "responsibilities"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(80)) + f" room {i} since 20{i % 90 + 10} and utf8") for i in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = {1000 + n: "".join(rng.choice(letters) for _ in range(n)) for n in range(12, 20) for _ in (0,)}
+    rows += [(i, f"use the key {key} here") for i, key in keys.items()]
+    # A random string without a digit in an ordinary place must not move the threshold.
+    rows += [(2000, "deploy QzXvKwJqPfGhTbNcLmRd server")]
+    ordinary = ["connectionHandlerUpdate", "server-configuration-value", "REQUEST_HANDLER_VALUE", "request/handler/update", "internationalisation"]
+    rows += [(3000 + i, f"see {o} there") for i, o in enumerate(ordinary)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.fit(docs)
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["added"]] for r in secret_scan.find(docs, ["doc_id", "text"], model).collect()}
+    assert model.threshold < 40
+    assert [i for i in keys if got[i] != [keys[i]]] == []
+    assert [i for i, found in got.items() if found and i not in keys and i != 2000] == []

@@ -6,8 +6,10 @@ always stay. High-recall generators then propose further, overlapping spans
 addresses of the longer kind). Boosted trees score each candidate by its
 format and the words around it; a candidate is taken if its score reaches the
 threshold of its kind, calibrated on held-out examples for a wanted precision.
-Where taken candidates overlap, the likelier one stays; one that reaches beyond
-a base span may be taken beside it, one within a base span is not.
+Where taken candidates overlap, the likelier one stays. One that reaches beyond
+a base span of its own kind may be taken beside it; one within a base span is
+not proposed, nor is one that overlaps a base span of another kind: a phone's
+end and an address are no card.
 
 The trees are trained on examples made from written-down formats with a fixed
 seed, so the result for a text depends on the text alone.
@@ -19,6 +21,7 @@ code points, ends exclusive. Equal texts have equal spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import map_texts, rewrite_texts
 from tidemark.llm.boosting import BoostedTrees, threshold_for
 from tidemark.llm.columns import carry, types_of
+from tidemark.llm.spans import Spans
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.995
@@ -114,8 +118,11 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Further spans that the generators propose, but for those that lie within a base span."""
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Further spans that the generators propose, but for those that lie within a base span, or overlap one of another kind.
+
+    ``taken`` has the base spans as (kind, start, end).
+    """
     has_digit = _DIGIT.search(text) is not None
     out = []
     for kind, pattern in _GENERATORS.items():
@@ -126,7 +133,10 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
         elif text.count(":") < 3 and "::" not in text if kind == "ip" else not has_digit:
             continue
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return [c for c in out if not any(start <= c[1] and c[2] <= end for start, end in taken)]
+    if not taken or not out:
+        return out
+    own, other = ({k: Spans(t[1:] for t in taken if (t[0] == k) == same) for k in KINDS} for same in (True, False))
+    return [c for c in out if not own[c[0]].cover(*c[1:]) and not other[c[0]].overlap(*c[1:])]
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -257,7 +267,7 @@ def all_spans(texts: list[str | None], model: PiiModel) -> list[tuple[list, list
         text = text or ""
         spans = base_spans(text)
         base.append([(k, *s) for k in KINDS for s in spans[k]])
-        for c in candidates(text, [b[1:] for b in base[i]]):
+        for c in candidates(text, base[i]):
             where.append((i, c))
             x.append(describe(text, *c))
     picked: list[list] = [[] for _ in texts]
@@ -265,8 +275,10 @@ def all_spans(texts: list[str | None], model: PiiModel) -> list[tuple[list, list
         p = model.trees.probability(np.array(x))
         ranked = sorted(zip(-p, where, strict=True), key=lambda r: (r[0], r[1][1][1], -r[1][1][2], KINDS.index(r[1][1][0])))
         for minus_p, (i, (kind, start, end)) in ranked:
-            if -minus_p >= model.thresholds[KINDS.index(kind)] and not any(start < e and s < end for _, s, e in picked[i]):
-                picked[i].append((kind, start, end))
+            # The picked spans of a text are apart and in order: only the one before and the one after can be in the way.
+            at = bisect_left(picked[i], end, key=lambda s: s[1])
+            if -minus_p >= model.thresholds[KINDS.index(kind)] and not (at and picked[i][at - 1][2] > start):
+                picked[i].insert(at, (kind, start, end))
     for spans in picked:
         spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return list(zip(base, picked, strict=True))

@@ -1,42 +1,54 @@
 """Secrets: base patterns, and strings that look more random than ordinary by two character Markov models.
 
 Base spans (assignments, access keys, long hexadecimal runs) are found by
-fixed patterns and always stay. Every further run of key-like characters is
-scored by the log-likelihood ratio of two character Markov models of order
-two, one of random strings and one of ordinary identifiers, and taken if the
-ratio per character reaches the threshold.
-
-The models are trained from labelled samples of bounded size: values of base
-matches in sampled documents together with strings drawn with a fixed seed
-from the alphabets that keys use are random; words of sampled documents that
-no base pattern touches, and identifiers joined from them, are ordinary. The
-threshold is calibrated on samples the models have not seen.
+fixed patterns and always stay. Every further run of 12 or more key-like
+characters is scored by the log-likelihood ratio of two character Markov
+models of order two, one of random strings and one of ordinary identifiers,
+summed over its characters, and taken if the sum reaches the threshold.
+
+What the models learn is counted over all documents: how often a character
+follows the two before it. Labels come from form. Values of base matches are
+random, as are strings drawn with a fixed seed from the alphabets that keys
+use. All other runs are ordinary but those of 12 or more characters that mix
+letters and digits, which are left unlabelled; and so is each text once more
+with its words joined as code joins them. A quarter of the documents (by a
+hash of their text) is held out of the counts: the threshold is a quantile of
+the sums of all its ordinary runs of 12 or more characters and of its joined
+words, and at least ``LEAST``.
+
+Spark's part: a task adds up its documents' counts, of which there are at most
+one per two characters and next character, whatever it reads; the sums of all
+tasks (at most that many again) and one quantile come to the driver.
 
 Defined results: a null text counts as empty and has no spans. Positions are
-code points, ends exclusive. Without documents the random strings and a flat
-ordinary model remain, and nothing is added.
+code points, ends exclusive. Equal texts have equal spans; a repeated row
+counts again in the models. Very long texts take time in proportion. Without
+documents the random strings and a flat ordinary model remain, and nothing is
+added. Clashing names of kept columns: see ``columns``.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import sampling
-from tidemark.llm.arrow import map_texts
+from tidemark.llm.arrow import map_texts, slices
 from tidemark.llm.columns import carry, types_of
+from tidemark.llm.spans import Spans
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
 
-# Bounds of the training sample: documents (those with the smallest hash of their id), and characters of each
-# (one stretch of its text, at a place the hash picks). They do not grow with the tables.
-SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 2000
+LONG = 12  # characters of a run that is scored
+LEAST = 8.0  # log-likelihood by which a random string must be likelier, at least
+QUANTILE = 0.995  # of the held-out ordinary runs that must stay below the threshold
 DRAWN = 3000
 
 # Fixed patterns of the base spans.
@@ -47,13 +59,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 # Runs of key-like characters that the models look at.
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_WORD = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+_WORD = re.compile(r"[A-Za-z]{3,}")
+_THREE = re.compile(r"[A-Za-z]{3,}(?:\x20[A-Za-z]{3,}){2}")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-_CODE = np.full(128, -1, np.int64)
-_CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-_N = len(ALPHABET) + 1  # and one for what stands before the start
+_START = len(ALPHABET)  # stands for what comes before the start
+_N = _START + 1
+_CODE = np.full(256, -1, np.int64)
+_CODE[[ord(c) for c in ALPHABET]] = np.arange(_START)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -67,35 +82,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def runs(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Runs of key-like characters that overlap no base span."""
-    return [m.span() for m in _RUN.finditer(text) if not any(m.start() < e and s < m.end() for _, s, e in taken)]
+    found, base = [m.span() for m in _RUN.finditer(text)], Spans(s[1:] for s in taken)
+    return [r for r in found if not base.overlap(*r)] if taken else found
 
 
-def _contexts(word: str) -> tuple[np.ndarray, np.ndarray]:
-    codes = _CODE[np.frombuffer(word.encode("ascii"), np.uint8)]
-    padded = np.r_[_N - 1, _N - 1, codes]
-    return padded[:-2] * _N + padded[1:-1], codes
+def _cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs have a character, and the numbers of (two characters before, character) there; any other byte ends a run."""
+    codes = _CODE[np.frombuffer(data, np.uint8)]
+    inside = codes >= 0
+    last = np.full(len(codes), _START)
+    last[1:][inside[:-1]] = codes[:-1][inside[:-1]]
+    second = np.full(len(codes), _START)
+    second[1:][inside[:-1]] = last[:-1][inside[:-1]]
+    at = np.flatnonzero(inside)
+    return at, (second[at] * _N + last[at]) * _START + codes[at]
 
 
 @dataclass(frozen=True)
 class SecretModel:
-    """Log-likelihood ratios by (two characters before, character), and the threshold per character."""
+    """Log-likelihood ratios by (two characters before, character), and the sum that a run must reach."""
 
     ratio: np.ndarray
     threshold: float
 
+    def scores(self, runs: list[str]) -> np.ndarray:
+        """The sums of the ratios over each run (no run is empty)."""
+        if not runs:
+            return np.empty(0)
+        _, cells = _cells(" ".join(runs).encode("ascii"))
+        return np.add.reduceat(self.ratio.ravel()[cells], np.cumsum([0, *map(len, runs[:-1])]))
+
     def score(self, run: str) -> float:
-        before, codes = _contexts(run)
-        return float(self.ratio[before, codes].mean())
+        return float(self.scores([run])[0])
 
 
-def _log_likelihood(words: list[str]) -> np.ndarray:
+def _log_likelihood(counts: np.ndarray) -> np.ndarray:
     """Log probabilities by context; thin contexts lean on the one-character context, and that on single characters."""
-    counts = np.zeros((_N * _N, _N - 1))
-    for word in words:
-        np.add.at(counts, _contexts(word), 1)
     single = counts.sum(0) + 0.5
     single /= single.sum()
-    by_last = counts.reshape(_N, _N, _N - 1).sum(0) + 4 * single
+    by_last = counts.reshape(_N, _N, _START).sum(0) + 4 * single
     by_last /= by_last.sum(1, keepdims=True)
     smooth = counts + 4 * np.tile(by_last, (_N, 1))
     return np.log(smooth / smooth.sum(1, keepdims=True))
@@ -103,41 +128,97 @@ def _log_likelihood(words: list[str]) -> np.ndarray:
 
 def _draw(rng: np.random.Generator, n: int) -> list[str]:
     alphabets = [ALPHABET[:62], ALPHABET[:64], ALPHABET[:36], ALPHABET[26:62], "0123456789abcdef", "0123456789ABCDEF", ALPHABET[:62] + "_-"]
-    return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(20, 65))) for i in range(n)]
+    return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(LONG, 65))) for i in range(n)]
+
+
+def _joined(words: str, style: int) -> str:
+    """Words between spaces as code joins them."""
+    if style < 2:
+        return words.title().replace(" ", "")
+    return (words.upper() if style == 2 else words).replace(" ", "__-/="[style - 2])
+
+
+def _labelled(text: str) -> tuple[bytes, list[str]]:
+    """The text with spaces for base spans and for long runs that mix letters and digits, one byte per code point; and the base spans' values."""
+    data = bytearray(text.encode("ascii", "replace"))
+    spans = base_spans(text)
+    values = [_ASSIGN.match(text, s).group(2) if kind == "assign" else text[s:e] for kind, s, e in spans]
+    mixed = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
+    for start, end in [s[1:] for s in spans] + mixed:
+        data[start:end] = b" " * (end - start)
+    return bytes(data), values
+
+
+def _held_out(text: str) -> bool:
+    return zlib.crc32(text.encode("utf-8", "replace")) % 4 == 0
+
+
+def _style(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) // 4 % 6
+
+
+def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each character follows the two before it, in ordinary and in random strings of all documents not held out."""
+    size = _N * _N * _START
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for (texts,) in slices(batch.columns, 0):
+                plain, joined, values = [], [], []
+                for text in texts:
+                    if text and not _held_out(text):
+                        data, found = _labelled(text)
+                        plain.append(data)
+                        values += found
+                        joined.append(_joined(" ".join(_WORD.findall(data.decode("ascii"))), _style(text)).encode("ascii"))
+                for part, strings in ((0, plain + joined), (1, [v.encode("ascii") for v in values])):
+                    found, many = np.unique(_cells(b" ".join(strings))[1], return_counts=True)
+                    sums[part, found] += many
+        part, cell = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cell), pa.array(sums[part, cell])], names=["part", "cell", "n"])
+
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part long, cell long, n long")
+    table = sent.groupBy("part", "cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros((2, size))
+    sums[table["part"].to_numpy(), table["cell"].to_numpy()] = table["n"].to_numpy()
+    return sums[0].reshape(-1, _START), sums[1].reshape(-1, _START)
+
+
+def _threshold(docs: DataFrame, model: SecretModel) -> float:
+    """The quantile of the sums of all held-out ordinary runs."""
+
+    def work(texts: list[str | None]) -> dict[str, list]:
+        found = []
+        for text in texts:
+            if text and _held_out(text):
+                plain = _labelled(text)[0].decode("ascii")
+                found += _RUN.findall(plain)
+                found += [j for m in _THREE.findall(plain) if len(j := _joined(m, _style(text))) >= LONG]
+        return {"score": model.scores(found).tolist()}
+
+    scores = map_texts(docs.select(F.col("text").cast("string").alias("text")), "score double", work)
+    worst = scores.agg(F.percentile_approx("score", QUANTILE, 10_000)).first()[0]
+    return LEAST if worst is None else max(worst, LEAST)
 
 
 def fit(docs: DataFrame) -> SecretModel:
-    """Train on ``SAMPLE_ROWS`` documents at most."""
-    rng = np.random.default_rng(7)
-    random, words = [], []
-    for _, text in sorted(sampling.texts_at(docs, sampling.first_in_order(docs, SAMPLE_ROWS), SAMPLE_CHARS).items()):
-        spans = base_spans(text)
-        random += [m for _, s, e in spans for m in _WORD.findall(text[s:e])[-1:] if len(m) >= 16]
-        cut, at = [], 0
-        for _, s, e in sorted(spans, key=lambda x: x[1]):
-            cut, at = [*cut, text[at:s]], max(at, e)
-        words += [w for w in _WORD.findall(" ".join([*cut, text[at:]])) if not any(c.isdigit() for c in w) or len(w) < 16]
-    if not words:
-        return SecretModel(np.zeros((_N * _N, _N - 1)), float("inf"))
-    # Identifiers: words joined as code joins them, and words and plain numbers alone; each as often upper case.
-    picked = rng.choice(np.array(words, dtype=object), (DRAWN, 4))
-    joined = [
-        j
-        for i, w in enumerate(picked)
-        for j in ("".join([w[0].lower(), *(x.capitalize() for x in w[1:])]), ("_-/="[i % 4]).join(w), "".join(w[:2]).upper(), f"{w[0]}_{w[1]}_{i}", str(10**19 + i * 7919))
-    ]
-    ordinary = words[:200_000] + joined
-    random += _draw(rng, DRAWN)
-    seen = lambda xs: [x for i, x in enumerate(xs) if i % 4]
-    held = lambda xs: xs[::4]
-    model = SecretModel(_log_likelihood(seen(random)) - _log_likelihood(seen(ordinary)), 0.0)
-    # No ordinary run of the held-out part may pass, with a margin; and a random one should beat even odds.
-    worst = max((model.score(w) for w in held(ordinary) if len(w) >= 20), default=0.0)
-    return SecretModel(model.ratio, max(worst + 0.1, 0.5))
+    """Train on all documents: one pass counts, another one finds the threshold."""
+    ordinary, values = _counts(docs)
+    if not ordinary.any():
+        return SecretModel(np.zeros((_N * _N, _START)), float("inf"))
+    random = np.zeros(_N * _N * _START)
+    np.add.at(random, _cells(" ".join(_draw(np.random.default_rng(7), DRAWN)).encode("ascii"))[1], 1)
+    # The values of base matches count as much as the drawn strings at most, however many there are.
+    share = min(1.0, random.sum() / max(1.0, values.sum()))
+    ratio = _log_likelihood(random.reshape(-1, _START) + share * values) - _log_likelihood(ordinary)
+    return SecretModel(ratio, _threshold(docs, SecretModel(ratio, 0.0)))
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: SecretModel) -> list[tuple[str, int, int]]:
-    return [(ADDED, s, e) for s, e in runs(text, base) if model.score(text[s:e]) >= model.threshold]
+    found = runs(text, base)
+    scores = model.scores([text[s:e] for s, e in found])
+    return [(ADDED, *found[i]) for i in np.flatnonzero(scores >= model.threshold).tolist()]
 
 
 SPAN = "array<struct<kind: string, start: int, end: int>>"
