@@ -32,8 +32,9 @@ text; repeated rows (same doc_id and text) count as one document and get the
 same result each. An empty table gives an empty result. Very long texts are one
 batch each. Clashing names of kept columns: see ``columns``. Hashes have 64
 bits; a window goes if its hash starts earlier and its words are those at the
-source of its path. Were a path to end early by equal 32-bit hashes of different
-neighbouring words, its further windows would go by their hashes alone.
+source of its path. Where different neighbouring words have equal 16-bit hashes, a
+branch is taken for none; windows that come after it without the path's first
+edge go by their own hashes alone.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ LAST = np.iinfo(np.int64).max
 # words before and after it; and the packed flags of ``_FLAGS`` one after the other.
 _SENT = "batch long, bucket long, hashes binary, ids binary, places binary, before binary, after binary, flags binary"
 _FLAGS = ("one_in", "one_out", "many")
-_EDGES = "edge long, batch long, place long, one_in boolean, one_out boolean, bucket long"
+_EDGES = "edge long, batch long, place_and_ways long, bucket long"
 _PASSAGES = "path long, n long, words binary"
 # What a bucket answers: with ``at`` null, a bit per hash sent; else, that the hash number ``at`` begins a path.
 _TOLD = "batch long, bucket long, bits binary, path long, at long"
@@ -102,10 +103,10 @@ class _Batch:
         return text[at[place] : at[min(place + n, len(at) - 1)] - 1]
 
     def neighbours(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """32-bit hashes of the words before and after the windows at these places, and whether there are any."""
+        """16-bit hashes of the words before and after the windows at these places, and whether there are any."""
         doc = np.searchsorted(self.first, at, side="right") - 1
         has_before, has_after = at > self.first[doc], at + self.window < self.first[doc + 1]
-        padded = (np.concatenate([self.words, np.zeros(1, np.uint64)]) >> np.uint64(32)).astype(np.uint32)
+        padded = (np.concatenate([self.words, np.zeros(1, np.uint64)]) >> np.uint64(48)).astype(np.uint16)
         return padded[at - 1], padded[at + self.window], has_before, has_after
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +209,7 @@ class _Bucket:
         sender = np.repeat(np.array(self.batches, np.int64), self.sizes)
         self.order = np.lexsort((sender, read("ids", np.int64), hashes))
         self.hashes, self.sender, self.places = hashes[self.order], sender[self.order], read("places", np.uint32)[self.order]
-        self.before, self.after = read("before", np.uint32)[self.order], read("after", np.uint32)[self.order]
+        self.before, self.after = read("before", np.uint16)[self.order], read("after", np.uint16)[self.order]
         flags = [[], [], []]
         for bits, n in zip(table["flags"].to_pylist(), self.sizes, strict=True):
             size = (n + 7) // 8
@@ -220,7 +221,7 @@ class _Bucket:
 
 
 def _repeated_edges(table: pa.Table) -> pa.Table:
-    """Each edge that occurs more than once, at its source, and whether it has one way in and one way out."""
+    """Each edge that occurs more than once, with its source: four times its place, and 2 for one way in, 1 for one way out."""
     number = table["bucket"][0].as_py()
     if number < 0:
         return _table(_EDGES, [])
@@ -230,7 +231,7 @@ def _repeated_edges(table: pa.Table) -> pa.Table:
     one_out = _always(bucket.one_out & (bucket.after == bucket.after[start][group]), group, len(start))
     repeated = (bucket.sizes_of_groups > 1) | bucket.many[start]
     at = start[repeated]
-    columns = [bucket.hashes[at].view(np.int64), bucket.sender[at], bucket.places[at].astype(np.int64), one_in[repeated], one_out[repeated], np.full(len(at), number)]
+    columns = [bucket.hashes[at].view(np.int64), bucket.sender[at], bucket.places[at].astype(np.int64) * 4 + one_in[repeated] * 2 + one_out[repeated], np.full(len(at), number)]
     return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_arrow(_EDGES))
 
 
@@ -240,9 +241,12 @@ def paths_of(edges: DataFrame) -> DataFrame:
     An edge goes on the path of the one before it at its source if that has one way out and it has one way in: both
     then have the same occurrences, so their sources lie side by side.
     """
-    along = Window.partitionBy("batch").orderBy("place")
-    goes_on = F.col("one_in") & F.lag("one_out").over(along) & (F.lag("place").over(along) == F.col("place") - 1)
-    marked = edges.withColumn("starts", ~F.coalesce(goes_on, F.lit(False)))
+    along = Window.partitionBy("batch").orderBy("place_and_ways")
+    place = lambda column: F.shiftright(column, 2)
+    has = lambda way, column: column.bitwiseAND(F.lit(way)) != 0
+    here, last = F.col("place_and_ways"), F.lag("place_and_ways").over(along)
+    goes_on = has(2, here) & has(1, last) & (place(last) == place(here) - 1)
+    marked = edges.select("edge", "batch", "bucket", place(here).alias("place"), (~F.coalesce(goes_on, F.lit(False))).alias("starts"), here)
     head = F.last(F.when(F.col("starts"), F.col("place")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     first = lambda name: F.max(F.when(F.col("starts"), F.col(name))).alias(name)
     paths = marked.withColumn("head", head).groupBy("batch", "head").agg(first("edge"), first("bucket"), F.count("*").alias("n"))
