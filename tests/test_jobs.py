@@ -8,7 +8,8 @@ from pyspark.errors import PySparkException
 
 from tidemark.__main__ import build, main, parser
 from tidemark.plans.job import job
-from tidemark.sinks import print_rows, read_latest, read_panes
+from tidemark.sinks import print_rows, read_latest, read_panes, read_verdicts, write_verdicts
+from tidemark.sources import parse_timestamped_numbers
 from tidemark.streaming.panes import nothing_open, quiet, run_until
 
 T0 = 1704067200000
@@ -293,3 +294,46 @@ def test_region_windows_by_the_clock(spark, tmp_path):
     schema = "window_start timestamp, window_end timestamp, region int, count long, final boolean"
     panes = read_panes(spark, str(out), ["window_start", "region"], spark.createDataFrame([], schema).schema).collect()
     assert sorted((r["region"], r["count"], r["final"]) for r in panes) == sorted([((31 + 2) % 16, 2, True), ((93 + 5) % 16, 1, True)])
+
+
+def verdicts(spark, folder, name):
+    """Numbers of good lines, and the rejected ones."""
+    rows = read_verdicts(spark, f"{folder}/{name}").collect()
+    assert all((r["reason"] is not None) == r["rejected"] for r in rows)
+    return sum(not r["rejected"] for r in rows), sorted(r["value"] for r in rows if r["rejected"])
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_rejects_of_numbers_and_runs(spark, run, tmp_path, stream):
+    lines = [f"{T0 + i}#{i}" for i in range(10)]
+    lines[3:3], lines[8:8] = ["oops"], ["1#2#3", ""]
+    more = ["--full", "--shards", "1", "--rejects", str(tmp_path / "rejects")]
+    got = [line.split(",") for line in run("number-latency-mod5", lines, *more, stream=stream)]
+    assert sorted((value, seq) for _, value, _, seq in got) == [("0", "1"), ("5", "2")]
+    assert verdicts(spark, tmp_path / "rejects", "numbers") == (10, ["", "1#2#3", "oops"])
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_rejects_of_new_users(spark, run, tmp_path, stream):
+    bad = person("soon", 3, "X")
+    got = run("new-users", [bad, *PERSONS], "--rejects", str(tmp_path / "rejects"), auctions=[*AUCTIONS, "1,2"], stream=stream)
+    assert sorted(line.split(",")[-2:] for line in got) == [["7", "Ann"], ["7", "Ann"]] + ([] if stream else [["9", "Di"]])
+    assert verdicts(spark, tmp_path / "rejects", "persons") == (4, [bad])
+    assert verdicts(spark, tmp_path / "rejects", "auctions") == (4, ["1,2"])
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_rejects_of_campaigns(spark, run, campaigns, tmp_path, stream):
+    got = run("campaign-counts", [*ADS, "u1,p1"], "--campaigns", campaigns, "--rejects", str(tmp_path / "rejects"), stream=stream)
+    want = [("c1", "1", str(T0 + 10_000)), ("c1", "2", str(T0))] + ([] if stream else [("c1", "1", str(T0 + 20_000))])
+    assert sorted((c, n, ms) for c, n, _, ms in (line.split(",") for line in got)) == sorted(want)
+    assert verdicts(spark, tmp_path / "rejects", "ad-events") == (5, ["u1,p1"])
+
+
+def test_rejects_of_regions_and_of_a_batch(spark, run, tmp_path):
+    got = run("region-counts", ["52,13,x,shop", "north", "52,13,x,bar"], "--rejects", str(tmp_path / "rejects"))
+    assert sorted(line.split(",")[1:] for line in got) == [["9", "2"], ["9", "2"]]
+    assert verdicts(spark, tmp_path / "rejects", "geo-events") == (2, ["north"])
+    with pytest.raises(ValueError):
+        stream = spark.readStream.schema("value string").text(str(tmp_path / "in"))
+        write_verdicts(stream, parse_timestamped_numbers, str(tmp_path / "nowhere"))

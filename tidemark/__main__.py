@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import posixpath
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,19 @@ from tidemark.operators.reports import campaign_latency_report
 from tidemark.plans import jobs
 from tidemark.plans.job import Job, job
 from tidemark.session import build_session
-from tidemark.sinks import store_panes, upsert_latest, write_csv, write_text
-from tidemark.sources import interval_sequence, interval_sequence_stream, kafka_lines, run_to_end, text_lines
+from tidemark.sinks import good_lines, store_panes, upsert_latest, write_csv, write_text
+from tidemark.sources import (
+    interval_sequence,
+    interval_sequence_stream,
+    kafka_lines,
+    parse_ad_events,
+    parse_auctions,
+    parse_geo_events,
+    parse_persons,
+    parse_timestamped_numbers,
+    run_to_end,
+    text_lines,
+)
 from tidemark.sources.sequence import ROWS_PER_BATCH
 from tidemark.streaming.config import CHECKPOINT_INTERVAL_MS, STATE_BACKENDS, StreamConfig
 
@@ -49,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     source.add_argument("--max-number", type=int, default=100_000, help="end of a sequence")
     source.add_argument("--rows-per-batch", type=int, default=ROWS_PER_BATCH, help="of a sequence as a stream")
     source.add_argument("--max-files-per-trigger", type=int)
+    source.add_argument("--rejects", help="folder for the verdicts on all lines: malformed ones no longer end the job")
     work = p.add_argument_group("job")
     work.add_argument("--shards", type=int, default=jobs.SHARDS)
     work.add_argument("--window-ms", type=int, help="width of tumbling windows")
@@ -112,6 +126,16 @@ def _lines(args: argparse.Namespace, path: str | None = None, topic: str | None
     return read
 
 
+def _judged(args: argparse.Namespace, config: StreamConfig | None, parse, name: str, *place):
+    """The lines of ``_lines``; with ``--rejects`` the good ones of them, all verdicts going to its folder ``name``."""
+    read = _lines(args, *place)
+    if not args.rejects:
+        return read
+    own = replace(config, checkpoint=f"{config.checkpoint}-{name}-verdicts") if config else None
+    path = posixpath.join(args.rejects, name)
+    return lambda spark: good_lines(read(spark), parse, path, own, args.max_files_per_trigger)
+
+
 def _count_sink(make: Callable[[DataFrame], jobs.Counting], args: argparse.Namespace, config, form: str):
     """Numbered rows as files: of a batch in ``--path``, of a stream in its ``rows`` folder."""
 
@@ -178,29 +202,30 @@ def build(args: argparse.Namespace) -> Job:
         make = lambda df: jobs.number_latencies(
             df, args.shards, not args.full, args.every, NUMBER_JOBS[name]
         )
-        return job(_lines(args), sink=_count_sink(make, args, config, "csv"))
+        return job(_judged(args, config, parse_timestamped_numbers, "numbers"), sink=_count_sink(make, args, config, "csv"))
     if name == "region-counts" and args.by_clock:
         panes = lambda df: jobs.region_panes(df, args.window_seconds, args.slide_seconds)
         lasting = _lasting(config)
-        return job(_lines(args), panes, sink=lambda df: store_panes(df, args.path, lasting))
+        return job(_judged(args, config, parse_geo_events, "geo-events"), panes, sink=lambda df: store_panes(df, args.path, lasting))
     if name == "region-counts":
         report = lambda df: jobs.region_latencies(
             df, args.window_seconds, args.slide_seconds
         )
-        return job(_lines(args), report, sink=csv_sink)
+        return job(_judged(args, config, parse_geo_events, "geo-events"), report, sink=csv_sink)
     if name == "new-users":
         if bool(args.input) == bool(args.topic) or bool(args.auctions) == bool(args.auctions_topic):
             raise SystemExit("new-users needs --input or --topic for persons, and --auctions or --auctions-topic")
         width = _width(args, jobs.NEW_USER_WINDOW)
 
         def report(persons: DataFrame) -> DataFrame:
-            auctions = _lines(args, args.auctions, args.auctions_topic)(persons.sparkSession)
+            auctions = _judged(args, config, parse_auctions, "auctions", args.auctions, args.auctions_topic)(persons.sparkSession)
             evicted = None if args.evict_now else "window end"
             return jobs.new_user_latencies(persons, auctions, width, args.delay, evicted_at=evicted, salts=args.salts)
 
-        return job(_lines(args), report, sink=csv_sink)
+        return job(_judged(args, config, parse_persons, "persons"), report, sink=csv_sink)
 
     width = _width(args, CAMPAIGN_WINDOW)
+    events = _judged(args, config, partial(parse_ad_events, numbered=not args.campaigns), "ad-events")
     if args.fire_every_ms is not None:
         lasting = _lasting(config)
         if not args.campaigns:
@@ -210,9 +235,9 @@ def build(args: argparse.Namespace) -> Job:
             campaigns = lines.sparkSession.read.parquet(args.campaigns)
             return jobs.campaign_panes(lines, campaigns, width, args.delay, args.missing, args.fire_every_ms)
 
-        return job(_lines(args), panes, sink=lambda df: store_panes(df, args.path, lasting))
+        return job(events, panes, sink=lambda df: store_panes(df, args.path, lasting))
     if config is not None and not args.campaigns:
-        return job(_lines(args), sink=_run_campaigns_sink(args, config, width, csv_sink))
+        return job(events, sink=_run_campaigns_sink(args, config, width, csv_sink))
 
     def counts(lines: DataFrame) -> DataFrame:
         campaigns = lines.sparkSession.read.parquet(args.campaigns) if args.campaigns else None
@@ -221,14 +246,17 @@ def build(args: argparse.Namespace) -> Job:
     # Running results of a stream are kept as the newest report row of each campaign and window.
     early = args.trigger_interval_ms and config
     sink = (lambda df: upsert_latest(df, args.path, config, ["campaign_id", "window_ms"])) if early else csv_sink
-    return job(_lines(args), counts, sink=sink)
+    return job(events, counts, sink=sink)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     work = build(args)
-    query = work.run(spark or build_session(f"tidemark {args.job}"))
-    if query is not None:
+    spark = spark or build_session(f"tidemark {args.job}")
+    query = work.run(spark)
+    if query is not None and args.rejects and not args.available_now:
+        spark.streams.awaitAnyTermination()  # the job's query or that of the verdicts
+    elif query is not None:
         query.awaitTermination()
 
 
