@@ -9,7 +9,7 @@ from tidemark.operators.counting import run_id, running_count
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.windows import event_time, sliding_count, windowed_count
 from tidemark.sinks import compact_latest, read_latest, upsert_latest, write_csv, write_text
-from tidemark.sources.sequence import interval_sequence, interval_sequence_stream
+from tidemark.sources.sequence import interval_sequence, interval_sequence_stream, run_to_end
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream, read_counted, stateful_count
 from tidemark.streaming.progress import progress_report
@@ -294,24 +294,52 @@ def test_a_stream_needs_a_checkpoint(landing, slices, tmp_path):
         write_csv(landing.stream(), str(tmp_path / "out"))
 
 
-def test_interval_stream_is_the_interval(spark, tmp_path):
-    stream = interval_sequence_stream(spark, 5, 254, shards=3, rows_per_batch=100, partitions=2)
-    out, settings = str(tmp_path / "out"), StreamConfig(str(tmp_path / "c"), 0)
-    query = settings.writer(stream).format("parquet").option("path", out).start()
-    try:
-        while not query.lastProgress or query.lastProgress["batchId"] < 3:
-            query.awaitTermination(1)
-    finally:
-        query.stop()
+def interval_query(spark, tmp_path, **how):
+    stream = interval_sequence_stream(spark, 5, 254, shards=3, rows_per_batch=how.pop("rows_per_batch", 100), partitions=2)
+    settings = StreamConfig(str(tmp_path / "c"), **how)
+    return lambda: settings.writer(stream).format("parquet").option("path", str(tmp_path / "out")).start()
+
+
+def interval_rows(spark, tmp_path):
+    return rows(spark.read.schema("value bigint, shard string").parquet(str(tmp_path / "out")))
+
+
+@pytest.mark.parametrize("how", [{"trigger_interval_ms": 0}, {"available_now": True}])
+def test_interval_stream_is_the_interval(spark, tmp_path, how):
+    start = interval_query(spark, tmp_path, **how)
+    for _ in range(2):  # the second time nothing is left
+        run_to_end(start, 254)
     want = interval_sequence(spark, 5, 254, shards=3)
-    assert rows(spark.read.schema(stream.schema).parquet(out)) == rows(want)
+    assert interval_rows(spark, tmp_path) == rows(want)
     assert want.count() == 250
 
 
+def test_interval_stream_goes_on_after_a_restart(spark, tmp_path):
+    interval_query(spark, tmp_path, available_now=True)().awaitTermination()  # one micro-batch
+    assert sorted(v for v, _ in interval_rows(spark, tmp_path)) == list(range(5, 105))
+    run_to_end(interval_query(spark, tmp_path, trigger_interval_ms=0), 254)
+    assert interval_rows(spark, tmp_path) == rows(interval_sequence(spark, 5, 254, shards=3))
+
+
+def test_one_run_over_what_is_available_gives_the_whole_interval(spark, tmp_path):
+    interval_query(spark, tmp_path, available_now=True, rows_per_batch=None)().awaitTermination()
+    assert interval_rows(spark, tmp_path) == rows(interval_sequence(spark, 5, 254, shards=3))
+
+
+def test_a_failing_interval_query_raises(spark, tmp_path):
+    stream = interval_sequence_stream(spark, 0, 99, shards=2, rows_per_batch=40)
+    broken = stream.select(F.when(F.col("value") == 50, F.raise_error(F.lit("no fifty"))).alias("x"), "value")
+    settings = StreamConfig(str(tmp_path / "c"), 0)
+    with pytest.raises(Exception, match="no fifty"):
+        run_to_end(lambda: settings.writer(broken).format("parquet").option("path", str(tmp_path / "out")).start(), 99)
+
+
 def test_interval_bounds(spark):
     for start, end, shards in ((5, 5, 1), (5, 4, 1), (0, 5, 0)):
         with pytest.raises(ValueError):
             interval_sequence(spark, start, end, shards)
+    with pytest.raises(ValueError):
+        interval_sequence_stream(spark, 0, 5, 1, rows_per_batch=0)
 
 
 def test_stream_settings():
@@ -417,3 +445,65 @@ def test_another_number_of_shards_after_a_restart(landing, slices, events, spark
         late = got.where(F.col("shard").cast("int") < after).groupBy("shard").agg(F.max("seq").alias("n"))
         want = dealt(events, after).groupBy("shard").count()
         assert rows(late) == rows(want)
+
+
+def run_lines(numbers):
+    """Numbered ad views, two a second."""
+    return [f"{i},u1,p1,ad1,banner,view,{1704067200000 + 500 * i},255.255.255.255" for i in numbers]
+
+
+def test_campaign_runs_as_a_lasting_stream(spark, tmp_path):
+    """Equal to the batch on closed windows, over a restart and rows that come too late."""
+    from tidemark.plans import jobs
+    from tidemark.streaming.closing import read_closed
+
+    as_of, schema = datetime(2024, 6, 1, tzinfo=timezone.utc), "campaign_id string, count bigint, latency_ms bigint, window_ms bigint"
+    folder, path = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def add(name, lines):
+        (folder / name).write_text("".join(f"{line}\n" for line in lines))
+
+    def run():
+        stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder))
+        query = jobs.campaign_run_stream(stream, path, StreamConfig(str(tmp_path / "c"), 0), "10 seconds", shards=2, as_of=as_of)
+        query.processAllAvailable()
+        query.stop()
+
+    batch = lambda df: jobs.campaign_latencies(df, None, "10 seconds", as_of=as_of, shards=2)
+    as_lines = lambda lines: spark.createDataFrame([(x,) for x in lines], "value string")
+    add("0.txt", run_lines(range(37)))
+    run()
+    closed = read_closed(spark, path, schema)
+    first = rows(closed)
+    assert first == rows(batch(as_lines(run_lines(range(37)))).where("window_ms < 1704067210000"))
+    add("1.txt", run_lines(range(37, 90)))
+    run()
+    want = batch(as_lines(run_lines(range(90)))).where("window_ms < 1704067240000")
+    assert rows(read_closed(spark, path, schema)) == rows(want) and len(first) < want.count()
+    late = [line.replace(str(1704067200000 + 500 * i), "1704067201000") for i, line in zip(range(90, 95), run_lines(range(90, 95)), strict=True)]
+    add("2.txt", late)
+    run()
+    assert rows(read_closed(spark, path, schema)) == rows(want)
+    assert len(list((tmp_path / "out" / "open").glob("batch_id=*"))) <= 2
+
+
+def test_windows_close_once_and_a_replay_writes_over(spark, tmp_path):
+    from tidemark.streaming.closing import close_windows, read_closed
+
+    path, schema = str(tmp_path / "w"), "window_start timestamp, k string, count bigint, last_update timestamp"
+    at = lambda s: START + timedelta(seconds=s)
+    frame = lambda *r: spark.createDataFrame(list(r), "k string, t timestamp")
+    close = lambda n, *r, delay="0 seconds": close_windows(frame(*r), n, path, "k", "t", "10 seconds", delay)
+    counts = lambda: sorted(((r["window_start"].second, r["k"], r["count"]) for r in read_closed(spark, path, schema).collect()), key=repr)
+    close(0)
+    assert counts() == []
+    close(1, ("a", at(1)), (None, at(2)), (None, at(3)), ("a", None))
+    assert counts() == []
+    close(2, ("a", at(4)), ("b", at(12)), delay="3 seconds")  # the watermark is at 9
+    assert counts() == []
+    for _ in range(2):  # a replay
+        close(3, ("a", at(5)), ("b", at(13)), delay="3 seconds")  # at 10: reached
+        assert counts() == sorted([(0, "a", 3), (0, None, 2)], key=repr)
+    close(4, ("a", at(6)), ("c", at(30)))
+    assert counts() == sorted([(0, "a", 3), (0, None, 2), (10, "b", 2)], key=repr)

@@ -9,11 +9,9 @@ from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.operators.campaigns import CAMPAIGN_WINDOW
 from tidemark.operators.new_users import STREAM_SALTS
-from tidemark.operators.reports import campaign_latency_report
 from tidemark.plans import jobs
 from tidemark.plans.job import Job, job
 from tidemark.session import build_session
@@ -149,23 +147,6 @@ def _count_sink(make: Callable[[DataFrame], jobs.Counting], args: argparse.Names
     return sink
 
 
-def _run_campaigns_sink(args: argparse.Namespace, config: StreamConfig, width: str, sink):
-    """Runs of views as a stream: views are numbered first, and the stored ones are then counted per window."""
-
-    def go(lines: DataFrame):
-        if not config.available_now:
-            raise SystemExit("campaigns made of runs are streamed with --available-now")
-        numbered = f"{args.path}-numbered"
-        first = replace(config, checkpoint=f"{config.checkpoint}-numbered")
-        counting = jobs.campaign_runs(lines, args.shards)
-        counting.stream(numbered, first).awaitTermination()
-        schema = counting.finish(counting.rows.withColumn("seq", F.lit(0).cast("long"))).schema
-        stored = lines.sparkSession.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{numbered}/rows")
-        return sink(campaign_latency_report(jobs.run_window_counts(stored, width, args.delay)))
-
-    return go
-
-
 def _lasting(config: StreamConfig | None) -> StreamConfig:
     """The settings of a query with timers, which must run until it is stopped."""
     if config is None or config.available_now:
@@ -192,7 +173,7 @@ def build(args: argparse.Namespace) -> Job:
             return job(lambda spark: interval_sequence(spark, 0, args.max_number, args.shards), sink=sink)
         return job(
             lambda spark: interval_sequence_stream(spark, 0, args.max_number, args.shards, args.rows_per_batch),
-            sink=lambda df: run_to_end(lambda: sink(df), 0, args.max_number),
+            sink=lambda df: run_to_end(lambda: sink(df), args.max_number),
         )
 
     def csv_sink(df: DataFrame):
@@ -237,7 +218,10 @@ def build(args: argparse.Namespace) -> Job:
 
         return job(events, panes, sink=lambda df: store_panes(df, args.path, lasting))
     if config is not None and not args.campaigns:
-        return job(events, sink=_run_campaigns_sink(args, config, width, csv_sink))
+        return job(
+            events,
+            sink=lambda df: jobs.campaign_run_stream(df, args.path, config, width, args.delay, args.shards, form="csv"),
+        )
 
     def counts(lines: DataFrame) -> DataFrame:
         campaigns = lines.sparkSession.read.parquet(args.campaigns) if args.campaigns else None

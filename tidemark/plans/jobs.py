@@ -50,6 +50,7 @@ from tidemark.sources.parse import (
     parse_persons,
     parse_timestamped_numbers,
 )
+from tidemark.streaming.closing import close_windows
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream
 from tidemark.streaming.panes import clock_fold, fired_fold
@@ -96,9 +97,14 @@ class Counting:
         number = running_count_of_equals if self.equal else running_count
         return self.finish(number(self.rows, "shard", self.order))
 
-    def stream(self, path: str, config: StreamConfig, form: str = "parquet") -> StreamingQuery:
-        """Number micro-batch by micro-batch, each along the order; results land in ``<path>/rows``."""
-        return count_stream(self.rows, "shard", self.order, path, config, then=self.finish, form=form, equal=self.equal, shards=self.shards)
+    def stream(
+        self, path: str, config: StreamConfig, form: str = "parquet", land: Callable[[DataFrame, int], None] | None = None
+    ) -> StreamingQuery:
+        """Number micro-batch by micro-batch, each along the order; results land in ``<path>/rows``, or where ``land``
+        puts them."""
+        return count_stream(
+            self.rows, "shard", self.order, path, config, then=self.finish, form=form, equal=self.equal, shards=self.shards, land=land
+        )
 
 
 def _shard(number: Column, shards: int) -> Column:
@@ -211,7 +217,7 @@ def campaign_window_counts(
 
     With a campaign table its campaigns are counted. Without one, lines are
     numbered ones, and ten successive views of a shard (the remainder of their
-    numbers) make up a campaign; a batch only, see ``campaign_runs`` for streams.
+    numbers) make up a campaign; a batch only, see ``campaign_run_stream``.
     """
     if campaigns is not None:
         views = event_time(ad_views(parse_ad_events(lines)), "event_time", delay)
@@ -247,6 +253,26 @@ def run_window_counts(runs: DataFrame, width: str = CAMPAIGN_WINDOW, delay: str
     return windowed_count(event_time(runs, "event_time", delay), "campaign_id", "event_time", width)
 
 
+def campaign_run_stream(
+    lines: DataFrame,
+    path: str,
+    config: StreamConfig,
+    width: str = CAMPAIGN_WINDOW,
+    delay: str = "0 seconds",
+    shards: int = SHARDS,
+    as_of: datetime | None = None,
+    form: str = "parquet",
+) -> StreamingQuery:
+    """Latency reports of campaigns made of runs, of a stream: one query numbers each micro-batch's views and adds them
+    to the windows still open. Closed windows land in ``<path>/rows``; see ``streaming.closing``."""
+
+    def land(runs: DataFrame, batch_id: int) -> None:
+        report = lambda counts: campaign_latency_report(counts, as_of)
+        close_windows(runs, batch_id, path, "campaign_id", "event_time", width, delay, report, form)
+
+    return campaign_runs(lines, shards).stream(path, config, land=land)
+
+
 def campaign_latencies(
     lines: DataFrame,
     campaigns: DataFrame | None = None,

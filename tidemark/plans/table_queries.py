@@ -56,6 +56,7 @@ from tidemark.sources.lines import text_lines
 from tidemark.sources.sequence import interval_sequence, interval_sequence_stream, run_to_end
 from tidemark.sinks.panes import read_panes, store_panes
 from tidemark.sources.tables import read_table, stream_table
+from tidemark.streaming.closing import read_closed
 from tidemark.streaming.config import StreamConfig
 from tidemark.streaming.counting import count_stream, read_counted, stateful_count
 from tidemark.streaming.panes import clock_fold, fired_fold, nothing_open, quiet, run_until
@@ -675,8 +676,8 @@ def parse_auctions_lines(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.withColumn("event_us", micros("event_time")).drop("event_time")
 
 
-def _ad_lines(spark: SparkSession, folder: str, numbered: bool) -> DataFrame:
-    events = _events(spark, folder)
+def _ad_lines(spark: SparkSession, folder: str, numbered: bool, events: DataFrame | None = None) -> DataFrame:
+    events = _events(spark, folder) if events is None else events
     front = [_text("event_id")] if numbered else []
     return _lines(
         events,
@@ -874,9 +875,9 @@ def count_even_sequence_job(spark: SparkSession, folder: str) -> DataFrame:
 def count_sequence_stream_job(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stream of three micro-batches, run until all numbers are through."""
     start, end = _interval(spark, folder)
-    path, config = scratch_path(spark, "counted"), StreamConfig(scratch_path(spark, "stream"), available_now=True)
+    path, config = scratch_path(spark, "counted"), StreamConfig(scratch_path(spark, "stream"), trigger_interval_ms=0)
     numbers = interval_sequence_stream(spark, start, end, SHARDS, (end - start) // 3 + 1)
-    run_to_end(lambda: jobs.counted_numbers(numbers).stream(path, config), start, end)
+    run_to_end(lambda: jobs.counted_numbers(numbers).stream(path, config), end)
     return read_counted(spark, path, StructType([StructField("value", StringType())]))
 
 
@@ -895,17 +896,30 @@ def number_latency_mod5_job(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.number_latencies(lines, SHARDS, only_latency=False, every=NTH, multiples_of=5, as_of=AS_OF).batch()
 
 
-@query(
-    f"""WITH v AS (SELECT event_id % {SHARDS} AS shard, epoch_us(ts) // 1000 AS ms, row_number() OVER
+_RUNS_SQL = f"""WITH v AS (SELECT event_id % {SHARDS} AS shard, epoch_us(ts) // 1000 AS ms, row_number() OVER
         (PARTITION BY event_id % {SHARDS} ORDER BY event_id) AS seq FROM events WHERE event_type = '{COUNTED_EVENT}')
     SELECT shard || '-' || (seq - 1) // 10 AS campaign_id, count(*) AS "count", {AS_OF_MS} - max(ms) AS latency_ms,
     ms // {HOUR * 1000} * {HOUR * 1000} AS window_ms FROM v GROUP BY 1, 4"""
-)
+
+
+@query(_RUNS_SQL)
 def campaign_runs_job(spark: SparkSession, folder: str) -> DataFrame:
     lines = _ad_lines(spark, folder, numbered=True)
     return jobs.campaign_latencies(lines, None, f"{HOUR} seconds", as_of=AS_OF, shards=SHARDS)
 
 
+@query(f"{_RUNS_SQL} HAVING window_ms + {HOUR * 1000} <= (SELECT max(ms) FROM v)")
+def campaign_runs_stream_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a lasting stream of four micro-batches: the windows that the watermark has closed."""
+    events = _landed_in_order(spark, _events(spark, folder), "ts")
+    path, config = scratch_path(spark, "runs"), StreamConfig(scratch_path(spark, "stream"), trigger_interval_ms=100)
+    lines = _ad_lines(spark, folder, True, events)
+    query = jobs.campaign_run_stream(lines, path, config, f"{HOUR} seconds", shards=SHARDS, as_of=AS_OF)
+    query.processAllAvailable()
+    query.stop()
+    return read_closed(spark, path, "campaign_id string, count bigint, latency_ms bigint, window_ms bigint")
+
+
 @query(
     f"""SELECT {AS_OF_MS}::BIGINT AS now_ms, ((user_id * 31 + event_id) % 16)::INTEGER AS region,
     count(*) AS "count" FROM events CROSS JOIN (SELECT unnest([0, 1]) AS back)

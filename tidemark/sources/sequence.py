@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import time
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 ROWS_PER_BATCH = 1_000_000
 
+# Numbers that a row of the source stands for; Spark unfolds them.
+STRETCH = 8192
+PARTITIONS = 8
+
 
 def _check(start: int, end: int, shards: int) -> None:
     if end <= start:
@@ -34,58 +38,101 @@ def interval_sequence(spark: SparkSession, start: int, end: int, shards: int = 4
     )
 
 
+class Slice(InputPartition):
+    """The numbers ``first..last`` of a micro-batch."""
+
+    def __init__(self, first: int, last: int) -> None:
+        self.first, self.last = first, last
+
+
+class IntervalReader(DataSourceStreamReader):
+    """Moves through an interval by at most ``rows`` numbers per micro-batch, and stops at its end.
+
+    An offset is the next number. A query that is started again tells its last
+    one by asking for the partitions of what follows it, so the reader needs no
+    position of its own.
+    """
+
+    def __init__(self, start: int, end: int, rows: int, partitions: int) -> None:
+        self.start, self.end, self.rows, self.slices = start, end, rows, partitions
+        self.at = start
+
+    def initialOffset(self) -> dict:
+        return {"next": self.start}
+
+    def latestOffset(self) -> dict:
+        return {"next": min(self.at + self.rows, self.end + 1)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first, after = start["next"], end["next"]
+        self.at = max(self.at, after)
+        step = max(-(-(after - first) // self.slices), 1)
+        return [Slice(i, min(i + step, after) - 1) for i in range(first, after, step)]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        for first in range(partition.first, partition.last + 1, STRETCH):
+            yield first, min(first + STRETCH - 1, partition.last)
+
+
+class IntervalSource(DataSource):
+    """Stretches ``(first, last)`` of the numbers ``start..end``, as a stream that has an end."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "number-interval"
+
+    def schema(self) -> str:
+        return "first bigint, last bigint"
+
+    def streamReader(self, schema) -> IntervalReader:
+        start, end, rows, partitions = (int(self.options[k]) for k in ("start", "end", "rows", "partitions"))
+        return IntervalReader(start, end, rows, partitions)
+
+
 def interval_sequence_stream(
     spark: SparkSession,
     start: int,
     end: int,
     shards: int = 4,
-    rows_per_batch: int = ROWS_PER_BATCH,
+    rows_per_batch: int | None = ROWS_PER_BATCH,
     partitions: int | None = None,
 ) -> DataFrame:
-    """The same numbers as a replayable stream, ``rows_per_batch`` at a time.
+    """The same numbers as a replayable stream that ends, ``rows_per_batch`` at a time, or all at once with None.
 
-    The source itself never ends, and run over what is available now it gives
-    one batch: start its query with ``run_to_end``, which ends when all numbers
-    are through. Batches past ``end`` are empty.
+    A query over what is available now runs one micro-batch: with None that is
+    the whole interval. ``run_to_end`` goes on until all numbers are through.
     """
     _check(start, end, shards)
-    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch)
-    if partitions:
-        reader = reader.option("numPartitions", partitions)
-    offset = F.col("value")
-    return (
-        reader.load()
-        .where(offset <= F.lit(end - start))
-        .select(
-            (offset + F.lit(start)).alias("value"),
-            F.pmod(offset, F.lit(shards)).cast("string").alias("shard"),
-        )
+    if rows_per_batch is not None and rows_per_batch < 1:
+        raise ValueError("rows_per_batch must be at least 1")
+    spark.dataSource.register(IntervalSource)
+    rows = rows_per_batch or end - start + 1
+    settings = {"start": start, "end": end, "rows": rows, "partitions": partitions or max(PARTITIONS, -(-rows // ROWS_PER_BATCH))}
+    stretches = spark.readStream.format(IntervalSource.name()).options(**settings).load()
+    return stretches.select(F.explode(F.sequence("first", "last")).alias("value")).select(
+        "value", F.pmod(F.col("value") - F.lit(start), F.lit(shards)).cast("string").alias("shard")
     )
 
 
-def _rows_through(query: StreamingQuery) -> int:
-    """How many numbers the query's finished batches have covered, as its progress tells."""
+def _is_through(query: StreamingQuery, end: int) -> bool:
+    """Whether a query that has ended has had the last number, by the offset it came to."""
     progress = query.lastProgress
     if not progress:
-        return 0
-    found = re.search(r"offset\D*(\d+)", str(progress["sources"][0]["endOffset"]))
-    return int(found[1]) if found else 0
+        return True  # nothing was left to do
+    return json.loads(progress.json)["sources"][0]["endOffset"]["next"] > end
 
 
-def run_to_end(start_query: Callable[[], StreamingQuery], start: int, end: int, poll_seconds: float = 0.2) -> None:
+def run_to_end(start_query: Callable[[], StreamingQuery], end: int) -> None:
     """Run a query over ``interval_sequence_stream(start, end)`` until every number has been through it.
 
-    A query over what is available now ends after each batch and is started again on its checkpoint; one with another
-    trigger is stopped once it is past ``end``. A query that fails raises, and can be run to its end again.
+    A query over what is available now ends after a micro-batch and is started again on its checkpoint; one with another
+    trigger is stopped once nothing is left. A query that fails raises, and can be run to its end again.
     """
-    rows = end - start + 1
     while True:
         query = start_query()
-        while query.isActive and _rows_through(query) < rows:
-            time.sleep(poll_seconds)
-        done = _rows_through(query) >= rows
+        query.processAllAvailable()  # raises if it fails
         if query.isActive:
             query.stop()
-        query.awaitTermination()  # raises if it failed
-        if done:
+        query.awaitTermination()
+        if _is_through(query, end):
             return

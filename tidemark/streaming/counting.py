@@ -52,6 +52,7 @@ def count_stream(
     form: str = "parquet",
     equal: bool = False,
     shards: int | None = None,
+    land: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Number the rows of each shard along ``order`` within a micro-batch, on from the last.
 
@@ -69,6 +70,9 @@ def count_stream(
     change between restarts too: a shard goes on from the sum of the counts of
     all stored shards that have its remainder. That is at least its own count,
     so no number of a shard is given twice, and the counts add up to all rows.
+
+    ``land`` gets the rows and the number of a micro-batch in place of the
+    files in ``<path>/rows``; it has to bear being called again on a replay.
     """
     claim(df.sparkSession, path, config.checkpoint)
 
@@ -88,7 +92,10 @@ def count_stream(
             number = running_count_of_equals if equal else running_count
             rows = number(batch, shard, order, name, start, rows_per_bucket)
             rows = then(rows) if then else rows
-            rows.write.mode("overwrite").format(form).save(folder("rows", batch_id))
+            if land:
+                land(rows, batch_id)
+            else:
+                rows.write.mode("overwrite").format(form).save(folder("rows", batch_id))
             added = batch.groupBy(shard).agg(F.count("*").alias(name))
             totals = start.unionByName(added).groupBy(shard).agg(F.sum(name).alias(name))
             totals.write.mode("overwrite").parquet(folder("counts", batch_id))
