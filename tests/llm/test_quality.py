@@ -56,3 +56,17 @@ def test_edge_cases_and_missing_classes(spark):
     assert kept.schema == docs.schema
     assert kept.count() == sum(r["score"] >= 0.5 for r in got)
     assert quality.score(edge_cases.empty(spark), model, ["doc_id"]).collect() == []
+
+
+def test_whole_texts_are_learned_from(spark):
+    """Labelled texts that differ only far behind their beginning are told apart."""
+    docs, labels, truth = labelled(spark, 400, seed=5)
+    rng = random.Random(6)
+    front = " ".join(str(rng.randint(0, 10**6)) for _ in range(800))  # longer than a block
+    rows = [(r["doc_id"], f"{front} {r['text']} {r['text']}") for r in docs.collect()]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    training = quality.training_labels(labels)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(long, quality.fit(long, training), ["doc_id"]).collect()}
+    seen = {r["doc_id"] for r in training.collect()}
+    held = [i for i in truth if i not in seen]
+    assert sum((scored[i] >= 0.5) == truth[i] for i in held) / len(held) > 0.95

@@ -26,10 +26,9 @@ from tidemark.llm import sampling
 from tidemark.llm.arrow import filter_texts, map_texts
 from tidemark.llm.columns import carry, types_of
 
-# Bounds of the labelled sample the model is fitted on, per class: rows, and characters of a row (one stretch of
-# its text, at a place the row's hash picks). They do not grow with the tables.
+# Rows of the labelled sample the model is fitted on, per class; their texts are taken whole. It does not grow with
+# the tables.
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 4096
 
 BLOCK_BYTES = 4096
 DICTIONARY_BYTES = 256 * 1024
@@ -55,10 +54,15 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     )
 
 
+def blocks(text: bytes) -> list[bytes]:
+    """The text in pieces of ``BLOCK_BYTES``, which are compressed each by itself."""
+    return [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
+
+
 def compressed_sizes(text: bytes, dictionary: bytes) -> int:
     """Bytes of all blocks of the text, each compressed by itself with the dictionary."""
     squeeze = _compressor(dictionary).compress
-    return sum(len(squeeze(text[i : i + BLOCK_BYTES])) for i in range(0, len(text), BLOCK_BYTES))
+    return sum(len(squeeze(block)) for block in blocks(text))
 
 
 def features(text: str | None, good: bytes, bad: bytes) -> tuple[float, ...]:
@@ -100,14 +104,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on ``docs`` that have a label: at most ``SAMPLE_ROWS`` per class, those with the smallest hash of their id.
 
     The sample is picked among the labels, so that only the picked texts are moved. Two rows of three build the
-    dictionaries; the others calibrate, weighted so that the classes count as they do among all labels.
+    dictionaries, a whole text being one sample; the others calibrate with their whole texts, as texts are scored,
+    weighted so that the classes count as they do among all labels.
     """
     counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     nothing = QualityModel(b"", b"", (), prior)
     picked = {q: sampling.first_in_order(labels.where(F.col("quality") == q), SAMPLE_ROWS) for q in (0, 1)}
-    texts = sampling.texts_at(docs, picked[0] + picked[1], SAMPLE_CHARS)
+    texts = sampling.texts_at(docs, picked[0] + picked[1])
     rows = {q: [texts[p].encode() for p in picked[q] if p in texts] for q in (0, 1)}
     if not (rows[0] and rows[1]):
         return nothing

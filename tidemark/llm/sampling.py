@@ -1,4 +1,4 @@
-"""Bounded samples of long texts for training small models."""
+"""Bounded samples of rows for training small models."""
 
 from __future__ import annotations
 
@@ -11,21 +11,15 @@ def place() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def stretch(chars: int) -> Column:
-    """One stretch of at most ``chars`` characters of ``text``, at a place that the row's hash picks."""
-    start = F.expr(f"cast(pmod(xxhash64(coalesce(cast(doc_id as string), '')), greatest(length(text) - {chars}, 0) + 1) as int) + 1")
-    return F.substring(F.coalesce("text", F.lit("")), start, F.lit(chars))
-
-
 def first_in_order(ids: DataFrame, rows: int) -> list[int]:
     """The ``rows`` smallest distinct places of ``ids``; only places reach the driver."""
     return [r[0] for r in ids.select(place().alias("place")).distinct().orderBy("place").limit(rows).collect()]
 
 
-def texts_at(docs: DataFrame, places: list[int], chars: int) -> dict[int, str]:
-    """A stretch of text for each of a bounded list of places; of rows with the same id the smallest stretch."""
+def texts_at(docs: DataFrame, places: list[int]) -> dict[int, str]:
+    """The whole text for each of a bounded list of places; of rows with the same id the smallest text."""
     if not places:
         return {}
     wanted = docs.sparkSession.createDataFrame([(p,) for p in places], "place long")
-    found = docs.select(place().alias("place"), stretch(chars).alias("text")).join(F.broadcast(wanted), "place")
+    found = docs.select(place().alias("place"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "place")
     return {r["place"]: r["text"] for r in found.groupBy("place").agg(F.min("text").alias("text")).collect()}
