@@ -12,6 +12,8 @@ from tidemark.operators.enrich import check_dimension, enrich
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.skew import hot_key_hashes, join_unique
 from tidemark.operators.windows import assign_region, event_time, sliding_count, windowed_count
+from tidemark.streaming.config import StreamConfig
+from tidemark.streaming.run import run_available_now
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -103,6 +105,20 @@ def test_missing_key_modes(spark, dim, broadcast_bytes):
         rows("ignore")
 
 
+@pytest.mark.parametrize("salts", [1, 8])
+def test_a_stream_never_broadcasts_what_is_too_large(spark, dim, tmp_path, capsys, salts):
+    facts, rows = str(tmp_path / "facts"), [("x", 1), ("z", 2), ("x", 3)]
+    spark.createDataFrame(rows, "ad_id string, n int").write.parquet(facts)
+    dim.write.parquet(str(tmp_path / "dim"))  # files tell Spark their size, which is small
+    dim = spark.read.parquet(str(tmp_path / "dim"))
+    out = enrich(spark.readStream.schema("ad_id string, n int").parquet(facts), dim, broadcast_bytes=0, stream_salts=salts)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = run_available_now(out, str(tmp_path / "out"), StreamConfig(str(tmp_path / "ck"), available_now=True)).collect()
+    assert sorted((r["ad_id"], r["n"], r["campaign_id"]) for r in got) == [("x", 1, "c1"), ("x", 3, "c1"), ("z", 2, None)]
+
+
 def test_a_key_with_null_columns_is_not_missing(spark, dim):
     df = spark.createDataFrame([("z", 2)], "ad_id string, n int")
     assert enrich(df, dim).first()["campaign_id"] is None

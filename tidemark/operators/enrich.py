@@ -67,7 +67,8 @@ def enrich(
     Without ``split_hot`` no hot keys are looked for, which takes two passes
     over the keys of ``df``: right where ``df`` holds few rows per key anyway.
     A stream meets a large ``dim`` in ``stream_salts`` slices, so that the rows
-    of a hot key are spread over so many tasks.
+    of a hot key are spread over so many tasks. The slices are merged, as Spark
+    would go by the size of the files and broadcast all copies of the rows.
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}, not {missing!r}")
@@ -80,8 +81,10 @@ def enrich(
     elif df.isStreaming and stream_salts > 1:
         slices = F.explode(F.sequence(F.lit(0), F.lit(stream_salts - 1))).alias("_salt")
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(stream_salts)).cast("int")
-        joined = df.withColumn("_salt", salt).join(marked.select("*", slices), [on, "_salt"], how).drop("_salt")
-    elif df.isStreaming or not split_hot:
+        joined = df.withColumn("_salt", salt).join(marked.select("*", slices).hint("merge"), [on, "_salt"], how).drop("_salt")
+    elif df.isStreaming:
+        joined = df.join(marked.hint("merge"), on, how)
+    elif not split_hot:
         joined = df.join(marked, on, how)
     else:
         joined = join_unique(df, marked, [on], how)
