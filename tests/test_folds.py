@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidemark.operators.folds import COUNT_AND_LATEST, Fold, partial_results, windowed_apply, windowed_cogroup, windowed_fold
+from tidemark.operators.folds import COUNT_AND_LATEST, GROUP, START, Fold, partial_results, windowed_apply, windowed_cogroup, windowed_fold
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
 
@@ -110,3 +110,38 @@ def test_one_side_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("k string, ts timestamp, x double").parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError):
         windowed_cogroup(stream, table(spark, []), "k", "ts", "10 seconds", _sizes, "start long")
+
+
+def _sizes_at_once(left, right):
+    sizes = left.groupby(GROUP).agg(start=(START, "first"), k=("k", "first"), a=("x", "size"), last=("ts", "max"))
+    sizes = sizes.join(right.groupby(GROUP).agg(start_r=(START, "first"), k_r=("k", "first"), b=("y", "size")), how="outer")
+    out = pd.DataFrame({"start": sizes["start"].fillna(sizes["start_r"]), "k": sizes["k"].where(sizes["a"].notna(), sizes["k_r"])})
+    return out.assign(a=sizes["a"].fillna(0), b=sizes["b"].fillna(0), last=sizes["last"]).assign(groups=len(out))
+
+
+def test_a_cogroup_gets_many_groups_at_once(spark):
+    left, right = rows_of(200), rows_of(90)[40:]
+    sides = [table(spark, r).repartition(3) for r in (left, right)]
+    sides[1] = sides[1].withColumnRenamed("x", "y")
+    schema = "start long, k string, a long, b long, last timestamp, groups long"
+    got = windowed_cogroup(*sides, "k", "ts", "10 seconds", _sizes_at_once, schema, at_once=True).collect()
+    want = {at: (len(grouped(left, 10)[at]), len(grouped(right, 10)[at])) for at in {*grouped(left, 10), *grouped(right, 10)}}
+    begin = int(BEGIN.timestamp())
+    timed = [r for r in got if r["start"] is not None]
+    assert {(r["start"] // 1_000_000 - begin, None if pd.isna(r["k"]) else r["k"]): (r["a"], r["b"]) for r in timed} == want
+    assert max(r["groups"] for r in got) > 1
+    last = sides[0].where("k = 'k1'").groupBy(F.unix_micros(F.window("ts", "10 seconds").start)).agg(F.max("ts")).collect()
+    assert {(r["start"], r["last"]) for r in got if r["k"] == "k1" and r["a"] and r["start"]} == {tuple(r) for r in last if r[0] is not None}
+
+
+def test_many_small_groups_take_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(left, right):
+        calls.add(1)
+        return right.join(left.groupby(GROUP).size().rename("n"), GROUP, "inner")[["k", "n"]]
+
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    met = windowed_cogroup(rows, rows, "k", "ts", "10 seconds", count, "k long, n long", at_once=True)
+    assert met.agg(F.sum("n"), F.count_distinct("k")).first() == (20_000, 20_000)
+    assert calls.value < 100

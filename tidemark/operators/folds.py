@@ -19,15 +19,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, TimestampType
 
 # Windows and keys a task holds partial results of before it hands them on.
 HELD = 50_000
 
 START, END = "window_start_us", "window_end_us"
 
+# Tells apart the windows and keys whose rows a function gets at once.
+GROUP = "_group"
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -168,14 +174,20 @@ def windowed_cogroup(
     key: str,
     time: str,
     width: str,
-    function: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    function: Callable[..., pd.DataFrame],
     schema: str,
+    at_once: bool = False,
 ) -> DataFrame:
     """What ``function((window_start_us, key), left rows, right rows)`` gives for each window and key; batch or stream.
 
     Either side may be empty. ``key`` and ``time`` are columns of both. Both sides are united and grouped once, as two
     lists per window and key, so that small groups cost no call of their own into Python. A stream keeps the lists in
     one state until the watermark, which follows the slower side, closes the window.
+
+    A call and two frames cost about a millisecond, however few rows they hold. With ``at_once`` the function is
+    ``function(left rows, right rows)`` instead and gets those of many windows and keys in one call: in front of their
+    own columns rows have ``_group``, a number that is the same on both sides and for all rows of a window and key, and
+    ``window_start_us``. All rows of a group are in one call.
     """
     if left.isStreaming != right.isStreaming:
         raise ValueError("both sides must be streams, or neither")
@@ -191,9 +203,37 @@ def windowed_cogroup(
         placed = placed.repartition(tasks, "_window", "_key")
     met = placed.groupBy("_window", "_key").agg(*lists)
     asked = met.select(F.unix_micros("_window.start").alias(START), F.col("_key").alias(key), "_left", "_right")
+    if at_once:
+        return _applied_at_once(asked, ["_left", "_right"], function, schema)
     return _applied(asked, key, {"_left": left.schema, "_right": right.schema}, function, schema)
 
 
+def _applied_at_once(asked: DataFrame, sides: list[str], function, schema: str) -> DataFrame:
+    zone, result = asked.sparkSession.conf.get("spark.sql.session.timeZone"), _schema(asked, schema)
+    shown = to_arrow_schema(result)
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks:
+            out = function(*[_flat(chunk.column(START), chunk.column(side), zone) for side in sides])
+            if len(out):
+                times = [f.name for f in result.fields if isinstance(f.dataType, TimestampType)]
+                out = out.assign(**{n: pd.to_datetime(out[n]).dt.tz_localize(zone) for n in times})
+                yield pa.RecordBatch.from_pandas(out[result.names], shown, preserve_index=False)
+
+    return asked.mapInArrow(run, schema)
+
+
+def _flat(starts: pa.Array, lists: pa.Array, zone: str) -> pd.DataFrame:
+    """The rows of all lists, each behind the number and the window of its list."""
+    group, rows = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    columns = {GROUP: group.to_pandas(), START: starts.take(group).to_pandas()}
+    for field, values in zip(rows.type, rows.flatten(), strict=True):
+        column = values.to_pandas(integer_object_nulls=True)
+        zoned = pa.types.is_timestamp(field.type) and field.type.tz
+        columns[field.name] = column.dt.tz_convert(zone).dt.tz_localize(None) if zoned else column
+    return pd.DataFrame(columns)
+
+
 def _applied(asked: DataFrame, key: str, sides: dict[str, StructType], function, schema: str) -> DataFrame:
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks:

@@ -29,7 +29,7 @@ from tidemark.functions import (
 from tidemark.operators.campaigns import COUNTED_EVENT, ad_views, campaign_counts
 from tidemark.operators.counting import assign_runs, counted_text, every_nth, running_count, running_count_of_equals
 from tidemark.operators.enrich import enrich
-from tidemark.operators.folds import COUNT_AND_LATEST, windowed_apply, windowed_cogroup, windowed_fold
+from tidemark.operators.folds import COUNT_AND_LATEST, GROUP, START, windowed_apply, windowed_cogroup, windowed_fold
 from tidemark.operators.new_users import new_user_auction_pairs, new_users_with_auctions
 from tidemark.operators.reports import (
     campaign_latency_report,
@@ -339,23 +339,30 @@ _NEW_USER_ROWS = (
 )
 
 
-def _first_person(at: tuple, persons: pd.DataFrame, auctions: pd.DataFrame) -> pd.DataFrame:
-    """The auctions of a window and person, if there are any and the person is new in it."""
-    names = ["window_evicting", "person_creation", "person_ingestion", "auction_creation", "auction_ingestion", "person_id", "person_name"]
-    if persons.empty or auctions.empty:
-        return pd.DataFrame(columns=names)
-    created, ingested, name = min(zip(persons["timestamp"], persons["ingestion_timestamp"], persons["name"], strict=True))
-    evicting, times = (at[0] + _DAY_US) // 1000, zip(auctions["timestamp"], auctions["ingestion_timestamp"], strict=True)
-    return pd.DataFrame([(evicting, created, ingested, *of_auction, at[1], name) for of_auction in times], columns=names)
+def _first_persons(persons: pd.DataFrame, auctions: pd.DataFrame) -> pd.DataFrame:
+    """The auctions of windows and persons, where the person is new: behind the earliest of the persons with that id."""
+    in_order = persons.sort_values(["timestamp", "ingestion_timestamp", "name"])
+    firsts = in_order.drop_duplicates(GROUP).set_index(GROUP)[["timestamp", "ingestion_timestamp", "name"]]
+    met = auctions.join(firsts, GROUP, "inner", rsuffix="_person")
+    columns = {
+        "window_evicting": (met[START] + _DAY_US) // 1000,
+        "person_creation": met["timestamp_person"],
+        "person_ingestion": met["ingestion_timestamp_person"],
+        "auction_creation": met["timestamp"],
+        "auction_ingestion": met["ingestion_timestamp"],
+        "person_id": met["person_id"],
+        "person_name": met["name"],
+    }
+    return pd.DataFrame(columns)
 
 
 def _cogrouped(events: DataFrame) -> DataFrame:
-    return windowed_cogroup(_persons(events), _auctions(events), "person_id", "event_time", f"{DAY} seconds", _first_person, _NEW_USER_ROWS)
+    return windowed_cogroup(_persons(events), _auctions(events), "person_id", "event_time", f"{DAY} seconds", _first_persons, _NEW_USER_ROWS, at_once=True)
 
 
 @query(_FIRST_SQL)
 def new_user_auctions_cogroup(spark: SparkSession, folder: str) -> DataFrame:
-    """New users with auctions by a function over both sides of a window and person."""
+    """New users with auctions by a function over both sides of windows and persons."""
     return _cogrouped(_events(spark, folder))
 
 
@@ -364,7 +371,7 @@ def new_user_auctions_cogroup_stream(spark: SparkSession, folder: str) -> DataFr
     """The same for days the watermark has closed, with both sides in one state."""
     persons = _persons(_events(spark, folder, streaming=True))
     auctions = _auctions(_events(spark, folder, streaming=True))
-    both = windowed_cogroup(persons, auctions, "person_id", "event_time", f"{DAY} seconds", _first_person, _NEW_USER_ROWS)
+    both = windowed_cogroup(persons, auctions, "person_id", "event_time", f"{DAY} seconds", _first_persons, _NEW_USER_ROWS, at_once=True)
     return run_available_now(both)
 
 
