@@ -29,6 +29,9 @@ from pyspark.sql.types import StructType, TimestampType
 # Windows and keys a task holds partial results of before it hands them on.
 HELD = 50_000
 
+# Rows a task gathers before it folds them, as each window and key among them costs a call.
+GATHERED = 100_000
+
 START, END = "window_start_us", "window_end_us"
 
 # Tells apart the windows and keys whose rows a function gets at once.
@@ -82,13 +85,15 @@ def partial_results(df: DataFrame, key: str, time: str, width: str, fold: Fold,
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[tuple, tuple] = {}
-        for chunk in chunks:
-            for (start, end, value), rows in chunk.groupby([START, END, key], dropna=False, sort=False):
+        for chunk in _gathered(chunks):
+            places = [chunk[c] for c in (START, END, key)]
+            newest = chunk["_latest"].groupby(places, dropna=False, sort=False).max()
+            parts = chunk.drop(columns=[START, END, "_latest"]).groupby(places, dropna=False, sort=False)
+            for ((start, end, value), rows), newest_here in zip(parts, newest, strict=True):
                 at = (int(start), int(end), _plain(value))
                 state, latest = open_.get(at, (fold.start, None))
-                newest = rows["_latest"].max()
-                latest = newest if latest is None or newest > latest else latest
-                open_[at] = (fold.step(state, rows.drop(columns=[START, END, "_latest"])), latest)
+                latest = newest_here if latest is None or newest_here > latest else latest
+                open_[at] = (fold.step(state, rows), latest)
             if len(open_) > held:
                 yield _frame([(*at, *state, latest) for at, (state, latest) in open_.items()], schema)
                 open_.clear()
@@ -98,6 +103,18 @@ def partial_results(df: DataFrame, key: str, time: str, width: str, fold: Fold,
     return rows.mapInPandas(run, schema)
 
 
+def _gathered(chunks: Iterator[pd.DataFrame], rows: int = GATHERED) -> Iterator[pd.DataFrame]:
+    """Chunks of about ``rows`` rows; those whose columns have other types, as with nulls, are not joined."""
+    held: list[pd.DataFrame] = []
+    for chunk in chunks:
+        if held and (sum(map(len, held)) >= rows or not held[0].dtypes.equals(chunk.dtypes)):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        held.append(chunk)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def windowed_fold(df: DataFrame, key: str, time: str, width: str, fold: Fold, slide: str | None = None) -> DataFrame:
     """``window_start``, ``key`` and the ``result`` columns of a fold per window and key, of a batch.
 

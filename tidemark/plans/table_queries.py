@@ -44,7 +44,7 @@ from tidemark.operators.windows import (
     windowed_count,
 )
 from tidemark.plans import jobs
-from tidemark.session import scratch_path
+from tidemark.session import parallelism, scratch_path
 from tidemark.sources.parse import (
     parse_ad_events,
     parse_auctions,
@@ -377,19 +377,30 @@ def new_user_auctions_cogroup_stream(spark: SparkSession, folder: str) -> DataFr
 
 # --- panes: early rows by the clock, and a final one ---------------------------------
 
-PANE_FILES = 4
+PANE_SLICES = 4
+# Rows of a slice that are worth a task of their own.
+ROWS_PER_FILE = 25_000
 
 
-def _landed_in_order(spark: SparkSession, rows: DataFrame, time: str) -> DataFrame:
-    """``rows`` as a stream of ``PANE_FILES`` files, cut along ``time``, one in each micro-batch."""
-    path, cuts = scratch_path(spark, "landed"), [i / PANE_FILES for i in range(1, PANE_FILES)]
-    placed = rows.withColumn("_us", micros(time))
-    ends = [None, *(placed.agg(F.percentile_approx("_us", cuts)).first()[0] or []), None]
-    for low, high in zip(ends, ends[1:], strict=False):
-        inside = F.lit(True) if low is None else F.col("_us") >= low
-        inside = inside if high is None else inside & (F.col("_us") < high)
-        placed.where(inside).drop("_us").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _landed_in_order(spark: SparkSession, rows: DataFrame, time: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """``rows`` as a stream of ``PANE_SLICES`` slices, cut along ``time``, one in each micro-batch; no time comes first.
+
+    All tasks write a slice, as a file each. A micro-batch takes a fixed number of files, so every slice has as many:
+    where one can't, for lack of rows, each is one file.
+    """
+    path, staged, cuts = scratch_path(spark, "landed"), scratch_path(spark, "staged"), [i / PANE_SLICES for i in range(1, PANE_SLICES)]
+    rows.write.parquet(staged)  # what makes the rows is done once
+    kept = spark.read.schema(rows.schema).parquet(staged)
+    n, ends = kept.agg(F.count("*"), F.percentile_approx(micros(time), cuts)).first()
+    passed = [F.coalesce((micros(time) >= end).cast("int"), F.lit(0)) for end in ends or []]
+    files = max(1, min(parallelism(spark), n // (PANE_SLICES * rows_per_file)))
+    placed = kept.withColumn("_slice", sum(passed, F.lit(0))).withColumn("_file", F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int"))
+    if placed.select("_slice", "_file").distinct().count() < PANE_SLICES * files:
+        files = 1
+    for at in range(PANE_SLICES):
+        here = placed.where(F.col("_slice") == at)
+        here.repartitionById(files, "_file").select(*rows.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(
@@ -918,7 +929,7 @@ def campaign_runs_job(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_RUNS_SQL} HAVING window_ms + {HOUR * 1000} <= (SELECT max(ms) FROM v)")
 def campaign_runs_stream_job(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a lasting stream of four micro-batches: the windows that the watermark has closed."""
-    events = _landed_in_order(spark, _events(spark, folder), "ts")
+    events = _landed_in_order(spark, _events(spark, folder).select("event_id", "ts", "user_id", "event_type"), "ts")
     path, config = scratch_path(spark, "runs"), StreamConfig(scratch_path(spark, "stream"), trigger_interval_ms=100)
     lines = _ad_lines(spark, folder, True, events)
     query = jobs.campaign_run_stream(lines, path, config, f"{HOUR} seconds", shards=SHARDS, as_of=AS_OF)
