@@ -49,6 +49,16 @@ def test_a_slice_is_written_by_several_tasks(spark, tmp_path):
     assert [len(f) for f in files] == [4] * PANE_SLICES and len(set.union(*files)) == 4 * PANE_SLICES
 
 
+def test_slices_in_other_files_than_planned_are_refused(spark):
+    df = spark.range(4000).select("id", F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        with pytest.raises(RuntimeError, match="slices"):
+            _landed_in_order(spark, df, "ts", rows_per_file=100)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_rows_are_gathered_before_they_are_folded(spark):
     calls = spark.sparkContext.accumulator(0)
 

@@ -400,6 +400,9 @@ def _landed_in_order(spark: SparkSession, rows: DataFrame, time: str, rows_per_f
     for at in range(PANE_SLICES):
         here = placed.where(F.col("_slice") == at)
         here.repartitionById(files, "_file").select(*rows.columns).write.mode("append").parquet(path)
+    landed = spark.read.schema(rows.schema).parquet(path)
+    if files > 1 and len(landed.inputFiles()) != PANE_SLICES * files:  # a slice in two micro-batches would lose late rows
+        raise RuntimeError(f"{path} should hold {PANE_SLICES} slices of {files} files each")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
