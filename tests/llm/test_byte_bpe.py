@@ -98,3 +98,18 @@ def test_extra_columns_and_odd_ids(spark):
     rows = {r["doc_id"]: r for r in byte_bpe.decode(odd, vocabulary, ["doc_id", "data"]).collect()}
     piece = vocabulary.pieces()[64].encode("latin-1")
     assert bytes(rows[1]["data"]) == piece * 2 and rows[2]["data"] is None and rows[1]["input_data"] == "d"
+
+
+def test_ids_as_characters(spark):
+    """Ids held as text come back, in order, on both sides of the surrogates; words fold alike up to the longest short one."""
+    ids = [0, 1, 254, 0xD7FE, 0xD7FF, 0xD800, 0xDFFF, 0xFFFF, 200_000]
+    text = "".join(map(byte_bpe.character, ids))
+    assert sorted(text) == list(text) and text[-1] < byte_bpe.NONE
+    rows = spark.createDataFrame([(text,), ("",)], "t string")
+    assert [r["n"] for r in rows.select(byte_bpe.numbers(rows["t"]).alias("n")).collect()] == [ids, []]
+    vocabulary, own = Vocabulary(MULTI, public_tokenizers.PATTERN), library(MULTI)
+    texts = ["x", "é", "\x00", "zx" * 32, "ü" * 32, "toreesorti", "zx" * 33]
+    words = spark.createDataFrame([(t,) for t in texts], "w string").coalesce(1)
+    folded = vocabulary.merges().named(lambda merges: byte_bpe.fold(words["w"], merges, vocabulary.ranks()))
+    got = words.select("w", byte_bpe.numbers(folded).alias("ids")).collect()
+    assert [r["ids"] for r in got] == [own._core_bpe.encode_single_piece(r["w"].encode()) for r in got]

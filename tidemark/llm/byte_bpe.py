@@ -1,17 +1,21 @@
 """Byte-level BPE encoding and decoding with DataFrame expressions.
 
-A text is cut into words by the vocabulary's pattern. A word is an array of its bytes, each as the id of its piece.
+A text is cut into words by the vocabulary's pattern. A word begins as its bytes, each as the id of its piece.
 Adjacent pieces whose joined bytes have the lowest rank are merged, the leftmost first, until no joined bytes have a
 rank; what is left are the ids, as a piece's id is its rank. ``fold`` does this by higher-order functions. The ranks
-are a literal: a hash map from pairs of ids to the rank of their joined bytes, in two arrays of which each pair is in
-one at the place that its number gives (``Ranks``).
+are literals: hash maps from pairs of ids to the rank of their joined bytes (``Merges``, and ``Ranks`` for long words,
+two arrays of which each pair is in one at the place that its number gives).
+
+Ids are held as text, a character each, in the order of the ids (``character``). A short word is two such texts: its
+ids, and the ranks of its pairs. So a merge is a handful of functions of strings, whatever the word's length, and only
+the two pairs that a merge makes are looked up.
 
 Distinct words: the ``TABLE_WORDS`` most frequent distinct words of about ``SAMPLE_ROWS`` documents are folded once,
 in Spark, and become a second literal, in which most words of a corpus are found. A word that is not there is folded
 where it stands, so the sample decides how fast the encoding is, never what it gives. There is no shuffle but the
 count of the sampled words; texts stay where they are.
 
-Short words merge one pair at a time. In words of more than ``SHORT`` bytes all pairs of the lowest rank merge in
+Words of up to ``SHORT`` bytes merge one pair at a time. In words of more than ``SHORT`` bytes all pairs of the lowest rank merge in
 one step, from left to right, unless a merge among them would make a pair of a lower rank still: then only the
 leftmost does. So a run of a million equal characters takes some twenty steps over it.
 
@@ -64,8 +68,8 @@ class Literal:
 
 
 def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.transform(F.array(value), use).getItem(0)
+    """``use`` of a value that is computed once: a fold of nothing, as an item of an array derives its type for each row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, use)
 
 
 def literal(values: dict[str, object], kind: str) -> Literal:
@@ -141,6 +145,38 @@ def place_entries(entries: list[tuple[int, int]]) -> tuple[tuple[list[int], list
         size += size // 2
 
 
+# Behind the characters of all ids: no rank.
+NONE = chr(0x10FFFF)
+_SURROGATES, _BEHIND = 0xD800, 0x801
+
+
+def character(number: int) -> str:
+    """An id as a character. Characters have the order of the ids; U+0000 and the surrogates are left out."""
+    return chr(number + 1 if number + 1 < _SURROGATES else number + _BEHIND)
+
+
+def numbers(text: Column) -> Column:
+    """The ids of a text's characters."""
+    code = lambda c: F.when(F.ascii(c) < _SURROGATES, F.ascii(c) - 1).otherwise(F.ascii(c) - _BEHIND)
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), code))
+
+
+@dataclass(frozen=True)
+class Merges:
+    """The merged piece's character by the two characters of a pair, as a literal, and the characters of the bytes."""
+
+    pairs: Literal
+    bytes: Column
+    edge: str
+
+    def __getitem__(self, pair: Column) -> Column:
+        return F.coalesce(self.pairs[pair], F.lit(NONE))
+
+    def named(self, use) -> Column:
+        """``use`` of the same values under a name, so that an expression holds the literal once."""
+        return self.pairs.named(lambda pairs: use(Merges(pairs, self.bytes, self.edge)))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Ranks of pieces and the pattern that cuts texts into words. Every single byte must have a rank."""
@@ -161,6 +197,16 @@ class Vocabulary:
         a, b, byte_ids = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (*arrays, [ranks[bytes([i])] for i in range(256)]))
         return Ranks((a, b), sizes, byte_ids, bits)
 
+    def merges(self) -> Merges:
+        ranks = read_ranks(self.path)
+        pairs = {
+            character(ranks[piece[:cut]]) + character(ranks[piece[cut:]]): character(rank)
+            for piece, rank in ranks.items()
+            for cut in range(1, len(piece))
+            if piece[:cut] in ranks and piece[cut:] in ranks
+        }
+        return Merges(literal(pairs, "string"), F.lit("".join(character(ranks[bytes([i])]) for i in range(256))), character(max(ranks.values()) + 1))
+
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(self.pattern)), F.lit(0))
 
@@ -189,6 +235,37 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+_BYTES = "".join(map(chr, range(256)))
+
+
+def _one_by_one(word: Column, merges: Merges) -> Column:
+    """The ids of a word, as text: the leftmost pair of the lowest rank is merged, again and again.
+
+    ``ids`` has ``edge`` before and behind the word's; ``ranks`` has the rank of each of its characters with the next.
+    """
+    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+    def state(ids, ranks):
+        return F.struct(ids.alias("ids"), ranks.alias("ranks"), F.array_min(F.split(ranks, "")).alias("low"))
+
+    def begin(ids):
+        each = F.transform(F.sequence(F.lit(1), F.length(ids) - 1), lambda i: merges[F.substring(ids, i, F.lit(2))])
+        return _let(F.array_join(each, ""), lambda ranks: state(ids, ranks))
+
+    def merge(s, _):
+        def at(i):
+            def merged(ids):
+                two = F.concat(merges[F.substring(ids, i - 1, F.lit(2))], merges[F.substring(ids, i, F.lit(2))])
+                return _let(F.overlay(s["ranks"], two, i - 1, F.lit(3)), lambda ranks: state(ids, ranks))
+
+            return _let(F.overlay(s["ids"], s["low"], i, F.lit(2)), merged)
+
+        return F.when(s["low"] == NONE, s).otherwise(_let(F.instr(s["ranks"], s["low"]), at))
+
+    ids = F.concat(F.lit(merges.edge), F.call_function("translate", latin, F.lit(_BYTES), merges.bytes), F.lit(merges.edge))
+    return F.aggregate(F.split(latin, ""), _let(ids, begin), merge, lambda s: F.substring(s["ids"], F.lit(2), F.length(s["ids"]) - 2))
+
+
 def _byte_ids(word: Column, ranks: Ranks) -> Column:
     """The ids of a word's bytes."""
     one_each = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
@@ -230,14 +307,21 @@ def _all_merges(state: Column, ranks: Ranks) -> Column:
     return F.coalesce(_let(mask, tried), _one_merge(state, ranks))
 
 
-def fold(word: Column, ranks: Ranks) -> Column:
-    """The ids of a word."""
+def _many_at_once(word: Column, ranks: Ranks) -> Column:
+    """The ids of a word, as text."""
 
-    def run(step, ids):
-        merge = lambda state, _: F.when(state["first"].isNull(), state).otherwise(step(state, ranks))
+    def run(ids):
+        merge = lambda state, _: F.when(state["first"].isNull(), state).otherwise(_all_merges(state, ranks))
         return F.aggregate(ids, _state(ids, ranks), merge, lambda s: s["ids"])
 
-    return _let(_byte_ids(word, ranks), lambda ids: F.when(F.size(ids) <= SHORT, run(_one_merge, ids)).otherwise(run(_all_merges, ids)))
+    code = lambda i: F.when(i + 1 < _SURROGATES, i + 1).otherwise(i + _BEHIND)
+    character_of = lambda i: F.decode(F.unhex(F.lpad(F.hex(code(i)), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(_let(_byte_ids(word, ranks), run), character_of), "")
+
+
+def fold(word: Column, merges: Merges, ranks: Ranks) -> Column:
+    """The ids of a word, as text."""
+    return F.when(F.octet_length(word) <= SHORT, _one_by_one(word, merges)).otherwise(_many_at_once(word, ranks))
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, rows: int = SAMPLE_ROWS, words: int = TABLE_WORDS) -> Literal:
@@ -246,8 +330,8 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, rows: int = SAMPLE_R
     picked = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
     counted = picked.select(F.explode(vocabulary.words(F.col("text"))).alias("word")).groupBy("word").count()
     most = counted.where(F.octet_length("word") <= SHORT).orderBy(F.desc("count"), "word").limit(words)
-    found = most.select("word", vocabulary.ranks().named(lambda ranks: fold(F.col("word"), ranks)).cast("array<int>").alias("ids")).collect()
-    return literal({r["word"]: r["ids"] for r in found}, "array<bigint>")
+    found = most.select("word", vocabulary.merges().named(lambda merges: _one_by_one(F.col("word"), merges)).alias("ids")).collect()
+    return literal({r["word"]: r["ids"] for r in found}, "string")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], table: Literal | None = None) -> DataFrame:
@@ -256,9 +340,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: Sequence[str], table:
     moved = docs.select(*kept, F.col("text").cast("string").alias("text_to_encode"))
     table = table or frequent_words(docs.select(F.col("text").cast("string").alias("text")), vocabulary)
     words = vocabulary.words(F.col("text_to_encode"))
-    each = lambda known, ranks: F.transform(words, lambda w: F.coalesce(known[w], fold(w, ranks)))
-    of_words = table.named(lambda known: vocabulary.ranks().named(lambda ranks: each(known, ranks)))
-    return back(moved.select(*inner, F.flatten(of_words).cast("array<int>").alias("ids")))
+    each = lambda known, merges, ranks: F.transform(words, lambda w: F.coalesce(known[w], fold(w, merges, ranks)))
+    of_words = table.named(lambda known: vocabulary.merges().named(lambda merges: vocabulary.ranks().named(lambda ranks: each(known, merges, ranks))))
+    joined = moved.select(*inner, F.array_join(of_words, "").alias("ids_as_text"))
+    return back(joined.select(*inner, numbers(F.col("ids_as_text")).alias("ids")))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str]) -> DataFrame:
