@@ -77,11 +77,11 @@ def literal(values: dict[str, object], kind: str) -> Literal:
     buckets: list[dict] = [{} for _ in range(size)]
     for key, value in values.items():
         buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) & (size - 1)][key] = value
-    return Literal(F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>"), size)
+    return Literal(F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>"), size)
 
 
 def _texts(values: Sequence[str]) -> Column:
-    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), "array<string>")
 
 
 @lru_cache(maxsize=4)
