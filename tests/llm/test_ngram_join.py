@@ -1,7 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tests.llm import edge_cases
@@ -113,6 +116,51 @@ def test_linked_sets_of_any_size_share_a_cell(percent):
                 assert meet(ngram_join.cells(a, like, bands), ngram_join.cells(b, like, bands))
 
 
+@pytest.mark.parametrize("size", [9, 13, 16, 24, 40, 80])
+def test_small_sets_without_common_shingles_share_no_cell(size):
+    rng, like = np.random.default_rng(7), Likeness(5, 80)
+    bands = like.bands(200)
+    own = [ngram_join.cells(rng.choice(2**62, size, replace=False).astype(np.uint64) * np.uint64(4), like, bands) for _ in range(400)]
+    for of_band in zip(*own, strict=True):
+        values = np.concatenate([c for c, _ in of_band])
+        assert len(np.unique(values)) == len(values)
+
+
+def test_a_line_that_all_texts_have_does_not_make_one_cluster(spark, monkeypatch):
+    tables, write = {}, ngram_join.written
+
+    def written(df, label):
+        tables[label] = write(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    line, rows = [f"c{i}" for i in range(30)], []
+    for i in range(300):
+        text = [f"w{i}_{j}" for j in range(120)]
+        rows += [(2 * i, " ".join(text + line)), (2 * i + 1, " ".join([*text[:60], "other", *text[61:], *line]))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), Likeness(5, 80)).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 600
+    members = tables["placed"].groupBy("label").count().collect()
+    assert len(members) == 300 and all(r["count"] == 2 for r in members)
+
+
+def test_rarity_is_the_same_for_all_batches():
+    rng = np.random.default_rng(8)
+    found = [np.unique(rng.integers(0, 60, n).astype(np.uint64) * np.uint64(2**58)) for n in (20, 40, 60, 0, 7)]
+    many = [rng.random(len(f)) < 0.2 for f in found]
+    sent = pa.concat_tables([ngram_join.R.send(b, f, m, 3, [(-1 - b, b"kept")]) for b, (f, m) in enumerate(zip(found, many, strict=True))])
+    said = [[] for _ in found]
+    for bucket in set(sent["bucket"].to_pylist()):
+        for row in ngram_join._rarities(sent.filter(pc.equal(sent["bucket"], bucket))).to_pylist():
+            said[row["batch"]].append((row["bucket"], row["bits"]))
+    times = Counter(x for f, m in zip(found, many, strict=True) for x in [*f.tolist(), *f[m].tolist()])
+    for b, answers in enumerate(said):
+        answers = dict(answers)
+        assert answers.pop(-1 - b) == b"kept"
+        rarity = ngram_join._rarity_of(found[b], list(answers.items()), 3)
+        assert rarity.tolist() == [(times[x] - 1).bit_length() for x in found[b].tolist()]
+
+
 def test_keep_first(spark):
     rows = edge_cases.rows()
     docs = edge_cases.documents(spark)

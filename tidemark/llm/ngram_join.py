@@ -9,7 +9,8 @@ smaller counts of each group, so similar sets have near points.
    there are more blocks than that, so their points agree in all coordinates
    of many blocks: they meet in as many cells (the band, the block, a hash of
    its counts). Only sets with so many cells that hold other sets are followed
-   up, by these cells.
+   up, by the rarest of these cells, so that what many texts have in common,
+   such as a line of theirs, doesn't put them into one cluster.
 2. In a cell, the sum of coordinate minima bounds the overlap of each pair.
    Pairs that survive put sets into the same candidate cluster.
 3. A cluster is searched by a count-vector R-tree: boxes of points are
@@ -109,6 +110,15 @@ def set_node(hashes: np.ndarray) -> int | None:
     return int(W.mix(np.array([total]))[0].view(np.int64))
 
 
+def blocks_for(most: int) -> int:
+    """Blocks of a band whose linked sets differ in ``most`` shingles at most.
+
+    The more blocks, the larger the part of its cells that a set shares with those it links with, and the more cells. A
+    small set needs more: else so many of its blocks may be empty that it shares one cell only, or none but empty ones.
+    """
+    return most + 1 + max(most // 4, min(3 * most, 60))
+
+
 def cells(hashes: np.ndarray, like: Likeness, bands: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """For each band in which a set can meet the sets it links with: hashes of its cells, and how many of them it shares
     with each of these sets at least."""
@@ -119,10 +129,10 @@ def cells(hashes: np.ndarray, like: Likeness, bands: np.ndarray) -> list[tuple[n
         if band > home and 100 * n < like.percent * int(bands[band]):
             break  # larger sets of the next band are too large for this one
         most = like.differing(int(bands[band + 1]) - 1)
-        blocks = most + 1 + most // 4
+        blocks = blocks_for(most)
         block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         # A block's counts as one number: the sum of a hash of each shingle's group.
-        group = W.mix((hashes & np.uint64(0xFFFFF)) + np.uint64(1))
+        group = W.mix((hashes & np.uint64(0xFFFFFFFF)) + np.uint64(1))
         order = np.argsort(block, kind="stable")
         present, start = np.unique(block[order], return_index=True)
         sums = np.add.reduceat(group[order], start)
@@ -245,6 +255,32 @@ def _cell_pass(like: Likeness, bands: np.ndarray, n_buckets: int):
     return run
 
 
+def _rarities(table: pa.Table) -> pa.Table:
+    """Of each hash a batch sent: a bit that tells if it occurs again, and of those that do a byte each, larger for more frequent
+    ones. All batches get the same byte for a hash."""
+    if table["bucket"][0].as_py() < 0:
+        return R.pass_on(table)
+    batches, sizes, hashes = R.received(table)
+    many = np.concatenate([R.unpack_bits(m, n) for m, n in zip(table["many"].to_pylist(), sizes, strict=True)])
+    _, place = np.unique(hashes, return_inverse=True)
+    count = np.bincount(place, 1 + many)[place]
+    rarity = np.ceil(np.log2(count)).astype(np.uint8)
+    cut = np.cumsum([0, *sizes])
+    said = [R.pack_bits(own > 0) + own[own > 0].tobytes() for own in (rarity[s:e] for s, e in zip(cut, cut[1:], strict=False))]
+    bucket = [table["bucket"][0].as_py()] * len(batches)
+    return pa.Table.from_arrays([pa.array(batches, pa.int64()), pa.array(bucket, pa.int64()), pa.array(said, pa.binary())], schema=R.SAID_ARROW)
+
+
+def _rarity_of(found: np.ndarray, answers: list[tuple[int, bytes]], n_buckets: int) -> np.ndarray:
+    """``_rarities`` of a batch's sorted distinct hashes, in their order; 0 for those that occur nowhere else."""
+    rarity, cut = np.zeros(len(found), np.uint8), R.cuts(found, n_buckets)
+    for bucket, said in answers:
+        n = int(cut[bucket + 1] - cut[bucket])
+        again = R.unpack_bits(said[: (n + 7) // 8], n)
+        rarity[cut[bucket] : cut[bucket + 1]][again] = np.frombuffer(said[(n + 7) // 8 :], np.uint8)
+    return rarity
+
+
 _CANDIDATE = "node long, size int, cells array<long>, shingles binary"
 _CANDIDATE_ARROW = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("cells", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
@@ -257,15 +293,17 @@ def _candidate_pass(like: Likeness, bands: np.ndarray, n_buckets: int):
         kept = np.frombuffer(answers.pop(-1 - docs["batch"][0].as_py()), np.int64)
         batch = _Batch(docs, set(kept.tolist()), like, bands)
         found, _ = batch.found()
-        again = R.flags_of(found, list(answers.items()), n_buckets)
+        rarity = _rarity_of(found, list(answers.items()), n_buckets)
         rows = []
         for node, hashes, own in zip(batch.nodes, batch.sets, batch.cells, strict=True):
             kept_cells = []
             for of_band, least in own:
-                shared = of_band[again[np.searchsorted(found, of_band)]]
+                rare = rarity[np.searchsorted(found, of_band)]
+                shared, rare = of_band[rare > 0], rare[rare > 0]
                 if len(shared) >= least:  # else there is no set in this band that it could link with
-                    # Two sets that share so many cells share one of their smallest ones, but for the last least - 1.
-                    kept_cells.append(np.sort(shared)[: len(shared) - least + 1])
+                    # Two sets that share so many cells share one of their first ones in any order, but for the last
+                    # least - 1; the rarest come first.
+                    kept_cells.append(shared[np.lexsort((shared, rare))][: len(shared) - least + 1])
             if kept_cells:
                 rows.append((node, len(hashes), np.concatenate(kept_cells).view(np.int64), hashes.tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -389,7 +427,7 @@ def clusters(docs: DataFrame, like: Likeness | None = None) -> tuple[DataFrame,
         return named, spark.createDataFrame([], "node long, label long")
     bands, wide = like.bands(size["largest"]), parallelism(spark)
     n_batches = max(1, size["chars"] // BATCH_CHARS + 1, min(2 * wide, size["rows"]))
-    # At most 2 * 1.25 cells for each shingle that may differ, with words of 5 characters.
+    # 2 * 1.25 cells for each shingle that may differ, with words of 5 characters; small sets have up to twice as many.
     n_buckets = max(1, min(wide, size["rows"]), size["chars"] // 5 * 5 * (100 - like.percent) // (100 + like.percent) // BUCKET_HASHES + 1)
 
     # Each set is followed up in one batch only: that of the smallest id among the documents that have it.
@@ -397,7 +435,7 @@ def clusters(docs: DataFrame, like: Likeness | None = None) -> tuple[DataFrame,
     stands = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(batch_of, "node")
     by_batch = docs.select(batch_of, "doc_id", "text").groupBy("batch")
     sent = by_batch.cogroup(stands.groupBy("batch")).applyInArrow(_cell_pass(like, bands, n_buckets), R.SENT)
-    said = sent.groupBy("bucket").applyInArrow(R.repeated, R.SAID)
+    said = sent.groupBy("bucket").applyInArrow(_rarities, R.SAID)
     found = by_batch.cogroup(said.groupBy("batch")).applyInArrow(_candidate_pass(like, bands, n_buckets), _CANDIDATE)
     candidates = written(found, "candidates")
 
